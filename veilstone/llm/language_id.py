@@ -100,15 +100,16 @@ def train(labelled: DataFrame, per_language: int = 400, landmarks: int = 256, ri
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every row, and the columns in `keep`.
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score (0 to 1) of every row, then the text if `keep_text`, then the columns in `keep`.
 
     `und` with score 0 where the text is null, empty or has no letter, or where nothing was learned. Whole texts are
     read; one scan, no shuffle. Repeated rows give a row each; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.landmarks, model.weights))  # bounded by train()'s parameters
+    carried = (("text",) if keep_text else ()) + tuple(keep)
     fields = {f.name: f for f in docs.schema.fields}
-    ddl = ", ".join(["doc_id long", "lang_pred string", "score double", *(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)])
+    ddl = ", ".join(["doc_id long", "lang_pred string", "score double", *(f"`{c}` {fields[c].dataType.simpleString()}" for c in carried)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -122,10 +123,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
                     best[a:b], score[a:b] = values.argmax(1), values.max(1)
             lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(own.langs)
             out = [batch.column(0), names.take(pa.array(np.where(lettered, best, len(own.langs)))), pa.array(np.where(lettered, np.clip(score, 0, 1), 0.0))]
-            yield pa.RecordBatch.from_arrays(out + batch.columns[3:], names=["doc_id", "lang_pred", "score", *keep])
+            yield pa.RecordBatch.from_arrays(out + ([batch.column(1)] if keep_text else []) + batch.columns[3:], names=["doc_id", "lang_pred", "score", *carried])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), "text", lettered.alias("_l"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(scan, ddl)
+    return docs.select(F.col("doc_id").cast("long"), "text", lettered.alias("_l"), *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(scan, ddl)
 
 
 def fold(doc_id: Column, of: int) -> Column:

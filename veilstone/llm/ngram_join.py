@@ -214,3 +214,20 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -
     found = table.select("doc_id", "n", "f1", "f2").join(groups, same, "left").join(labels, "node", "left")
     null_id = lambda c: F.nullif(c, F.lit(NO_ID))
     return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("component", "node", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their component: those whose id is the component's id.
+
+    Documents without words are linked with nothing and all stay. Of rows with words that share an id, one stays.
+    """
+    found = store.keep(join(docs, n, percent, scope), scope)
+    same_id = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    stays = found.filter(same_id("doc_id", "component_id") | (F.col("n_shingles") == 0)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows"))
+    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    several = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
+    if several.isEmpty():
+        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    once, rest = (F.col("_rows") > 1) & (F.col("_n") > 0), docs.columns
+    one = kept.filter(once).groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.xxhash64("text")).alias("_row")).select("_row.*")
+    return kept.filter(~once).select(*(F.col(f"`{c}`") for c in rest)).unionByName(one)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import chat, language_id, packing, quality, secrets, token_counts, toxicity
+from veilstone.llm import chat, decontamination, language_id, line_dedup, ngram_join, packing, quality, secrets, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -18,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 2048, 1, digest=True)
 
@@ -37,10 +41,19 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("_t").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("_l").cast("long").alias("loss_chars"), F.sha2(F.col("_l"), 256).alias("loss_sha256"), "formatted_chars", "valid")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("_row.doc_id", "n_removed", "runs", "_row.text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", *quality.FEATURES, "base_failed", "kept", "host_rate")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -68,6 +81,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, base), digest.alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_chat_formatting, op5_quality_rules, op7_toxicity, op8_language_id, op9_token_counts, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_chat_formatting, op4_line_dedup, op5_quality_rules, op6_decontamination, op7_toxicity, op8_language_id, op9_token_counts, op10_secret_scans)}
 
 ORACLES: dict[str, str] = {}

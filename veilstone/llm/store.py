@@ -29,20 +29,26 @@ def keep(df: DataFrame, scope: str = "query") -> DataFrame:
     path = f"{shared_dir(spark)}/veilstone/{scope}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(scope, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
 
 
 def release(spark: SparkSession, scope: str) -> None:
     """Delete the tables kept under `scope`; call it only once every result that reads them is written."""
     for path in _WRITTEN.pop(scope, []):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
 
 
-def drop(df_paths_scope: str, spark: SparkSession, count: int) -> None:
-    """Delete the oldest `count` tables of a scope."""
-    held = _WRITTEN.get(df_paths_scope, [])
-    for path in held[:count]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del held[:count]
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by keep() that nothing reads any more."""
+    path, spark = table._kept_at, table.sparkSession
+    for paths in _WRITTEN.values():
+        if path in paths:
+            paths.remove(path)
+    _delete(spark, path)
