@@ -8,6 +8,7 @@ side. No row is shuffled, and windows are full but for the very last one.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -20,14 +21,29 @@ from pyspark.sql import functions as F
 
 from veilstone.llm import arrays, store
 
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers in each of two generations; words met again move to the younger one.
+REMEMBERED = 600_000
 #: A word that is longer than this is tokenized each time it is met.
 LONG_WORD = 200
+#: Words to a line where ids are told apart by word ends.
+LINE_WORDS = 200
+#: Letters, then signs if any: one or two words to the tokenizer. An apostrophe, a digit or a letter that could fall
+#: apart under normalisation makes a word one that goes through the library alone.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+def plain_words(word: str) -> int:
+    """How many words a plain one is to the tokenizer; 0 if it is not plain."""
+    if word.isascii() and word.isalpha():
+        return 1
+    if word.isascii() and word[-1:] in ",." and word[:-1].isalpha():
+        return 2
+    m = PLAIN(word)
+    return 0 if m is None else 1 + bool(m[1])
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer for which white space separates words and is dropped.
 
@@ -45,21 +61,49 @@ class WordEncoder:
             raise ValueError("this tokenizer does not separate words by white space alone")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.is_end = np.zeros(1 << 16, bool)
+        self.is_end[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        lasting, passing = self.known, {}
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (lasting if len(word) <= LONG_WORD else passing)[word] = np.array(e.ids, "<u2").tobytes()
-        if passing:
-            return [b"".join([lasting[w] if w in lasting else passing[w] for w in p]) for p in parts]
-        return [b"".join(map(lasting.__getitem__, p)) for p in parts]
+        new = set().union(*parts) - self.known.keys()
+        found = {w: self.older[w] for w in new & self.older.keys()}
+        found.update(self.encode(list(new - found.keys())))
+        if max(map(len, new), default=0) > LONG_WORD:
+            lasting = {w: i for w, i in found.items() if len(w) <= LONG_WORD}
+            found.update(self.known)
+            self.known.update(lasting)
+            return [b"".join(map(found.__getitem__, p)) for p in parts]
+        self.known.update(found)
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Plain words go through the library many to a line, where the ids that end a word tell them
+        apart; others one by one."""
+        out: dict[str, bytes] = {}
+        plain = [(w, n) for w in words if (n := plain_words(w))]
+        for a in range(0, len(plain), 64 * LINE_WORDS):
+            some = plain[a : a + 64 * LINE_WORDS]
+            lines = [" ".join([w for w, _ in some[k : k + LINE_WORDS]]) for k in range(0, len(some), LINE_WORDS)]
+            ids = np.concatenate([np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            cuts = ends[np.cumsum([n for _, n in some]) - 1] * 2
+            if cuts[-1] != 2 * len(ids) or len(ends) != sum(n for _, n in some):
+                raise AssertionError("ids do not fall apart into words")
+            held, start = ids.tobytes(), 0
+            for (w, _), end in zip(some, cuts.tolist(), strict=True):
+                out[w] = held[start:end]
+                start = end
+        rest = [w for w in words if w not in out]
+        for a in range(0, len(rest), 20_000):
+            for w, e in zip(rest[a : a + 20_000], self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False), strict=True):
+                out[w] = np.array(e.ids, "<u2").tobytes()
+        return out
 
 
 IDS = pa.schema([("part", pa.int64()), ("local", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
