@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,9 @@ def keep(df: DataFrame, scope: str = "query") -> DataFrame:
     path = f"{shared_dir(spark)}/veilstone/{scope}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(scope, []).append(path)
     df.write.parquet(path)
+    # The shuffles that led to the table are needed no more. Spark deletes those whose plans are garbage, on both sides.
+    gc.collect()
+    spark._jvm.System.gc()
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
