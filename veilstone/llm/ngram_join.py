@@ -1,7 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its word shingles, held as 64-bit hashes. Exact copies of a set fall together first. Tokens
-are rare or frequent by a counting table over all documents, and each set is ordered rare tokens first, then by hash.
+are ranked by a counting table over all documents, from common by no more than chance to frequent, and each set is
+ordered by rank, then by hash.
 
 With threshold t, two linked sets x and y miss at most A = (1-t)|x| tokens of x and differ in at most D = (1-t)/t |x|
 tokens together. So their first shared token is among the first A+1 of x. If it is rare, it is a key of its own. If it
@@ -29,7 +30,11 @@ from veilstone.llm import arrays, store
 from veilstone.llm.components import components
 
 #: Cells of the counting table, and the blocks that it is summed by.
-CELLS, BLOCKS = 1 << 20, 64
+CELLS, BLOCKS = 1 << 21, 64
+#: A cell's level is how many standard deviations its count lies above an even spread; from this level on it is frequent.
+FREQUENT = 5
+#: Bins of a set's sketch: counts of tokens by hash. The sum of least counts bounds an intersection from above.
+BINS = 256
 #: Consecutive frequent tokens of a key.
 RUN = 2
 #: Parts that the bucket of a run of frequent tokens is dealt over before their leaders meet.
@@ -60,11 +65,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return hashes, np.searchsorted(rows, np.arange(len(offsets)))
 
 
-def frequent_cells(docs: DataFrame, n: int) -> np.ndarray:
-    """Which cells of the counting table stand out; a function of all documents, of fixed size.
+def cell_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How far each cell of the counting table stands out (0 to 15); a function of all documents, of fixed size.
 
-    A cell stands out if its count is far above what evenly spread tokens would give. Which cells do decides only how
-    tokens are ordered and keyed, never what is linked.
+    Levels decide only how tokens are ordered and keyed, never what is linked.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +76,7 @@ def frequent_cells(docs: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for _, _, data, offsets in arrays.text_slices(batch.column(0)):
                 hashes, _ = shingle_sets(data, offsets, n)
-                total += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+                total += np.bincount((hashes >> np.uint64(43)).astype(np.int64), minlength=CELLS)
         part = TaskContext.get().partitionId()
         yield packed(range(BLOCKS), [part] * BLOCKS, total.reshape(BLOCKS, -1))
 
@@ -96,11 +100,12 @@ def frequent_cells(docs: DataFrame, n: int) -> np.ndarray:
     for r in table.collect():  # BLOCKS rows
         counts[r.block] += np.frombuffer(zlib.decompress(r.counts), "<i8")
     mean = counts.mean()
-    return counts.ravel() > mean + 8 * np.sqrt(mean) + 8
+    return np.clip((counts.ravel() - mean) / (np.sqrt(mean) + 1), 0, 15).astype(np.uint8)
 
 
-def keys_of(hashes: np.ndarray, rare: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of one set, given ascending hashes and which tokens are rare; the lowest bit tells runs (1) from tokens."""
+def keys_of(hashes: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of one set, given hashes in order of (level, hash); the lowest bit tells runs (1) from tokens."""
+    rare = levels < FREQUENT
     n = len(hashes)
     miss, differ = (den - num) * n // den, (den - num) * n // num
     if not differ:
@@ -121,22 +126,23 @@ _PRINTS = "doc_id long, n long, f1 long, f2 long, n_rare int, keys array<long>"
 
 def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, set size, 128-bit fingerprint of the set, rare tokens and keys of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_cells(docs, n)))  # CELLS / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, n))  # CELLS bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(1)):
                 hashes, at = shingle_sets(data, offsets, n)
-                rare = ~frequent[(hashes >> np.uint64(44)).astype(np.int64)]
+                level = shared.value[(hashes >> np.uint64(43)).astype(np.int64)]
+                order = np.lexsort((hashes, level, np.repeat(np.arange(b - a), np.diff(at))))
+                hashes, level = hashes[order], level[order]
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes), dtype=np.uint64)))
-                keys = [keys_of(hashes[i:j], rare[i:j], num, den) for i, j in zip(at[:-1], at[1:], strict=True)]
+                keys = [keys_of(hashes[i:j], level[i:j], num, den) for i, j in zip(at[:-1], at[1:], strict=True)]
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 sums = lambda t: pa.array(arrays.mix(t[at[1:]] - t[at[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), pa.array(arrays.sums(rare, at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), pa.array(arrays.sums(level < FREQUENT, at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=["doc_id", "n", "f1", "f2", "n_rare", "keys"],
                 )
 
@@ -144,23 +150,33 @@ def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node and its set (array<long>), of the documents whose id is in `nodes` (node)."""
+    """node, its set (array<long>) and the set's sketch (counts of BINS bins), of documents whose id is in `nodes`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(1)):
                 hashes, at = shingle_sets(data, offsets, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["node", "shingles"])
-
-    return docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, "node long, shingles array<long>")
-
-
-def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+                for i in range(a, b, 256):
+                    j = min(i + 256, b)
+                    own, cut = hashes[at[i - a] : at[j - a]], (at[i - a : j - a + 1] - at[i - a]).astype(np.int32)
+                    bins = np.repeat(np.arange(j - i), np.diff(cut)) * BINS + (own & np.uint64(BINS - 1)).astype(np.int64)
+                    sketch = np.bincount(bins, minlength=(j - i) * BINS).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(own.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BINS, BINS, dtype=np.int32)), pa.array(sketch))], names=["node", "shingles", "sketch"])
+
+    return docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, "node long, shingles array<long>, sketch array<int>")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, scope: str) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold. Sketches go first: a pair whose upper bound misses the threshold
+    is settled without its sets."""
+    reaches = lambda both, x, y: F.lit(den) * both >= F.lit(num) * (x + y - both)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
+    least = total(F.zip_with("_x", "_y", lambda x, y: F.least(x, y)))
+    side = lambda name, what, out: sets.select(F.col("node").alias(name), F.col(what).alias(out))
+    hopeful = pairs.join(side("a", "sketch", "_x"), "a").join(side("b", "sketch", "_y"), "b").filter(reaches(least, total(F.col("_x")), total(F.col("_y")))).select("a", "b").distinct()
+    hopeful = store.keep(hopeful, scope)
     both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(left, "a").join(right, "b").withColumn("_i", both).filter(F.lit(den) * F.col("_i") >= F.lit(num) * (F.size("_x") + F.size("_y") - F.col("_i"))).select("a", "b")
+    return hopeful.join(side("a", "shingles", "_x"), "a").join(side("b", "shingles", "_y"), "b").filter(reaches(both, F.size("_x"), F.size("_y"))).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
@@ -193,7 +209,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -
     stars = store.keep(buckets.filter(close(F.col("n"), F.col("leader_n"))).select(*ordered("node", "leader")).distinct(), scope)
     nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     sets = store.keep(sets_of(rows, nodes, n), scope)
-    links = store.keep(linked(stars, sets, num, den), scope)
+    links = store.keep(linked(stars, sets, num, den, scope), scope)
     labels = components(links, scope)
 
     # What is left: members of one bucket in different components.
@@ -201,16 +217,20 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -
     placed = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key")
     rest = store.keep(placed.join(open_keys, "key", "left_semi"), scope)
+    store.discard(buckets)
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n"))
     crossing = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     crossing = store.keep(crossing, scope)
+    store.discard(rest)
     late_nodes = crossing.select(F.col("a").alias("node")).union(crossing.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
     more = sets.unionByName(store.keep(sets_of(rows, late_nodes, n), scope))
-    late = store.keep(linked(crossing, more, num, den), scope)
+    late = store.keep(linked(crossing, more, num, den, scope), scope)
     if not late.isEmpty():
         labels = components(links.union(late), scope)
 
+    for done in (sets, stars, crossing):
+        store.discard(done)
     found = table.select("doc_id", "n", "f1", "f2").join(groups, same, "left").join(labels, "node", "left")
     null_id = lambda c: F.nullif(c, F.lit(NO_ID))
     return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("component", "node", "doc_id")).alias("component_id"))
