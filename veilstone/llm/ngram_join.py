@@ -121,16 +121,16 @@ def keys_of(hashes: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.nd
     return keys
 
 
-_PRINTS = "doc_id long, n long, f1 long, f2 long, n_rare int, keys array<long>"
+_PRINTS = "doc_id long, th long, n long, f1 long, f2 long, n_rare int, keys array<long>"
 
 
 def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, set size, 128-bit fingerprint of the set, rare tokens and keys of every row."""
+    """doc_id, hash of the text, set size, 128-bit fingerprint of the set, rare tokens and keys of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, n))  # CELLS bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in arrays.text_slices(batch.column(1)):
+            for a, b, data, offsets in arrays.text_slices(batch.column(2)):
                 hashes, at = shingle_sets(data, offsets, n)
                 level = shared.value[(hashes >> np.uint64(43)).astype(np.int64)]
                 order = np.lexsort((hashes, level, np.repeat(np.arange(b - a), np.diff(at))))
@@ -142,11 +142,11 @@ def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 sums = lambda t: pa.array(arrays.mix(t[at[1:]] - t[at[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), pa.array(arrays.sums(level < FREQUENT, at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "n", "f1", "f2", "n_rare", "keys"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), pa.array(arrays.sums(level < FREQUENT, at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["doc_id", "th", "n", "f1", "f2", "n_rare", "keys"],
                 )
 
-    return docs.mapInArrow(scan, _PRINTS)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(scan, _PRINTS)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -184,10 +184,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -
 
     Words are split at ASCII white space, A-Z count as a-z, a set is the distinct n-word shingles of the whole text
     (fewer words: the whole sequence). component_id is the least id reached by links, the document's own included.
-    Documents without words have n_shingles 0 and are linked with nothing. Rows that share an id are one node, which
-    reaches what either reaches. A null id counts as larger than any other, all null ids as one; a component of null
-    ids alone has a null component_id. Other columns are ignored; an empty table gives no row.
+    Documents without words have n_shingles 0 and are linked with nothing. Equal sets are one node, named by the least id
+    of their rows; rows that share that id but not the set make their sets one node. A null id counts as larger than any
+    other, and a component of null ids alone has a null component_id. Other columns are ignored; an empty table gives no
+    row.
     """
+    return placed_rows(docs, n, percent, scope).select("doc_id", "n_shingles", "component_id")
+
+
+def placed_rows(docs: DataFrame, n: int, percent: int, scope: str) -> DataFrame:
+    """What join() returns, with the hash of the text (th) and the set's fingerprint (f1, f2)."""
     num, den = percent, 100
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     table = store.keep(prints(rows, n, num, den), scope)
@@ -231,23 +237,27 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -
 
     for done in (sets, stars, crossing):
         store.discard(done)
-    found = table.select("doc_id", "n", "f1", "f2").join(groups, same, "left").join(labels, "node", "left")
+    found = table.select("doc_id", "th", "n", "f1", "f2").join(groups, same, "left").join(labels, "node", "left")
     null_id = lambda c: F.nullif(c, F.lit(NO_ID))
-    return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("component", "node", "doc_id")).alias("component_id"), "th", "f1", "f2")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
     """The rows of `docs`, all columns, that stand for their component: those whose id is the component's id.
 
-    Documents without words are linked with nothing and all stay. Of rows with words that share an id, one stays.
+    Documents without words are linked with nothing and all stay. Of rows that are equal in id and set, one stays.
     """
-    found = store.keep(join(docs, n, percent, scope), scope)
-    same_id = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    stays = found.filter(same_id("doc_id", "component_id") | (F.col("n_shingles") == 0)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows"))
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    several = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    if several.isEmpty():
-        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-    once, rest = (F.col("_rows") > 1) & (F.col("_n") > 0), docs.columns
-    one = kept.filter(once).groupBy("_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.xxhash64("text")).alias("_row")).select("_row.*")
-    return kept.filter(~once).select(*(F.col(f"`{c}`") for c in rest)).unionByName(one)
+    found = store.keep(placed_rows(docs, n, percent, scope), scope)
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
+    one = heads.groupBy("doc_id", "f1", "f2").agg(F.min("th").alias("th")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    none = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    stays = store.keep(one.withColumn("_words", F.lit(True)).union(none.withColumn("_words", F.lit(False))), scope)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    kept = docs.join(stays.hint("merge"), same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeats = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max("n_shingles").alias("s")).filter("n > 1 and s > 0")
+    if repeats.isEmpty():
+        return kept.select(*columns)
+    # Rows equal in id and text: one of each, any, as they are the same document.
+    first = kept.filter("_words").groupBy("_id", "_th").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    return first.unionByName(kept.filter("not _words").select(*columns))
