@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstone.llm.oracles import ORACLES  # noqa: F401
 from veilstone.llm import chat, decontamination, language_id, line_dedup, ngram_join, packing, quality, secrets, token_counts, toxicity
 
 
@@ -47,7 +48,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir)).select("doc_id", *quality.FEATURES, "base_failed", "kept", "host_rate")
+    return quality.judge(documents(spark, sf_dir)).select("doc_id", *quality.FEATURES, "base_failed", "kept")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,3 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_chat_formatting, op4_line_dedup, op5_quality_rules, op6_decontamination, op7_toxicity, op8_language_id, op9_token_counts, op10_secret_scans)}
-
-ORACLES: dict[str, str] = {}
