@@ -61,7 +61,7 @@ def near_texts(seed=1):
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join_equals_all_pairs(spark, n, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 1)  # so that runs of frequent tokens are used on few rows too
+    monkeypatch.setattr(ngram_join, "LIGHT", 2)  # so that runs are used on few rows too
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, texts), n, percent).collect()}
     assert [got[k] for k in range(len(texts))] == brute_components(texts, n, percent)
@@ -79,13 +79,10 @@ def test_ngram_join_keys_lose_no_pair():
         both = len(np.intersect1d(x, y))
         if both == len(x) == len(y) or 100 * both < 90 * (len(x) + len(y) - both):
             continue
-        share = rng.random()
-        level = lambda h: np.where((h >> np.uint64(20)) % np.uint64(1000) < 1000 * share, 9, 0)  # noqa: B023, E731
-        keys = []
-        for s in (x, y):
-            order = np.lexsort((s, level(s)))
-            keys.append(ngram_join.keys_of(s[order], level(s)[order], 90, 100))
-        assert len(np.intersect1d(*keys))
+        level = lambda h: (h >> np.uint64(20)) % np.uint64(5)
+        x, y = (v[np.lexsort((v, level(v)))] for v in (x, y))
+        for keys in (ngram_join.singles, ngram_join.runs):
+            assert len(np.intersect1d(keys(x, 90, 100), keys(y, 90, 100)))
 
 
 def test_ngram_join_repeats_and_nulls(spark):

@@ -1,18 +1,19 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document is the set of its word shingles, held as 64-bit hashes. Exact copies of a set fall together first. Tokens
-are ranked by a counting table over all documents, from common by no more than chance to frequent, and each set is
-ordered by rank, then by hash.
-
-With threshold t, two linked sets x and y miss at most A = (1-t)|x| tokens of x and differ in at most D = (1-t)/t |x|
-tokens together. So their first shared token is among the first A+1 of x. If it is rare, it is a key of its own. If it
-is frequent, then all shared tokens are, and every rare token of x is a miss: a set with more than A rare tokens needs
-no other key. For the rest the prefix is extended and runs of k consecutive frequent tokens are the keys: a differing
-token breaks at most k runs, so one of the first kD+1 runs is common to both. No linked pair is lost.
-
-In a bucket of a key each member is first compared with the bucket's leader, the member of fewest rare tokens, which
-is the centre of a group of near copies. Components of the links found then settle most buckets; only members of one
-bucket that are still in different components are compared with each other.
+A document is the set of its word shingles (tokens), held as 64-bit hashes. Exact copies of a set fall together first.
+Tokens are ranked by a counting table over all documents, and each set is ordered by rank, from rare to frequent, then
+by hash.
+
+With threshold t, two linked sets x and y miss at most A = (1-t)|x| tokens of x, and differ in at most D = (1-t)/t |x|
+tokens together. So their first shared token is among the first A+1 of both: these tokens are the single keys. A key that
+few sets hold is a rare token, and all pairs of its bucket are compared. A key that more than LIGHT sets hold is a
+frequent token. Sets with such a key extend their prefix, and runs of k consecutive tokens are their keys: a differing
+token breaks at most k runs, so one of the first kD+1 runs is common to both. No linked pair is lost, and a passage that
+many documents share hardly ever fills k places in a row in two of them.
+
+In the bucket of a run each member is first compared with a leader, the member of fewest rare tokens, which is the
+centre of a group of near copies. Components of the links found then settle most buckets; only members of one bucket
+that are still in different components are compared with each other.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ from veilstone.llm.components import components
 
 #: Cells of the counting table, and the blocks that it is summed by.
 CELLS, BLOCKS = 1 << 21, 64
-#: A cell's level is how many standard deviations its count lies above an even spread; from this level on it is frequent.
+#: A cell's level is how many standard deviations its count lies above an even spread; below this level a token counts as rare.
 FREQUENT = 5
 #: Bins of a set's sketch: counts of tokens by hash. The sum of least counts bounds an intersection from above.
 BINS = 256
-#: Consecutive frequent tokens of a key.
-RUN = 2
-#: Parts that the bucket of a run of frequent tokens is dealt over before their leaders meet.
+#: 64-bit words of a set's parity bits. Each token flips one bit, so two sets differ by as many tokens as bits at least.
+PARITY = 8
+#: Consecutive tokens of a run, and the largest bucket of a single token.
+RUN, LIGHT = 3, 8
+#: Parts that the bucket of a run is dealt over before their leaders meet.
 SALTS = 16
 #: Stands for a null id inside; larger than any other.
 NO_ID = 2**63 - 1
@@ -103,67 +106,83 @@ def cell_levels(docs: DataFrame, n: int) -> np.ndarray:
     return np.clip((counts.ravel() - mean) / (np.sqrt(mean) + 1), 0, 15).astype(np.uint8)
 
 
-def keys_of(hashes: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of one set, given hashes in order of (level, hash); the lowest bit tells runs (1) from tokens."""
-    rare = levels < FREQUENT
-    n = len(hashes)
-    miss, differ = (den - num) * n // den, (den - num) * n // num
-    if not differ:
-        return np.zeros(0, np.uint64)
-    one = np.uint64(1)
-    keys = hashes[rare][: miss + 1] & ~one
-    often = hashes[~rare]
-    if n - len(often) <= miss and len(often) >= RUN:
-        runs = np.zeros(min(len(often) - RUN + 1, RUN * differ + 1), np.uint64)
-        for k in range(RUN):
-            runs += often[k : k + len(runs)] * arrays.mix(np.array([2 * k + 7], np.uint64))
-        keys = np.concatenate((keys, arrays.mix(runs) | one))
-    return keys
+def bounds(n: int, num: int, den: int) -> tuple[int, int]:
+    """Tokens of a set of n that a linked set may miss, and by which the two may differ; none differ: only equal sets link."""
+    return (den - num) * n // den, (den - num) * n // num
 
 
-_PRINTS = "doc_id long, th long, n long, f1 long, f2 long, n_rare int, keys array<long>"
+def singles(ordered: np.ndarray, num: int, den: int) -> np.ndarray:
+    miss, differ = bounds(len(ordered), num, den)
+    return ordered[: miss + 1] if differ else ordered[:0]
 
 
-def prints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, hash of the text, set size, 128-bit fingerprint of the set, rare tokens and keys of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, n))  # CELLS bytes
+def runs(ordered: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the first runs of consecutive tokens: enough for one in common with any linked set."""
+    _, differ = bounds(len(ordered), num, den)
+    size = min(len(ordered) - RUN + 1, RUN * differ + 1)
+    if not differ or size <= 0:
+        return ordered[:0]
+    out = np.zeros(size, np.uint64)
+    for k in range(RUN):
+        out += ordered[k : k + size] * arrays.mix(np.array([2 * k + 7], np.uint64))
+    return arrays.mix(out)
+
+
+def ordered_sets(data: np.ndarray, offsets: np.ndarray, n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text by (level, hash), their levels, and the offsets of texts in them."""
+    hashes, at = shingle_sets(data, offsets, n)
+    level = levels[(hashes >> np.uint64(43)).astype(np.int64)]
+    order = np.lexsort((hashes, level, np.repeat(np.arange(len(at) - 1), np.diff(at))))
+    return hashes[order], level[order], at
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+_PRINTS = "doc_id long, th long, n long, f1 long, f2 long, keys array<long>"
+
+
+def prints(docs: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
+    """doc_id, hash of the text, set size, 128-bit fingerprint of the set and single keys of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(2)):
-                hashes, at = shingle_sets(data, offsets, n)
-                level = shared.value[(hashes >> np.uint64(43)).astype(np.int64)]
-                order = np.lexsort((hashes, level, np.repeat(np.arange(b - a), np.diff(at))))
-                hashes, level = hashes[order], level[order]
+                hashes, _, at = ordered_sets(data, offsets, n, shared.value)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes), dtype=np.uint64)))
-                keys = [keys_of(hashes[i:j], level[i:j], num, den) for i, j in zip(at[:-1], at[1:], strict=True)]
-                flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                sums = lambda t: pa.array(arrays.mix(t[at[1:]] - t[at[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), pa.array(arrays.sums(level < FREQUENT, at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "th", "n", "f1", "f2", "n_rare", "keys"],
-                )
+                sums = lambda t: pa.array(arrays.mix(t[at[1:]] - t[at[:-1]]).view(np.int64))  # noqa: B023, E731
+                keys = _lists([singles(hashes[i:j], num, den) for i, j in zip(at[:-1], at[1:], strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), keys], names=["doc_id", "th", "n", "f1", "f2", "keys"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(scan, _PRINTS)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, its set (array<long>) and the set's sketch (counts of BINS bins), of documents whose id is in `nodes`."""
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
+    """node, its set, the set's sketch (counts of BINS bins) and parity bits, its runs and its number of rare tokens, of the documents
+    whose id is in `nodes`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(1)):
-                hashes, at = shingle_sets(data, offsets, n)
+                hashes, level, at = ordered_sets(data, offsets, n, shared.value)
                 for i in range(a, b, 256):
                     j = min(i + 256, b)
-                    own, cut = hashes[at[i - a] : at[j - a]], (at[i - a : j - a + 1] - at[i - a]).astype(np.int32)
-                    bins = np.repeat(np.arange(j - i), np.diff(cut)) * BINS + (own & np.uint64(BINS - 1)).astype(np.int64)
+                    cut = at[i - a : j - a + 1]
+                    own = [hashes[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    bins = np.repeat(np.arange(j - i), np.diff(cut)) * BINS + (hashes[cut[0] : cut[-1]] & np.uint64(BINS - 1)).astype(np.int64)
                     sketch = np.bincount(bins, minlength=(j - i) * BINS).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(own.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BINS, BINS, dtype=np.int32)), pa.array(sketch))], names=["node", "shingles", "sketch"])
+                    sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BINS, BINS, dtype=np.int32)), pa.array(sketch))
+                    flips = np.bincount(np.repeat(np.arange(j - i), np.diff(cut)) * 64 * PARITY + (hashes[cut[0] : cut[-1]] >> np.uint64(8) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=(j - i) * 64 * PARITY) & 1
+                    parity = np.packbits(flips.astype(np.uint8)).view(np.int64)
+                    parities = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * PARITY, PARITY, dtype=np.int32)), pa.array(parity))
+                    rare = arrays.sums(level[cut[0] : cut[-1]] < FREQUENT, cut - cut[0])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(own), sketches, parities, _lists([runs(x, num, den) for x in own]), pa.array(rare)], names=["node", "shingles", "sketch", "parity", "runs", "n_rare"])
 
-    return docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, "node long, shingles array<long>, sketch array<int>")
+    found = docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    return found.mapInArrow(scan, "node long, shingles array<long>, sketch array<int>, parity array<long>, runs array<long>, n_rare long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, scope: str) -> DataFrame:
@@ -196,46 +215,57 @@ def placed_rows(docs: DataFrame, n: int, percent: int, scope: str) -> DataFrame:
     """What join() returns, with the hash of the text (th) and the set's fingerprint (f1, f2)."""
     num, den = percent, 100
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    table = store.keep(prints(rows, n, num, den), scope)
+    shared = docs.sparkSession.sparkContext.broadcast(cell_levels(rows, n))  # CELLS bytes
+    table = store.keep(prints(rows, n, num, den, shared), scope)
     same = ["n", "f1", "f2"]
     groups = store.keep(table.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), scope)
     close = lambda x, y: (F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y))
+    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    # Buckets: a row for each key of each class of equal sets; then (member, leader) of each bucket.
+    # Single keys of each class of equal sets, with the size of their bucket as far as LIGHT and more.
     heads = table.join(groups.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").filter(F.size("keys") > 0)
-    keyed = heads.select(F.explode("keys").alias("key"), F.struct("n_rare", F.col("doc_id").alias("node"), "n").alias("m"))
-    salt = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.pmod(F.xxhash64("m.node"), F.lit(SALTS))).otherwise(F.lit(0))
-    first = lambda *by: F.first("m").over(Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dealt = keyed.withColumn("salt", salt).withColumn("leader", first("key", "salt")).select("key", "m", "leader")
-    members = dealt.filter("m.node != leader.node")
-    chiefs = dealt.filter("m.node = leader.node").filter(F.col("key").bitwiseAND(F.lit(1)) == 1).select("key", "m").distinct().withColumn("leader", first("key")).filter("m.node != leader.node")
-    buckets = store.keep(members.unionByName(chiefs).select("key", F.col("m.node").alias("node"), F.col("m.n").alias("n"), F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), scope)
+    keyed = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
+    ahead = Window.partitionBy("key").orderBy("node", "n").rowsBetween(Window.unboundedPreceding, LIGHT)
+    buckets = store.keep(keyed.withColumn("held", F.count("*").over(ahead)).filter("held > 1"), scope)
+    heavy = store.keep(buckets.filter(F.col("held") > LIGHT).select("node", "n").distinct(), scope)
+
+    # Light buckets: all pairs of close sizes.
+    listed = buckets.filter(F.col("held") <= LIGHT).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("m"))  # LIGHT at most
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, LIGHT), lambda y: close(x["n"], y["n"]) & (x["node"] != y["node"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    light = store.keep(listed.select(F.inline(pairs)).distinct(), scope)
+    store.discard(buckets)
+    nodes = light.select(F.col("a").alias("node")).union(light.select("b")).union(heavy.select("node")).distinct()
+    sets = store.keep(sets_of(rows, nodes, n, num, den, shared), scope)
 
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    stars = store.keep(buckets.filter(close(F.col("n"), F.col("leader_n"))).select(*ordered("node", "leader")).distinct(), scope)
-    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    sets = store.keep(sets_of(rows, nodes, n), scope)
-    links = store.keep(linked(stars, sets, num, den, scope), scope)
+    # Runs of sets with a frequent key: the best leader of a set's buckets; then what different components are left.
+    member = F.struct("n_rare", "node", "n").alias("m")
+    run = sets.join(heavy, "node").select(F.explode("runs").alias("key"), member)
+    first = lambda *by: F.first("m").over(Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dealt = store.keep(run.withColumn("salt", F.pmod(F.xxhash64("m.node"), F.lit(SALTS))).withColumn("chief", first("key", "salt")).select("key", "m", "chief"), scope)
+    chiefs = dealt.filter("m.node = chief.node").select("key", F.col("m").alias("chief")).distinct()
+    led = chiefs.withColumnRenamed("chief", "m").withColumn("leader", first("key")).filter("m.node != leader.node").select("m", "leader")
+    led = led.union(dealt.filter("m.node != chief.node").select("m", "chief"))
+    best = led.filter(close(F.col("m.n"), F.col("leader.n"))).groupBy(F.col("m.node").alias("node")).agg(F.min("leader").alias("leader"))
+    stars = store.keep(best.select(*ordered(F.col("node"), F.col("leader.node"))).distinct(), scope)
+    links = store.keep(linked(light.union(stars).distinct(), sets, num, den, scope), scope)
     labels = components(links, scope)
 
-    # What is left: members of one bucket in different components.
-    held = buckets.select("key", "node", "n").union(buckets.select("key", F.col("leader").alias("node"), F.col("leader_n").alias("n"))).distinct()
-    placed = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = dealt.select("key", F.col("m.node").alias("node"), F.col("m.n").alias("n")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key")
-    rest = store.keep(placed.join(open_keys, "key", "left_semi"), scope)
-    store.discard(buckets)
+    bits = sets.select("node", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
+    rest = store.keep(placed.join(open_keys, "key", "left_semi").join(bits, "node"), scope)
+    store.discard(dealt)
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n"))
-    crossing = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    crossing = store.keep(crossing, scope)
+    flipped = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY)), F.lit(0))
+    apart &= F.lit(den + num) * flipped <= F.lit(den - num) * (F.col("x.n") + F.col("y.n"))
+    crossing = store.keep(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(light.union(stars), ["a", "b"], "left_anti"), scope)
     store.discard(rest)
-    late_nodes = crossing.select(F.col("a").alias("node")).union(crossing.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-    more = sets.unionByName(store.keep(sets_of(rows, late_nodes, n), scope))
-    late = store.keep(linked(crossing, more, num, den, scope), scope)
+    late = store.keep(linked(crossing, sets, num, den, scope), scope)
     if not late.isEmpty():
         labels = components(links.union(late), scope)
 
-    for done in (sets, stars, crossing):
+    for done in (sets, light, stars, crossing):
         store.discard(done)
     found = table.select("doc_id", "th", "n", "f1", "f2").join(groups, same, "left").join(labels, "node", "left")
     null_id = lambda c: F.nullif(c, F.lit(NO_ID))
