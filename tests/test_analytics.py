@@ -117,3 +117,26 @@ def test_windowed_rate_stream(spark, tmp_path):
     q = stream.rate_stream(source, "ts", "1 minute", 60, "1 minute", "kind").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sum(r.rate * 60 for r in spark.table("rates").collect()) == pytest.approx(len(EVENTS))
+
+
+def test_breaker_stream_equals_the_model(spark, tmp_path):
+    events_table(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("key string, ts timestamp, ok boolean").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = stream.breaker_stream(source, threshold=3, recovery_seconds=20, half_open=2)
+        q = out.writeStream.format("memory").queryName("breaker").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [(r.state, r.failures) for r in spark.table("breaker").orderBy("ts").collect()]
+    assert got == breaker_model(EVENTS, 3, 20, 2)
+
+
+def test_fresh_texts_stream(spark, tmp_path):
+    rows = [(T0, "x"), (T0 + dt.timedelta(seconds=1), "x"), (T0, "y")]
+    spark.createDataFrame(rows, "ts timestamp, prompt string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("ts timestamp, prompt string").parquet(str(tmp_path / "in"))
+    q = stream.fresh_texts(source, "ts").writeStream.format("memory").queryName("fresh").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sorted(r.prompt for r in spark.table("fresh").collect()) == ["x", "y"]
