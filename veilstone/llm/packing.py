@@ -27,23 +27,16 @@ REMEMBERED = 600_000
 LONG_WORD = 200
 #: Words to a line where ids are told apart by word ends.
 LINE_WORDS = 200
-#: Letters, then signs if any: one or two words to the tokenizer. An apostrophe, a digit or a letter that could fall
-#: apart under normalisation makes a word one that goes through the library alone.
-PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+#: Signs behind a word that are a word of their own to the tokenizer. Not the apostrophe, which begins contractions, nor
+#: those that special strings are made of.
+SIGNS = ",.!?;:%*#&$@^~+=-_()[]{}/\\\"`"
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: Letters that stay one word, whatever the normalisation.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-def plain_words(word: str) -> int:
-    """How many words a plain one is to the tokenizer; 0 if it is not plain."""
-    if word.isascii() and word.isalpha():
-        return 1
-    if word.isascii() and word[-1:] in ",." and word[:-1].isalpha():
-        return 2
-    m = PLAIN(word)
-    return 0 if m is None else 1 + bool(m[1])
-
-
 class WordEncoder:
     """Ids of texts by a tokenizer for which white space separates words and is dropped.
 
@@ -62,6 +55,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
         suffix = spec["model"]["end_of_word_suffix"]
         self.is_end = np.zeros(1 << 16, bool)
         self.is_end[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
@@ -74,34 +68,58 @@ class WordEncoder:
         new = set().union(*parts) - self.known.keys()
         found = {w: self.older[w] for w in new & self.older.keys()}
         found.update(self.encode(list(new - found.keys())))
-        if max(map(len, new), default=0) > LONG_WORD:
-            lasting = {w: i for w, i in found.items() if len(w) <= LONG_WORD}
-            found.update(self.known)
-            self.known.update(lasting)
-            return [b"".join(map(found.__getitem__, p)) for p in parts]
         self.known.update(found)
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for w in found:
+            if len(w) > LONG_WORD:
+                del self.known[w]
+        return out
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word. Plain words go through the library many to a line, where the ids that end a word tell them
-        apart; others one by one."""
+        """Ids of each word. A word of plain letters, with signs behind it or not, is the ids of its letters in lower case
+        and of its signs; letters go through the library many to a line. Other words go through it one by one."""
+        out: dict[str, bytes] = {}
+        bare, signed, rest = [], [], []
+        for w in words:
+            if w.isalpha():
+                (bare if w.isascii() or LETTERS(w) else rest).append(w)
+            else:
+                base = w.rstrip(SIGNS)
+                (signed if base.isalpha() and (base.isascii() or LETTERS(base)) else rest).append(w)
+        ends = [w.rstrip(SIGNS) for w in signed]
+        # A to Z only: other letters' lower case is the library's.
+        lower = [w.translate(LOWER) for w in bare + ends]
+        known, older = self.known, self.older
+        bases = {b: known.get(b) or older.get(b) for b in set(lower)}
+        bases.update(self.encode_lines([b for b, ids in bases.items() if not ids]))
+        out.update(zip(bare, map(bases.__getitem__, lower), strict=False))
+        tails = [w[len(b) :] for w, b in zip(signed, ends, strict=True)]
+        self.signs.update(self.encode_each(list(set(tails) - self.signs.keys())))
+        out.update(zip(signed, map(bytes.__add__, map(bases.__getitem__, lower[len(bare) :]), map(self.signs.__getitem__, tails)), strict=True))
+        out.update(self.encode_each(rest))
+        if len(self.signs) > REMEMBERED:
+            self.signs = {"": b""}
+        return out
+
+    def encode_lines(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are one word to the tokenizer each; the ids that end a word tell them apart."""
         out: dict[str, bytes] = {}
-        plain = [(w, n) for w in words if (n := plain_words(w))]
-        for a in range(0, len(plain), 64 * LINE_WORDS):
-            some = plain[a : a + 64 * LINE_WORDS]
-            lines = [" ".join([w for w, _ in some[k : k + LINE_WORDS]]) for k in range(0, len(some), LINE_WORDS)]
+        for a in range(0, len(words), 64 * LINE_WORDS):
+            some = words[a : a + 64 * LINE_WORDS]
+            lines = [" ".join(some[k : k + LINE_WORDS]) for k in range(0, len(some), LINE_WORDS)]
             ids = np.concatenate([np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            cuts = ends[np.cumsum([n for _, n in some]) - 1] * 2
-            if cuts[-1] != 2 * len(ids) or len(ends) != sum(n for _, n in some):
+            cuts = (2 * np.flatnonzero(self.is_end[ids]) + 2).tolist()
+            if len(cuts) != len(some) or cuts[-1] != 2 * len(ids):
                 raise AssertionError("ids do not fall apart into words")
-            held, start = ids.tobytes(), 0
-            for (w, _), end in zip(some, cuts.tolist(), strict=True):
-                out[w] = held[start:end]
-                start = end
-        rest = [w for w in words if w not in out]
-        for a in range(0, len(rest), 20_000):
-            for w, e in zip(rest[a : a + 20_000], self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False), strict=True):
+            held = ids.tobytes()
+            out.update(zip(some, [held[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
+        return out
+
+    def encode_each(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for a in range(0, len(words), 20_000):
+            some = words[a : a + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 out[w] = np.array(e.ids, "<u2").tobytes()
         return out
 
