@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.llm import arrays
+from veilstone.llm import arrays, store
 
 #: Second persons of the learned languages, and the reach in words.
 SECOND_PERSON = ("you", "your", "yours", "youre", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "usted", "ustedes", "ti", "tus", "su")
@@ -218,12 +218,12 @@ def learn_lexicon(rows: DataFrame, size: int = 400, support: int = 5) -> tuple[n
     return words[order], np.array([r.odds for r in best])[order]
 
 
-def train(rows: DataFrame, sample: int = 20_000) -> Model:
+def train(rows: DataFrame, sample: int = 20_000, scope: str = "query") -> Model:
     """Fit on labelled rows (doc_id, text, toxic). The trees take at most `sample` rows, those of least id hash; of these
     a fifth calibrates. The lexicon counts all labelled rows, whole texts."""
-    rows = rows.filter(F.col("toxic").isNotNull())
+    rows = store.keep(rows.filter(F.col("toxic").isNotNull()).select("doc_id", "text", "toxic"), scope)
     lexicon, weights = learn_lexicon(rows)
-    picked = rows.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h").limit(sample).select("doc_id")
+    picked = rows.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h").limit(sample).select("doc_id")  # `sample` ids at most
     shared = rows.sparkSession.sparkContext.broadcast((lexicon, weights))  # `size` words at most
     names = [f"f{i}" for i in range(len(NAMES))]
 
@@ -233,7 +233,8 @@ def train(rows: DataFrame, sample: int = 20_000) -> Model:
                 x = features(data, offsets, *shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(c) for c in x.T)], names=["doc_id", "toxic", *names])
 
-    table = rows.join(picked, "doc_id", "left_semi").select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(scan, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
+    table = rows.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(scan, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
+    store.discard(rows)
     y = (table["toxic"].to_numpy() == 1).astype(float)
     base = float(y.mean()) if len(y) else 0.0
     if len(y) < 20 or base in (0.0, 1.0):
