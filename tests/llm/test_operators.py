@@ -288,6 +288,16 @@ def test_decontamination_recall_and_precision(spark):
     assert decontamination.contaminated(frame(spark, []), benchmark).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies_of_a_full_block(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"q{rng.randrange(3000)}" for _ in range(n)]
+    items = [words(rng.randrange(16, 60)) for _ in range(decontamination.BLOCK_ITEMS)]
+    texts = [" ".join(words(rng.randrange(20, 150)) + (items[k] if k % 2 else []) + words(rng.randrange(20, 150))) for k in range(len(items))]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.matches(frame(spark, texts).repartition(4), benchmark).collect()}
+    assert len({(k, k) for k in range(1, len(items), 2)} - found) == 0
+
+
 def test_lcs():
     rng = random.Random(12)
     for _ in range(100):

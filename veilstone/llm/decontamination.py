@@ -1,10 +1,11 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by TF-IDF retrieval.
 
 Documents are cut into passages of STEP words; words are hashed into cells and weighted by inverse passage frequency,
-counted over all documents. A randomised singular value decomposition of the TF-IDF rows of the benchmark items and of
-a bounded sample of passages gives a latent space. Two neighbouring passages are a window; windows whose cosine with an
-item in that space reaches a threshold are candidates. Of each candidate the longest common subsequence with the item
-is taken over the words around the window, and the item's answer has to be there: its words of highest weight.
+counted over all documents. Two neighbouring passages are a window; windows whose cosine with an item reaches a
+threshold are candidates. The cosine is that of the whole rows and no projection is taken: a latent space that spans
+every item gives the same cosines, and one that does not loses items. Of each candidate the longest common subsequence
+with the item is taken over the words around the window, and the item's answer has to be there: its words of highest
+weight.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ STEP = 32
 BLOCK_ITEMS = 2000
 #: A longer item is cut into pieces of so many words, each searched for.
 MAX_ITEM_WORDS = 256
-RANK, OVERSAMPLE, POWER = 192, 16, 1
-SAMPLE_DOCS = 1000
+#: Cells of most items, whose products are taken by a matrix product; and how many products are held at a time.
+DENSE_CELLS, PRODUCTS = 256, 1 << 20
 #: Cells in over this share of passages carry no meaning.
 COMMON = 0.05
 COSINE, LCS, ANSWER = 0.25, 0.6, 0.5
@@ -85,84 +86,69 @@ def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return sum((np.frombuffer(zlib.decompress(r.seen), "<i8") for r in rows), np.zeros(CELLS, np.int64)), sum(r.n for r in rows)
 
 
-def sample_rows(docs: DataFrame, limit: int) -> list[np.ndarray]:
-    """Word hashes of the first passage of at most `limit` documents, those of least id hash."""
-    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in arrays.text_slices(batch.column(1)):
-                hashes, first = words(data, offsets)
-                out = [hashes[i : min(i + 2 * STEP, j)].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "words"])
-
-    rows = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, words binary").collect()
-    return [np.frombuffer(r.words, np.uint64) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0))]
-
-
 class Index:
-    """Items in the latent space. `cell_of`: place of a cell in the items' vocabulary, or -1."""
+    """Items by the cells that they hold. `dense_of`: place of a cell among those of most items, or -1."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], sample: list[np.ndarray], idf: np.ndarray):
+    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray):
         self.idf = idf.astype(np.float32)
         self.items = items
-        own = np.unique(np.concatenate([cells(w) for _, w in items] + [np.zeros(0, np.int64)]))
-        own = own[idf[own] > 0]
-        self.cell_of = np.full(CELLS, -1, np.int32)
-        self.cell_of[own] = np.arange(len(own))
-        rows = [self.row(w, len(own)) for _, w in items]
-        rest = [r for r in (self.row(w, len(own)) for w in sample) if r.any()]
-        a = np.stack(rows + rest) if rows else np.zeros((0, len(own)))
-        self.basis = randomised_basis(a, RANK, OVERSAMPLE, POWER).astype(np.float32)
-        at = a[: len(rows)] @ self.basis
-        self.at = (at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        own = np.repeat(np.arange(len(items)), [len(w) for _, w in items])
+        pair, count = np.unique(np.concatenate([cells(w) for _, w in items] + [np.zeros(0, np.int64)]) * max(len(items), 1) + own, return_counts=True)
+        cell, item = np.divmod(pair, max(len(items), 1))
+        self.norm = np.sqrt(np.bincount(item, np.square(count * idf[cell]), len(items)))
+        value = count * np.square(idf[cell])
+        held = np.bincount(cell, minlength=CELLS)
+        most = np.argsort(-held, kind="stable")[:DENSE_CELLS]
+        most = most[held[most] > 1]
+        self.dense_of = np.full(CELLS, -1, np.int32)
+        self.dense_of[most] = np.arange(len(most))
+        self.dense = np.zeros((len(most), len(items)), np.float32)
+        in_dense = self.dense_of[cell] >= 0
+        self.dense[self.dense_of[cell[in_dense]], item[in_dense]] = value[in_dense]
+        self.item, self.value = item[~in_dense], value[~in_dense]
+        self.start = np.searchsorted(cell[~in_dense], np.arange(CELLS + 1))
         self.answers = [answer_words(w, idf) for _, w in items]
 
-    def row(self, hashes: np.ndarray, size: int) -> np.ndarray:
-        c = cells(hashes)
-        full = np.bincount(c, minlength=CELLS) * self.idf
-        return full[self.cell_of >= 0] / max(float(np.linalg.norm(full)), 1e-9) if size else np.zeros(0)
+    def products(self, c: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
+        """Scalar products of the TF-IDF rows of n passages with those of all items; cell c[k] is in passage[k]."""
+        place = self.dense_of[c]
+        often = place >= 0
+        size = len(self.dense)
+        out = np.bincount(passage[often] * size + place[often], minlength=n * size).reshape(n, size).astype(np.float32) @ self.dense
+        some = np.flatnonzero(self.start[c + 1] > self.start[c])
+        begin, count = self.start[c[some]], self.start[c[some] + 1] - self.start[c[some]]
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        key = np.repeat(passage[some] * len(self.items), count) + self.item[at]
+        return out + np.bincount(key, self.value[at], n * len(self.items)).reshape(n, -1)
 
     def candidates(self, hashes: np.ndarray, begin: np.ndarray, block_of: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         """Windows (by their first passage) and items whose cosine reaches the threshold."""
         n = len(begin)
-        if not n or not len(self.at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out_w, out_i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if not n or not self.items:
+            return out_w[0], out_i[0]
         c = cells(hashes)
         weight = self.idf[c]
-        passage = np.repeat(np.arange(n), np.diff(np.append(begin, len(hashes))))
+        end = np.append(begin[1:], len(hashes))
+        passage = np.repeat(np.arange(n), end - begin)
         norm = np.bincount(passage, weight * weight, n)
-        place = self.cell_of[c]
-        used = np.flatnonzero(place >= 0)
-        latent = np.zeros((n, self.basis.shape[1]), np.float32)
-        if used.size:
-            p = passage[used]
-            heads = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            latent[p[heads]] = np.add.reduceat(self.basis[place[used]] * weight[used, None], heads)
         pair = np.append(block_of[1:] == block_of[:-1], False)
-        latent[:-1] += latent[1:] * pair[:-1, None]
         norm[:-1] += norm[1:] * pair[:-1]
-        out_w, out_i = [], []
-        # No cosine can exceed the share of the window's weight that lies in the latent space.
-        hopeful = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= cosine * cosine * np.maximum(norm, 1e-9))
-        for k in range(0, len(hopeful), 4096):
-            own = hopeful[k : k + 4096]
-            w, i = np.nonzero(latent[own] @ self.at.T >= cosine * np.sqrt(norm[own])[:, None])
-            out_w.append(own[w])
+        step = max(1, PRODUCTS // len(self.items))
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            last = min(b + 1, n)  # the window of passage b - 1 holds passage b
+            used = slice(begin[a], end[last - 1])
+            both = self.products(c[used], passage[used] - a, last - a)
+            both[:-1] += both[1:] * pair[a : last - 1, None]
+            w, i = np.nonzero(both[: b - a] >= self.least(norm[a:b], cosine))
+            out_w.append(w + a)
             out_i.append(i)
-        return np.concatenate([*out_w, np.zeros(0, np.int64)]), np.concatenate([*out_i, np.zeros(0, np.int64)])
-
+        return np.concatenate(out_w), np.concatenate(out_i)
 
-def randomised_basis(a: np.ndarray, rank: int, oversample: int, power: int, seed: int = 5) -> np.ndarray:
-    """Right singular vectors of `a`, the first `rank`, by a seeded random range finder with power iterations."""
-    size = min(rank + oversample, *a.shape) if a.size else 0
-    if not size:
-        return np.zeros((a.shape[1], 1))
-    y = a @ np.random.default_rng(seed).standard_normal((a.shape[1], size))
-    for _ in range(power):
-        y = a @ (a.T @ np.linalg.qr(y)[0])
-    q = np.linalg.qr(y)[0]
-    return np.linalg.svd(q.T @ a, full_matrices=False)[2][:rank].T
+    def least(self, norm: np.ndarray, cosine: float) -> np.ndarray:
+        """The scalar product from which a window (of this squared norm) and an item are candidates."""
+        return np.maximum(cosine * np.sqrt(norm)[:, None] * self.norm, 1e-9)
 
 
 def answer_words(hashes: np.ndarray, idf: np.ndarray) -> set[int]:
@@ -208,10 +194,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least
     seen, n = passage_frequency(docs)
     idf = np.where(seen > COMMON * max(n, 1), 0.0, np.log((n + 1) / (seen + 1.0)) + 0.1)
     blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
-    sample = sample_rows(docs, SAMPLE_DOCS)
     out = None
     for k in range(blocks):
-        found = _search(spark, docs, Index(benchmark_items(benchmark, k, blocks), sample, idf), cosine, least_lcs, answer)
+        found = _search(spark, docs, Index(benchmark_items(benchmark, k, blocks), idf), cosine, least_lcs, answer)
         out = found if out is None else out.unionByName(found)
     return out
 
