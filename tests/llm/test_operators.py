@@ -298,6 +298,17 @@ def test_decontamination_finds_verbatim_copies_of_a_full_block(spark):
     assert len({(k, k) for k in range(1, len(items), 2)} - found) == 0
 
 
+@pytest.mark.parametrize("share", [3, 1])
+def test_decontamination_finds_an_item_that_many_documents_hold(spark, share):
+    rng = random.Random(22)
+    words = lambda n: [f"q{rng.randrange(20000)}" for _ in range(n)]
+    items = [words(n) for n in (8, 15, 20, 40, 60)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for item in items:
+        texts = [" ".join(words(rng.randrange(150)) + (item if k % share == 0 else []) + words(rng.randrange(150))) for k in range(300)]
+        assert {r.doc_id for r in decontamination.contaminated(frame(spark, texts), benchmark).collect()} == set(range(0, 300, share))
+
+
 def test_lcs():
     rng = random.Random(12)
     for _ in range(100):

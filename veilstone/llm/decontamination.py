@@ -2,7 +2,8 @@
 
 Documents are cut into passages of STEP words; words are hashed into cells and weighted by inverse passage frequency,
 counted over all documents. Two neighbouring passages are a window; windows whose cosine with an item reaches a
-threshold are candidates. The cosine is that of the whole rows and no projection is taken: a latent space that spans
+threshold are candidates, and so are windows that hold most of an item's weight: how much else they hold, and how often
+the item was copied, does not matter then. The cosine is that of the whole rows and no projection is taken: a latent space that spans
 every item gives the same cosines, and one that does not loses items. Of each candidate the longest common subsequence
 with the item is taken over the words around the window, and the item's answer has to be there: its words of highest
 weight.
@@ -28,9 +29,9 @@ BLOCK_ITEMS = 2000
 MAX_ITEM_WORDS = 256
 #: Cells of most items, whose products are taken by a matrix product; and how many products are held at a time.
 DENSE_CELLS, PRODUCTS = 256, 1 << 20
-#: Cells in over this share of passages carry no meaning.
-COMMON = 0.05
 COSINE, LCS, ANSWER = 0.25, 0.6, 0.5
+#: A window that holds this share of the squared weight of an item of WHOLE_WORDS words or more is a candidate at any cosine.
+WHOLE, WHOLE_WORDS = 0.6, 8
 
 _VALUES = arrays.byte_values(21, fold_case=True, zero=tuple(b for b in range(128) if not chr(b).isalnum()))
 
@@ -96,6 +97,7 @@ class Index:
         pair, count = np.unique(np.concatenate([cells(w) for _, w in items] + [np.zeros(0, np.int64)]) * max(len(items), 1) + own, return_counts=True)
         cell, item = np.divmod(pair, max(len(items), 1))
         self.norm = np.sqrt(np.bincount(item, np.square(count * idf[cell]), len(items)))
+        self.whole = np.where([len(w) >= WHOLE_WORDS for _, w in items], WHOLE * np.square(self.norm), np.inf)
         value = count * np.square(idf[cell])
         held = np.bincount(cell, minlength=CELLS)
         most = np.argsort(-held, kind="stable")[:DENSE_CELLS]
@@ -122,7 +124,7 @@ class Index:
         return out + np.bincount(key, self.value[at], n * len(self.items)).reshape(n, -1)
 
     def candidates(self, hashes: np.ndarray, begin: np.ndarray, block_of: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """Windows (by their first passage) and items whose cosine reaches the threshold."""
+        """Windows (by their first passage) and items whose cosine reaches the threshold, or that hold the item nearly whole."""
         n = len(begin)
         out_w, out_i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if not n or not self.items:
@@ -148,7 +150,7 @@ class Index:
 
     def least(self, norm: np.ndarray, cosine: float) -> np.ndarray:
         """The scalar product from which a window (of this squared norm) and an item are candidates."""
-        return np.maximum(cosine * np.sqrt(norm)[:, None] * self.norm, 1e-9)
+        return np.maximum(np.minimum(cosine * np.sqrt(norm)[:, None] * self.norm, self.whole), 1e-9)
 
 
 def answer_words(hashes: np.ndarray, idf: np.ndarray) -> set[int]:
@@ -192,7 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     benchmark = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     seen, n = passage_frequency(docs)
-    idf = np.where(seen > COMMON * max(n, 1), 0.0, np.log((n + 1) / (seen + 1.0)) + 0.1)
+    idf = np.log((n + 1) / (seen + 1.0)) + 0.1  # above 0 for all cells: a passage that is copied often is still searched for
     blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
     out = None
     for k in range(blocks):
