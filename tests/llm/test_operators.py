@@ -309,6 +309,32 @@ def test_decontamination_finds_an_item_that_many_documents_hold(spark, share):
         assert {r.doc_id for r in decontamination.contaminated(frame(spark, texts), benchmark).collect()} == set(range(0, 300, share))
 
 
+def test_decontamination_recalls_what_brute_force_finds():
+    """Items in part, at every edit rate: all windows and items that LCS and answer words confirm are candidates."""
+    rng = random.Random(23)
+    words = lambda n: np.array([rng.randrange(2**64) if rng.random() < 0.5 else k * 0x9E3779B97F4A7C15 % 2**64 for k in rng.choices(range(200), k=n)], np.uint64)
+    items = [(k, words(rng.randrange(15, 60))) for k in range(decontamination.BLOCK_ITEMS // 8)]
+    texts = []
+    for k in range(500):
+        item = items[k % len(items)][1].copy()
+        item[np.array([rng.random() < k % 8 / 14 for _ in item], bool)] = words(1)
+        texts.append(np.concatenate((words(rng.randrange(100)), item, words(rng.randrange(100)))))
+    hashes, first = np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])
+    begin, per = decontamination.passages(first)
+    row = np.repeat(np.arange(len(texts)), np.diff(per))
+    seen = np.bincount(np.concatenate([np.unique(decontamination.cells(hashes[b : b + 32])) for b in begin]), minlength=decontamination.CELLS)
+    index = decontamination.Index(items, np.log((len(begin) + 1) / (seen + 1.0)) + 0.1)
+    got = set(zip(row[(c := index.candidates(hashes, begin, row, decontamination.COSINE))[0]].tolist(), c[1].tolist(), strict=True))
+    want = set()
+    for w, r in enumerate(row):
+        i = int(r) % len(items)
+        item = items[i][1].tolist()
+        text = hashes[max(first[r], begin[w] - len(item)) : min(first[r + 1], begin[w] + 64 + len(item))].tolist()
+        if decontamination.lcs(item, text) >= 0.6 * len(item) and len(index.answers[i].intersection(text)) >= 0.5 * len(index.answers[i]):
+            want.add((int(r), i))
+    assert len(want) > 250 and not want - got
+
+
 def test_lcs():
     rng = random.Random(12)
     for _ in range(100):
