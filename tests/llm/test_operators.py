@@ -85,6 +85,19 @@ def test_ngram_join_keys_lose_no_pair():
             assert len(np.intersect1d(keys(x, 90, 100), keys(y, 90, 100)))
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_ngram_join_runs_of_short_sets_lose_no_pair(percent):
+    tokens = np.arange(1, 14, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for size in range(4, 14):
+        union = tokens[:size]
+        for x_only, y_only in itertools.product(range(4), repeat=2):
+            if not x_only + y_only or 100 * (size - x_only - y_only) < percent * size:
+                continue
+            for lost in itertools.permutations(range(size), x_only + y_only):
+                x, y = np.delete(union, lost[:x_only]), np.delete(union, lost[x_only:])
+                assert len(np.intersect1d(ngram_join.runs(x, percent, 100), ngram_join.runs(y, percent, 100))), (x_only, y_only, size)
+
+
 def test_ngram_join_repeats_and_nulls(spark):
     rows = [doc(5, "a b c d"), doc(5, "a b c d"), doc(2, "a b c d"), doc(None, "a b c d"), doc(None, "zz"), doc(9, None)]
     got = sorted(map(str, ngram_join.join(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()))

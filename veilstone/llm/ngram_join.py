@@ -8,7 +8,8 @@ With threshold t, two linked sets x and y miss at most A = (1-t)|x| tokens of x,
 tokens together. So their first shared token is among the first A+1 of both: these tokens are the single keys. A key that
 few sets hold is a rare token, and all pairs of its bucket are compared. A key that more than LIGHT sets hold is a
 frequent token. Sets with such a key extend their prefix, and runs of k consecutive tokens are their keys: a differing
-token breaks at most k runs, so one of the first kD+1 runs is common to both. No linked pair is lost, and a passage that
+token breaks at most k runs, so one of the first kD+1 runs is common to both. Sets too short for kD+1 runs, and those
+that they may be linked with, are keyed by shorter runs as well. No linked pair is lost, and a passage that
 many documents share hardly ever fills k places in a row in two of them.
 
 In the bucket of a run each member is first compared with a leader, the member of fewest rare tokens, which is the
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,16 +118,34 @@ def singles(ordered: np.ndarray, num: int, den: int) -> np.ndarray:
     return ordered[: miss + 1] if differ else ordered[:0]
 
 
+@lru_cache(1 << 16)
+def run_lengths(n: int, num: int, den: int) -> tuple[int, ...]:
+    """Lengths of the runs that a set of n is keyed by: RUN, and shorter ones as far as the set or one that it may be linked
+    with is too short to hold a run for each token that may differ, and one more."""
+
+    def weak(size: int, k: int) -> bool:
+        differ = bounds(size, num, den)[1]
+        return differ > 0 and size - k + 1 < k * differ + 1
+
+    sizes, lengths = range(-(-n * num // den), n * den // num + 1), [RUN]
+    while lengths[-1] > 1 and any(weak(m, lengths[-1]) for m in sizes):
+        lengths.append(lengths[-1] - 1)
+    return tuple(lengths)
+
+
 def runs(ordered: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes of the first runs of consecutive tokens: enough for one in common with any linked set."""
     _, differ = bounds(len(ordered), num, den)
-    size = min(len(ordered) - RUN + 1, RUN * differ + 1)
-    if not differ or size <= 0:
+    if not differ:
         return ordered[:0]
-    out = np.zeros(size, np.uint64)
-    for k in range(RUN):
-        out += ordered[k : k + size] * arrays.mix(np.array([2 * k + 7], np.uint64))
-    return arrays.mix(out)
+    parts = []
+    for length in run_lengths(len(ordered), num, den):
+        size = max(0, min(len(ordered) - length + 1, length * differ + 1))
+        out = np.zeros(size, np.uint64)
+        for k in range(length):
+            out += ordered[k : k + size] * arrays.mix(np.array([2 * k + 7], np.uint64))
+        parts.append(arrays.mix(out + np.uint64(RUN - length)))
+    return np.concatenate(parts)
 
 
 def ordered_sets(data: np.ndarray, offsets: np.ndarray, n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
