@@ -281,6 +281,20 @@ def test_line_dedup_leaves_no_repeat_and_loses_no_line(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_line_dedup_extends_with_any_earlier_occurrence(spark, parts):
+    line = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    texts, whole, fresh = [], [], []
+    for k in range(30):
+        g, x, y, z = line(f"g{k}", 50), line(f"x{k}", 20), line(f"y{k}", 20), line(f"z{k}", 20)
+        texts += [g, f"{x}\n{g}\n{y}", g, f"{z}\n{g}\n{z} end", g, f"{x}\n{g}\n{y}\nnew{k}"]
+        whole += [x, y]
+        fresh.append(f"new{k}")
+    rows = {r._row.doc_id: r._row.text for r in line_dedup.dedup(frame(spark, texts).repartition(parts)).collect()}
+    assert [rows[k] for k in range(5, len(texts), 6)] == fresh
+    assert [x for k in range(1, len(texts), 6) for x in rows[k].split("\n")] == whole
+
+
 def test_decontamination_recall_and_precision(spark):
     rng = random.Random(11)
     vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ze", "tu", "pra", "gno") for b in ("ran", "tel", "mos", "vik", "dal", "fex", "hun", "wob")] + [f"r{k}" for k in range(3000)]

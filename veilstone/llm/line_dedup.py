@@ -3,13 +3,15 @@
 The lines of a text that hold a word are hashed. A gram is the shortest run of lines from a line on that has GRAM_WORDS
 words; of each window, the shortest run that has `window_words` words, the gram of least hash is an anchor. Any run of
 that many words that occurs twice holds a whole window in both places, so the same anchor is chosen in both: this is a
-guarantee. Equal anchors are matched with an earlier occurrence, matches are extended both ways line by line, and the
-later run goes.
-
-An anchor carries the hashes of the lines back to the anchor before it and on to the end of the next anchor's gram. A
-match need not look further: where a run goes on beyond these, it holds that anchor's gram, which is matched as well. So
-one shuffle by gram is all that is needed. Anchors that meet in one slice of texts are matched there, and only the first
-of them is shuffled, which keeps a passage that very many documents share from gathering in one task.
+guarantee. Equal anchors are matched with all earlier occurrences at once, as follows, and the later runs go.
+
+An anchor's context goes back to the line behind the anchor before it and on to the end of the next anchor's gram. A match
+need not look further: where a run goes on beyond these, it holds that anchor's gram, which is matched as well. The keys of
+an anchor are the hashes of its gram, of its gram with the 1, 2, ... lines in front, and of its gram with the 1, 2, ...
+lines behind, as far as the context goes. A run of lines is a repeat if its key occurs at an earlier place, so the
+longest match with any earlier occurrence is found without listing pairs, and one shuffle by key is all that is needed.
+Keys that meet in one slice of texts are matched there, and only the first place of each is shuffled, which keeps a
+passage that very many documents share from gathering in one task.
 """
 
 from __future__ import annotations
@@ -47,9 +49,15 @@ def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return np.where(values[b] < values[a], b, a)
 
 
+def run_hashes(prefix: np.ndarray, back: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of lines begin..end - 1, wherever they are."""
+    return arrays.mix((prefix[end] - prefix[begin]) * back[begin])
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, gram_words: int, window_words: int) -> dict[str, np.ndarray]:
-    """The anchors of a slice: row, gram, at (number of the line in the slice), and the span lo..hi of lines that each
-    carries; with the lines' hashes, and the number of each row's first line in the slice."""
+    """The anchors of a slice: row, at and end (numbers of the gram's first line in the slice and of the line behind it),
+    and the span lo..hi of lines that is each one's context; with the number of each row's first line in the slice, and
+    sums and powers for run_hashes()."""
     starts = arrays.line_starts(data, offsets)
     words, _, _ = arrays.word_spans(data, offsets)
     n_words = np.diff(np.searchsorted(words, np.append(starts, len(data))))
@@ -59,7 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram_words: int, window_words
     row = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(row, np.arange(len(offsets)))
     empty = np.zeros(0, np.int64)
-    out = {"hashes": hashes, "first": first, "row": empty, "gram": np.zeros(0, np.uint64), "at": empty, "lo": empty, "hi": empty}
+    out = {"first": first, "row": empty, "at": empty, "end": empty, "lo": empty, "hi": empty}
     if not len(starts):
         return out
     total = np.concatenate(([0], np.cumsum(n_words)))
@@ -72,7 +80,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram_words: int, window_words
     power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
     stop = np.minimum(gram_end, len(line))
-    grams = arrays.mix((prefix[stop] - prefix[:-1]) * back[:-1])
+    grams = run_hashes(prefix, back, line, stop)
     windows = np.flatnonzero(window_end <= end_of_row)
     if not windows.size:
         return out
@@ -83,81 +91,66 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram_words: int, window_words
     lo, hi = first[row[chosen]], end_of_row[chosen]
     lo[1:] = np.where(same, chosen[:-1] + 1, lo[1:])
     hi[:-1] = np.where(same, gram_end[chosen[1:]], hi[:-1])
-    return out | {"row": row[chosen], "gram": grams[chosen], "at": chosen, "lo": lo, "hi": hi}
-
-
-_SCHEMA = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32()), ("gram", pa.int64()), ("back", pa.list_(pa.int64())), ("ahead", pa.list_(pa.int64()))])
-_DDL = "doc long, th long, pos int, stop int, gram long, back array<long>, ahead array<long>"
+    return out | {"row": row[chosen], "at": chosen, "end": gram_end[chosen], "lo": lo, "hi": hi, "prefix": prefix, "back": back}
 
 
-def _spans(hashes: np.ndarray, begin: np.ndarray, count: np.ndarray, step: int) -> pa.ListArray:
-    """Lists of hashes[begin], hashes[begin + step], ... of `count` items each."""
-    ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-    nth = np.arange(ends[-1]) - np.repeat(ends[:-1], count)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[np.repeat(begin, count) + step * nth].view(np.int64)))
+_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("from", pa.int32()), ("to", pa.int32())])
+_DDL = "key long, doc long, th long, at int, from int, to int"
 
 
-def _common(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray, step: int) -> np.ndarray:
-    """How many of hashes[a], hashes[a + step], ... equal those from b on, up to `limit`."""
-    n = np.zeros(len(a), np.int64)
-    live = np.flatnonzero(limit > 0)
-    while live.size:
-        live = live[hashes[a[live] + step * n[live]] == hashes[b[live] + step * n[live]]]
-        n[live] += 1
-        live = live[n[live] < limit[live]]
-    return n
+def context_runs(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the anchor, first line and line behind the last, of the gram of each anchor with the lines of its context
+    added one by one in front, and one by one behind."""
+    nth = lambda count: np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    number = np.arange(len(x["at"]))
+    n_back, n_ahead = x["at"] - x["lo"] + 1, x["hi"] - x["end"]  # back: the gram alone, too
+    b, a = np.repeat(number, n_back), np.repeat(number, n_ahead)
+    begin = np.concatenate((x["at"][b] - nth(n_back), x["at"][a]))
+    end = np.concatenate((x["end"][b], x["end"][a] + nth(n_ahead) + 1))
+    return np.concatenate((b, a)), begin, end
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, scope: str = "query") -> DataFrame:
     """doc, th (xxhash64 of the text) and runs (array of from, to: the word-holding lines from..to - 1, counted within
-    the text) that occurred before, in a text of lesser (id, th) or further up in the same text."""
+    the text) that occurred before, in a text of lesser (id, th) or further up in the same text. A run is the gram of an
+    anchor with all that some earlier occurrence has in front of it too, and all that one, maybe another, has behind."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b, data, offsets in arrays.text_slices(batch.column(2)):
                 x = anchors(data, offsets, gram_words, window_words)
-                doc, th, at = docs_[a:b][x["row"]], ths[a:b][x["row"]], x["at"]
-                if not len(at):
+                if not len(x["at"]):
                     continue
-                order = np.lexsort((at, th, doc, x["gram"]))
-                gram = x["gram"][order]
+                own, begin, end = context_runs(x)
+                key = run_hashes(x["prefix"], x["back"], begin, end)
+                row = x["row"][own]
+                base = x["first"][row]
+                doc, th, at, start, stop = docs_[a:b][row], ths[a:b][row], x["at"][own] - base, begin - base, end - base
+                order = np.lexsort((start, th, doc, key))
                 head = np.ones(len(order), bool)
-                head[1:] = gram[1:] != gram[:-1]
-                later = np.flatnonzero(~head)
-                begin = np.flatnonzero(head)
-                leader, own = order[begin[np.searchsorted(begin, later, "right") - 1]], order[later]
-                base = x["first"][x["row"]]
-                # Repeated rows are one text: an occurrence at the leader's own place is no later one.
-                twin = (doc[own] == doc[leader]) & (th[own] == th[leader]) & (at[own] - base[own] == at[leader] - base[leader])
-                own, leader = own[~twin], leader[~twin]
-                h, lo, hi = x["hashes"], x["lo"], x["hi"]
-                back = _common(h, at[own] - 1, at[leader] - 1, np.minimum(at[own] - lo[own], at[leader] - lo[leader]), -1)
-                ahead = _common(h, at[own], at[leader], np.minimum(hi[own] - at[own], hi[leader] - at[leader]), 1)
-                if len(own):
-                    nothing = pa.array([None] * len(own), pa.list_(pa.int64()))
-                    yield arrays.columns(_SCHEMA, doc[own], th[own], at[own] - base[own] - back, at[own] - base[own] + ahead, pa.array([None] * len(own), pa.int64()), nothing, nothing)
-                keep = order[begin]
-                n_back, n_ahead = at[keep] - lo[keep], hi[keep] - at[keep]
-                pos = at[keep] - base[keep]
-                yield arrays.columns(_SCHEMA, doc[keep], th[keep], pos, pos, x["gram"][keep].view(np.int64), _spans(h, np.maximum(at[keep] - 1, 0), n_back, -1), _spans(h, at[keep], n_ahead, 1))
+                head[1:] = key[order[1:]] != key[order[:-1]]
+                first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+                # Repeated rows are one text: a run at the first one's own place is no later one.
+                twin = (doc[order] == doc[first]) & (th[order] == th[first]) & (start[order] == start[first])
+                later, keep = order[~twin], order[head]
+                if len(later):
+                    least, most = np.full(len(x["at"]), len(data)), np.zeros(len(x["at"]), np.int64)
+                    np.minimum.at(least, own[later], start[later])
+                    np.maximum.at(most, own[later], stop[later])
+                    cut, one = np.unique(own[later], return_index=True)
+                    one = later[one]
+                    yield arrays.columns(_SCHEMA, pa.array([None] * len(cut), pa.int64()), doc[one], th[one], at[one], least[cut], most[cut])
+                yield arrays.columns(_SCHEMA, key[keep].view(np.int64), doc[keep], th[keep], at[keep], start[keep], stop[keep])
 
     rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     table = store.keep(rows.mapInArrow(scan, _DDL), scope)
-    order = Window.partitionBy("gram").orderBy("doc", "th", "pos")
-    place = F.struct("doc", "th", "pos", "back", "ahead")
-    first = F.first(place).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = table.filter(F.col("gram").isNotNull()).withColumn("f", first).withColumn("p", F.lag(place).over(order))
-
-    def common(mine: str, other: str):
-        equal = F.zip_with(mine, other, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        at = F.array_position(equal, False)
-        return F.when(at > 0, at - 1).otherwise(F.size(equal)).cast("int")
-
-    runs = F.struct((F.col("pos") - common("back", "m.back")).alias("from"), (F.col("pos") + common("ahead", "m.ahead")).alias("to"))
-    earlier = seen.withColumn("m", F.explode(F.array_distinct(F.array("f", "p")))).filter("m is not null and (m.doc, m.th, m.pos) != (doc, th, pos)")
-    found = earlier.select("doc", "th", runs.alias("r")).union(table.filter(F.col("gram").isNull()).select("doc", "th", F.struct(F.col("pos").alias("from"), F.col("stop").alias("to"))))
-    runs = store.keep(found.groupBy("doc", "th").agg(F.array_sort(F.collect_set("r")).alias("runs")), scope)  # of one text: at most two an anchor
+    place = F.struct("doc", "th", "from")
+    first = F.first(place).over(Window.partitionBy("key").orderBy("doc", "th", "from").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = ["doc", "th", "at", "from", "to"]
+    across = table.filter(F.col("key").isNotNull()).withColumn("f", first).filter(F.col("f") != place).select(*run)
+    found = across.union(table.filter(F.col("key").isNull()).select(*run)).groupBy("doc", "th", "at").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    runs = store.keep(found.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("runs")), scope)  # of one text: one an anchor
     store.discard(table)
     return runs
 
