@@ -212,6 +212,17 @@ def test_trigram_queries():
     assert by["hex"] == [] and by["access"] == [["aki", "kia"]] and ["ken", "oke", "tok"] in by["assign"]
 
 
+@pytest.mark.parametrize(("regex", "literals"), [("(?i)token|passwd", ("token",)), ("(api)?key=", ("apikey",)), ("ab+cd", ("abcd",)), ("x[ab]cd", ("xacd",)), ("(abc)*d", ("abc",))])
+def test_rules_refuse_literals_that_do_not_follow(regex, literals):
+    with pytest.raises(ValueError):
+        secrets.Rule("own", regex, literals)
+
+
+def test_rules_take_literals_that_follow():
+    for regex, literals in (("(?i)TOKEN|passwd", ("token", "passwd")), ("(api)?key=", ("key=",)), ("(abc)+d", ("abc",)), (r"\babc(?!d)ef", ("abcef",))):
+        secrets.Rule("own", regex, literals)
+
+
 def test_chat_is_read_back(spark):
     rng = random.Random(9)
     bits = ["\\", "\\!", "<</SYS>>", "<<<</SYS>>>", "[INST] x", " [/INST]", "<", "[", "<s", "</s></s>", "[TEXT]", "[ROLE]x[TEXT]", "\n", " ", "$1", "é😀"]

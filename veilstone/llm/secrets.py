@@ -7,6 +7,7 @@ intersected by counting, and only candidates meet the rule's regex. A rule witho
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,37 @@ from pyspark.sql import functions as F
 from veilstone.llm import store
 
 
+def written_forms(regex: str) -> set[str]:
+    """Forms of a match in lower case, a line break where anything may stand: every match has the runs of one form in it."""
+
+    def forms(items) -> set[str]:
+        out = {""}
+        for op, value in items:
+            part = {"\n"}
+            if op is re._constants.LITERAL:
+                part = {chr(value).lower()}
+            elif op is re._constants.SUBPATTERN:
+                part = forms(value[-1])
+            elif op is re._constants.BRANCH:
+                part = set().union(*map(forms, value[1]))
+            elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT):
+                least, most, inner = value
+                part = {x + "\n" * (most > 1) for x in forms(inner)} if least else {"\n"}
+                if (least, most) == (0, 1):
+                    part = {"", *forms(inner)}
+            elif op in (re._constants.AT, re._constants.ASSERT, re._constants.ASSERT_NOT):
+                part = {""}
+            out = {x + y for x in out for y in part}
+        return out
+
+    return forms(re._parser.parse(regex))
+
+
 @dataclass(frozen=True)
 class Rule:
     """`literals`: alternatives in lower case of which a match holds one, in any case; none: the rule scans fully.
 
-    A match counts if group `group` has `least` characters or more.
+    A match counts if group `group` has `least` characters or more. Literals that do not follow from the regex are refused.
     """
 
     kind: str
@@ -29,6 +56,10 @@ class Rule:
     least: int = 1
     base: bool = False
 
+    def __post_init__(self):
+        if self.literals and not all(any(x in form for x in self.literals) for form in written_forms(self.regex)):
+            raise ValueError(f"rule {self.kind}: the regex can match without one of {self.literals}")
+
 
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "api_key", "apikey"), 2, 6, True),
