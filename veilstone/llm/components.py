@@ -23,9 +23,10 @@ def components(links: DataFrame, scope: str = "query") -> DataFrame:
         fallen = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"))
         up = fallen.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         after = store.keep(fallen.join(up, F.col("component") == F.col("_n")).select("node", F.least("component", "_c").alias("component")), scope)
-        now = total(after)
-        labels = after
+        store.discard(labels)
+        now, labels = total(after), after
         if now == before:
             break
         before = now
+    store.discard(both)
     return labels

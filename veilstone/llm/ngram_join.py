@@ -6,44 +6,43 @@ by hash.
 
 With threshold t, two linked sets x and y miss at most A = (1-t)|x| tokens of x, and differ in at most D = (1-t)/t |x|
 tokens together. So their first shared token is among the first A+1 of both: these tokens are the single keys. A key that
-few sets hold is a rare token, and all pairs of its bucket are compared. A key that more than LIGHT sets hold is a
-frequent token. Sets with such a key extend their prefix, and runs of k consecutive tokens are their keys: a differing
-token breaks at most k runs, so one of the first kD+1 runs is common to both. Sets too short for kD+1 runs, and those
-that they may be linked with, are keyed by shorter runs as well. No linked pair is lost, and a passage that
-many documents share hardly ever fills k places in a row in two of them.
-
-In the bucket of a run each member is first compared with a leader, the member of fewest rare tokens, which is the
-centre of a group of near copies. Components of the links found then settle most buckets; only members of one bucket
-that are still in different components are compared with each other.
+few sets hold is a rare token, and all pairs of its bucket are candidates whose places leave room for enough common
+tokens behind their first one. A key that more than LIGHT sets hold is a frequent token. Sets with such a key extend
+their prefix, and runs of k consecutive tokens are their keys: a differing token breaks at most k runs, so one of the
+first kD+1 runs is common to both. Sets too short for kD+1 runs, and those that they may be linked with, are keyed by
+shorter runs as well. No linked pair is lost, and a passage that many documents share hardly ever fills k places in a
+row in two of them.
+
+Parity bits of the sets rule out most candidates. The rest is verified in two rounds, as only components are asked for:
+first each set meets one partner, its least candidate or the leader of one of its runs (the member of fewest rare
+tokens, the centre of a group of near copies). Then only candidates, and members of one run's bucket, that are still in
+different components meet. So a set moves once or twice however many copies it has.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.llm import arrays, store
 from veilstone.llm.components import components
 
-#: Cells of the counting table, and the blocks that it is summed by.
-CELLS, BLOCKS = 1 << 21, 64
-#: A cell's level is how many standard deviations its count lies above an even spread; below this level a token counts as rare.
-FREQUENT = 5
-#: Bins of a set's sketch: counts of tokens by hash. The sum of least counts bounds an intersection from above.
-BINS = 256
+#: Cells of the counting table, and the blocks that it is summed by. A cell's level is a byte.
+CELLS, BLOCKS = 1 << 24, 64
+_SHIFT = np.uint64(40)
+#: Levels grow with the logarithm of a cell's count over an even spread's noise; a token below this one counts as rare.
+FREQUENT = 53
 #: 64-bit words of a set's parity bits. Each token flips one bit, so two sets differ by as many tokens as bits at least.
 PARITY = 8
 #: Consecutive tokens of a run, and the largest bucket of a single token.
-RUN, LIGHT = 3, 8
-#: Parts that the bucket of a run is dealt over before their leaders meet.
-SALTS = 16
+RUN, LIGHT = 3, 32
 #: Stands for a null id inside; larger than any other.
 NO_ID = 2**63 - 1
 
@@ -71,29 +70,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def cell_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """How far each cell of the counting table stands out (0 to 15); a function of all documents, of fixed size.
+    """How frequent the tokens of each cell of the counting table are; a function of all documents, of fixed size.
 
     Levels decide only how tokens are ordered and keyed, never what is linked.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for _, _, data, offsets in arrays.text_slices(batch.column(0)):
                 hashes, _ = shingle_sets(data, offsets, n)
-                total += np.bincount((hashes >> np.uint64(43)).astype(np.int64), minlength=CELLS)
+                np.add.at(total, (hashes >> _SHIFT).astype(np.int64), np.uint32(1))
         part = TaskContext.get().partitionId()
-        yield packed(range(BLOCKS), [part] * BLOCKS, total.reshape(BLOCKS, -1))
+        yield packed(range(BLOCKS), [part] * BLOCKS, total.reshape(BLOCKS, -1).astype("<u8"))
 
     def packed(blocks, parts, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(parts), pa.int64()), pa.array([zlib.compress(c.astype("<i8").tobytes(), 1) for c in counts], pa.binary())], names=["block", "part", "counts"])
+        """Bytes of equal weight stand together, so those of no weight cost next to nothing."""
+        planes = [pa.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) for c in counts]
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(parts), pa.int64()), pa.array(planes, pa.binary())], names=["block", "part", "counts"])
+
+    def unpacked(planes: bytes) -> np.ndarray:
+        size = CELLS // BLOCKS
+        raw = np.frombuffer(pa.decompress(planes, 8 * size, "zstd", asbytes=True), np.uint8)
+        return np.ascontiguousarray(raw.reshape(8, size).T).view("<u8").ravel()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, part, total = 0, 0, np.zeros(CELLS // BLOCKS, np.int64)
+        block, part, total = 0, 0, np.zeros(CELLS // BLOCKS, "<u8")
         for b in batches:
             for k, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 block, part = k, p
-                total += np.frombuffer(zlib.decompress(c), "<i8")
+                total += unpacked(c)
         yield packed([block], [part], [total])
 
     ddl = "block int, part long, counts binary"
@@ -101,11 +107,13 @@ def cell_levels(docs: DataFrame, n: int) -> np.ndarray:
     while parts > 1:
         parts = -(-parts // 32)
         table = table.withColumn("part", F.expr("part div 32")).groupBy("block", "part").applyInArrow(add, ddl)
-    counts = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
+    counts = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint64)
     for r in table.collect():  # BLOCKS rows
-        counts[r.block] += np.frombuffer(zlib.decompress(r.counts), "<i8")
-    mean = counts.mean()
-    return np.clip((counts.ravel() - mean) / (np.sqrt(mean) + 1), 0, 15).astype(np.uint8)
+        counts[r.block] += unpacked(r.counts)
+    counts = counts.ravel()
+    noise = math.sqrt(mean := float(counts.mean()))
+    above = np.maximum(counts.astype(np.float32) - np.float32(max(0.0, mean - 4 * noise)), 0)
+    return np.clip(16 * np.log2(1 + above / np.float32(noise + 1)), 0, 255).astype(np.uint8)
 
 
 def bounds(n: int, num: int, den: int) -> tuple[int, int]:
@@ -151,7 +159,7 @@ def runs(ordered: np.ndarray, num: int, den: int) -> np.ndarray:
 def ordered_sets(data: np.ndarray, offsets: np.ndarray, n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each text by (level, hash), their levels, and the offsets of texts in them."""
     hashes, at = shingle_sets(data, offsets, n)
-    level = levels[(hashes >> np.uint64(43)).astype(np.int64)]
+    level = levels[(hashes >> _SHIFT).astype(np.int64)]
     order = np.lexsort((hashes, level, np.repeat(np.arange(len(at) - 1), np.diff(at))))
     return hashes[order], level[order], at
 
@@ -161,13 +169,29 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-_PRINTS = "doc_id long, th long, n long, f1 long, f2 long, keys array<long>"
+def parity_bits(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """PARITY words for each set."""
+    n = len(at) - 1
+    out = np.empty((n, PARITY), np.int64)
+    for i in range(0, n, 4096):
+        cut = at[i : i + 4097]
+        bit = (hashes[cut[0] : cut[-1]] >> np.uint64(8) & np.uint64(64 * PARITY - 1)).astype(np.int64)
+        rows = len(cut) - 1
+        flips = np.bincount(np.repeat(np.arange(rows), np.diff(cut)) * 64 * PARITY + bit, minlength=rows * 64 * PARITY) & 1
+        out[i : i + rows] = np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(rows, PARITY)
+    return out
+
+
+_BITS = [f"p{k}" for k in range(PARITY)]
+_PRINTS = "rid long, doc_id long, th long, n long, f1 long, f2 long, " + ", ".join(f"{p} long" for p in _BITS) + ", keys array<long>"
 
 
 def prints(docs: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
-    """doc_id, hash of the text, set size, 128-bit fingerprint of the set and single keys of every row."""
+    """A number of its own (rid), doc_id, hash of the text, set size, 128-bit fingerprint of the set, parity bits and single
+    keys of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(2)):
                 hashes, _, at = ordered_sets(data, offsets, n, shared.value)
@@ -175,47 +199,79 @@ def prints(docs: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes), dtype=np.uint64)))
                 sums = lambda t: pa.array(arrays.mix(t[at[1:]] - t[at[:-1]]).view(np.int64))  # noqa: B023, E731
                 keys = _lists([singles(hashes[i:j], num, den) for i, j in zip(at[:-1], at[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), keys], names=["doc_id", "th", "n", "f1", "f2", "keys"])
+                bits = parity_bits(hashes, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + b - a)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at)), sums(total), sums(other), *(pa.array(x) for x in bits.T), keys], names=["rid", "doc_id", "th", "n", "f1", "f2", *_BITS, "keys"])
+                rid += b - a
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(scan, _PRINTS)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
-    """node, its set, the set's sketch (counts of BINS bins) and parity bits, its runs and its number of rare tokens, of the documents
-    whose id is in `nodes`."""
+    """node, its set, its runs (of nodes that are `heavy`) and its number of rare tokens, of the documents whose id is in
+    `nodes` (node, heavy). Rows equal in id and text are one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            heavy = batch.column(2).to_pylist()
             for a, b, data, offsets in arrays.text_slices(batch.column(1)):
                 hashes, level, at = ordered_sets(data, offsets, n, shared.value)
                 for i in range(a, b, 256):
                     j = min(i + 256, b)
                     cut = at[i - a : j - a + 1]
                     own = [hashes[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                    bins = np.repeat(np.arange(j - i), np.diff(cut)) * BINS + (hashes[cut[0] : cut[-1]] & np.uint64(BINS - 1)).astype(np.int64)
-                    sketch = np.bincount(bins, minlength=(j - i) * BINS).astype(np.int32)
-                    sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BINS, BINS, dtype=np.int32)), pa.array(sketch))
-                    flips = np.bincount(np.repeat(np.arange(j - i), np.diff(cut)) * 64 * PARITY + (hashes[cut[0] : cut[-1]] >> np.uint64(8) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=(j - i) * 64 * PARITY) & 1
-                    parity = np.packbits(flips.astype(np.uint8)).view(np.int64)
-                    parities = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * PARITY, PARITY, dtype=np.int32)), pa.array(parity))
+                    keys = [runs(x, num, den) if h else x[:0] for x, h in zip(own, heavy[i:j], strict=True)]
                     rare = arrays.sums(level[cut[0] : cut[-1]] < FREQUENT, cut - cut[0])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(own), sketches, parities, _lists([runs(x, num, den) for x in own]), pa.array(rare)], names=["node", "shingles", "sketch", "parity", "runs", "n_rare"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(own), _lists(keys), pa.array(rare)], names=["node", "shingles", "runs", "n_rare"])
 
-    found = docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    return found.mapInArrow(scan, "node long, shingles array<long>, sketch array<int>, parity array<long>, runs array<long>, n_rare long")
+    found = docs.withColumn("th", F.xxhash64("text")).join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+    one = found.dropDuplicates(["doc_id", "th"]).select("doc_id", "text", "heavy")
+    return one.mapInArrow(scan, "node long, shingles array<long>, runs array<long>, n_rare long")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, scope: str) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Sketches go first: a pair whose upper bound misses the threshold
-    is settled without its sets."""
-    reaches = lambda both, x, y: F.lit(den) * both >= F.lit(num) * (x + y - both)
-    total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
-    least = total(F.zip_with("_x", "_y", lambda x, y: F.least(x, y)))
-    side = lambda name, what, out: sets.select(F.col("node").alias(name), F.col(what).alias(out))
-    hopeful = pairs.join(side("a", "sketch", "_x"), "a").join(side("b", "sketch", "_y"), "b").filter(reaches(least, total(F.col("_x")), total(F.col("_y")))).select("a", "b").distinct()
-    hopeful = store.keep(hopeful, scope)
+def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    side = lambda name, out: sets.select(F.col("node").alias(name), F.col("shingles").alias(out)).hint("merge")
     both = F.size(F.array_intersect("_x", "_y"))
-    return hopeful.join(side("a", "shingles", "_x"), "a").join(side("b", "shingles", "_y"), "b").filter(reaches(both, F.size("_x"), F.size("_y"))).select("a", "b").distinct()
+    reaches = F.lit(den) * both >= F.lit(num) * (F.size("_x") + F.size("_y") - both)
+    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").filter(reaches).select("a", "b").distinct()
+
+
+def alike(x: str, y: str, num: int, den: int) -> Column:
+    """Whether the sizes and parity bits of two sets, columns prefixed `x` and `y`, allow a link."""
+    flipped = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in _BITS), F.lit(0))
+    return F.lit(den + num) * flipped <= F.lit(den - num) * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
+def close(x: Column, y: Column, num: int, den: int) -> Column:
+    return F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
+
+
+def light_pairs(buckets: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of a bucket (key, node, n, pos) of LIGHT rows at most that may be linked."""
+    listed = buckets.groupBy("key").agg(F.collect_list(F.struct("node", "n", "pos")).alias("m"))
+    room = lambda x, y: F.lit(den + num) * F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= F.lit(num) * (x["n"] + y["n"])
+    behind = lambda x, i: F.filter(F.slice("m", i + 2, LIGHT), lambda y: room(x, y) & (x["node"] != y["node"]))
+    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    pairs = listed.select(F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(behind(x, i), lambda y: pair(x, y)))))).distinct()
+    side = lambda name: heads.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *_BITS))).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).select("a", "b").distinct()
+
+
+def run_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, num: int, den: int, scope: str) -> DataFrame:
+    """The pairs (a, b) of sets that share a run (key, node, n), may be linked and are in different components."""
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = store.keep(placed, scope)
+    ends = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key")
+    # Linked sets are in the same band of sizes or in neighbouring ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(den / num), 1e-9) * 1.000001))
+    rest = store.keep(placed.join(ends, "key", "left_semi").join(heads.select("node", *_BITS), "node").withColumn("band", band), scope)
+    names = ["key", "band", "node", "n", "component", *_BITS]
+    x = rest.select("key", "band", *(F.col(c).alias(f"x_{c}") for c in names[1:]))
+    y = rest.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"y_{c}") for c in names[1:]))
+    apart = (F.col("x_component") != F.col("y_component")) & ((F.col("x_band") != F.col("y_band")) | (F.col("x_node") < F.col("y_node")))
+    fits = close(F.col("x_n"), F.col("y_n"), num, den) & alike("x_", "y_", num, den)
+    pairs = x.join(y.hint("merge"), ["key", "band"]).filter(apart & fits)
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
@@ -234,62 +290,50 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -
 def placed_rows(docs: DataFrame, n: int, percent: int, scope: str) -> DataFrame:
     """What join() returns, with the hash of the text (th) and the set's fingerprint (f1, f2)."""
     num, den = percent, 100
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(cell_levels(rows, n))  # CELLS bytes
-    table = store.keep(prints(rows, n, num, den, shared), scope)
+    keep = lambda t: store.keep(t, scope)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, n))  # CELLS bytes
+    table = keep(prints(docs, n, num, den, shared))
     same = ["n", "f1", "f2"]
-    groups = store.keep(table.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), scope)
-    close = lambda x, y: (F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y))
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    # Single keys of each class of equal sets, with the size of their bucket as far as LIGHT and more.
-    heads = table.join(groups.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").filter(F.size("keys") > 0)
-    keyed = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
-    ahead = Window.partitionBy("key").orderBy("node", "n").rowsBetween(Window.unboundedPreceding, LIGHT)
-    buckets = store.keep(keyed.withColumn("held", F.count("*").over(ahead)).filter("held > 1"), scope)
-    heavy = store.keep(buckets.filter(F.col("held") > LIGHT).select("node", "n").distinct(), scope)
-
-    # Light buckets: all pairs of close sizes.
-    listed = buckets.filter(F.col("held") <= LIGHT).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("m"))  # LIGHT at most
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, LIGHT), lambda y: close(x["n"], y["n"]) & (x["node"] != y["node"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    light = store.keep(listed.select(F.inline(pairs)).distinct(), scope)
-    store.discard(buckets)
-    nodes = light.select(F.col("a").alias("node")).union(light.select("b")).union(heavy.select("node")).distinct()
-    sets = store.keep(sets_of(rows, nodes, n, num, den, shared), scope)
-
-    # Runs of sets with a frequent key: the best leader of a set's buckets; then what different components are left.
-    member = F.struct("n_rare", "node", "n").alias("m")
-    run = sets.join(heavy, "node").select(F.explode("runs").alias("key"), member)
-    first = lambda *by: F.first("m").over(Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dealt = store.keep(run.withColumn("salt", F.pmod(F.xxhash64("m.node"), F.lit(SALTS))).withColumn("chief", first("key", "salt")).select("key", "m", "chief"), scope)
-    chiefs = dealt.filter("m.node = chief.node").select("key", F.col("m").alias("chief")).distinct()
-    led = chiefs.withColumnRenamed("chief", "m").withColumn("leader", first("key")).filter("m.node != leader.node").select("m", "leader")
-    led = led.union(dealt.filter("m.node != chief.node").select("m", "chief"))
-    best = led.filter(close(F.col("m.n"), F.col("leader.n"))).groupBy(F.col("m.node").alias("node")).agg(F.min("leader").alias("leader"))
-    stars = store.keep(best.select(*ordered(F.col("node"), F.col("leader.node"))).distinct(), scope)
-    links = store.keep(linked(light.union(stars).distinct(), sets, num, den, scope), scope)
-    labels = components(links, scope)
-
-    placed = dealt.select("key", F.col("m.node").alias("node"), F.col("m.n").alias("n")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key")
-    bits = sets.select("node", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)))
-    rest = store.keep(placed.join(open_keys, "key", "left_semi").join(bits, "node"), scope)
-    store.discard(dealt)
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n"))
-    flipped = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY)), F.lit(0))
-    apart &= F.lit(den + num) * flipped <= F.lit(den - num) * (F.col("x.n") + F.col("y.n"))
-    crossing = store.keep(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(light.union(stars), ["a", "b"], "left_anti"), scope)
-    store.discard(rest)
-    late = store.keep(linked(crossing, sets, num, den, scope), scope)
-    if not late.isEmpty():
-        labels = components(links.union(late), scope)
-
-    for done in (sets, light, stars, crossing):
+    rows = keep(table.select("doc_id", "th", *same))
+    groups = keep(table.filter("n > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "rid")).alias("m")).select(*same, F.col("m.doc_id").alias("node"), "m.rid"))
+    # One row for each class of equal sets.
+    heads = keep(table.filter(F.size("keys") > 0).join(groups.select("rid").hint("merge"), "rid", "left_semi").select(F.col("doc_id").alias("node"), "n", *_BITS, "keys"))
+    store.discard(table)
+
+    # Single keys that two or more sets hold, with their number: a frequent key is counted, then joined, never gathered.
+    keyed = heads.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    held = keep(keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"))
+    buckets = keep(keyed.join(held.hint("merge"), "key"))
+    heavy = keep(buckets.filter(F.col("held") > LIGHT).select("node").distinct())
+    light = keep(light_pairs(buckets.filter(F.col("held") <= LIGHT), heads, num, den))
+    for done in (held, buckets):
         store.discard(done)
-    found = table.select("doc_id", "th", "n", "f1", "f2").join(groups, same, "left").join(labels, "node", "left")
+
+    asked = light.select(F.col("a").alias("node"), F.lit(False).alias("heavy")).union(light.select("b", F.lit(False))).union(heavy.select("node", F.lit(True)))
+    sets = keep(sets_of(docs, asked.groupBy("node").agg(F.max("heavy").alias("heavy")), n, num, den, shared))
+    members = sets.filter(F.size("runs") > 0).select(F.explode("runs").alias("key"), "node", F.size("shingles").cast("long").alias("n"), "n_rare")
+
+    # First round: one partner for each set.
+    leaders = members.groupBy("key").agg(F.min(F.struct("n_rare", "node", "n")).alias("leader"))
+    led = members.join(leaders.hint("merge"), "key").filter((F.col("node") != F.col("leader.node")) & close(F.col("n"), F.col("leader.n"), num, den))
+    led = led.groupBy("node").agg(F.min("leader").alias("leader")).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+    stars = keep(light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(led).distinct())
+    labels = components(keep(linked(stars, sets, num, den)), scope)
+
+    # Second round: what different components are left.
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    across = light.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    across = across.union(run_pairs(members.select("key", "node", "n"), labels, heads, num, den, scope)).distinct()
+    late = keep(linked(keep(across.join(stars, ["a", "b"], "left_anti")), sets, num, den))
+    store.discard(sets)
+    up = late.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    upper = components(up, scope).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+
+    found = rows.join(groups.select(*same, "node"), same, "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = found.join(upper, F.col("component") == F.col("_n"), "left")
     null_id = lambda c: F.nullif(c, F.lit(NO_ID))
-    return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("component", "node", "doc_id")).alias("component_id"), "th", "f1", "f2")
+    return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("_c", "component", "doc_id")).alias("component_id"), "th", "f1", "f2")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:

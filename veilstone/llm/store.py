@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch: the shuffles of a query are deleted when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_MODE_DIR: list[str] = []
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -25,14 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, scope: str = "query") -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: the lineage ends in a replayable table."""
+    """Write `df` as Parquet in the shared folder and read it back: the lineage ends in a replayable table, and Spark deletes
+    the shuffles that led to it as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilstone/{scope}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(scope, []).append(path)
-    df.write.parquet(path)
-    # The shuffles that led to the table are needed no more. Spark deletes those whose plans are garbage, on both sides.
-    gc.collect()
-    spark._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
