@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import doc
 from veilstone.llm import chat, decontamination, language_id, line_dedup, ngram_join, packing, quality, queries, secrets, token_counts, toxicity
@@ -118,11 +119,12 @@ def test_components(spark):
     assert got == up
 
 
-def test_packing_is_whole_and_gapless(spark):
+def test_packing_is_whole_and_gapless(spark, monkeypatch):
     path = queries.tokenizer("word_bpe_49k.json")
-    texts = ODD + ["don't 'sx a<|endoftext|>b, c."] * 3 + ["the cat sat " * n for n in (10, 900, 2500)]
+    monkeypatch.setattr(packing, "PART_BYTES", 1000)  # so that long texts are taken in parts
+    texts = ODD + ["don't 'sx a<|endoftext|>b, c."] * 3 + ["the cat sat " * n for n in (10, 900, 2500)] + ["y" * 3000 + " Ünder, *** (x)  ends" * 60 + "\n"]
     rows = packing.pack(frame(spark, texts), path, 2048, 1).collect()
-    tokenizer = packing.WordEncoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     want = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(texts)}
     pieces = sorted((r.sequence_id * 2048 + r.offset, r.doc_id, r.start, r.length, r.ids, r.doc_tokens) for r in rows)
     at = 0

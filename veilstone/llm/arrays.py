@@ -85,9 +85,9 @@ def text_slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the number of the first word of each row (one more entry than rows)."""
-    inside = IS_WORD[data]
+    inside = is_word[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
