@@ -7,12 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import doc
-from veilstone.llm import chat, decontamination, language_id, line_dedup, ngram_join, packing, quality, queries, secrets, token_counts, toxicity
+from veilstone.llm import arrays, chat, decontamination, language_id, line_dedup, ngram_join, packing, quality, queries, secrets, token_counts, toxicity
 from veilstone.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,6 +152,16 @@ def test_token_counts_equal_the_library(spark):
     assert got == want
 
 
+def test_token_counts_of_unbroken_texts():
+    import sentencepiece
+
+    path = queries.tokenizer("piece_bpe_32k.model")
+    model, machine, rng = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Transducer(token_counts.sentencepiece_ranks(path)), random.Random(7)
+    texts = ["a" * 6000, "", "ab" * 1500, "xyzzy" * 700, "".join(rng.choice("aeinrst") for _ in range(4000)), "a" * 255 + "b" + "a" * 900, "=-" * 600 + " " + "q" * 700, "a" * 256, "x" + "a" * 2000]
+    data, offsets = arrays.utf8(pa.array(texts))
+    assert machine.counts(*token_counts.code_points(data, offsets)).tolist() == [len(model.encode(t)) for t in texts]
+
+
 def test_token_counts_outlive_a_full_table(monkeypatch):
     monkeypatch.setattr(token_counts, "TABLE_BITS", 12)
     machine = token_counts.Transducer(token_counts.sentencepiece_ranks(queries.tokenizer("piece_bpe_32k.model")))

@@ -7,8 +7,10 @@ the change in the number of emitted tokens. Which piece ends a prefix is decided
 right one if and only if each two neighbouring pieces survive being tokenized together.
 
 Texts are cut into chunks that run in lockstep. From the first position at which any two runs meet (a new word, a
-character outside the vocabulary) a chunk's map of entry to exit state is constant; a prefix scan over the chunks
-composes these maps, which gives each chunk its entry state, and the rest in front of that position then runs.
+character outside the vocabulary) a chunk's map of entry to exit state is constant. The map of a chunk without
+such a position is filled as needed: it runs from a guessed entry, and a run from another entry ends where it meets that
+one. A scan over the chunks composes these maps, which gives each chunk its entry, with all entries that maps still lack
+run at once; what lies in front of a meeting point then runs.
 """
 
 from __future__ import annotations
@@ -214,6 +216,37 @@ class Transducer:
         exits[order], total[order] = now, counts
         return exits, total
 
+    def trace(self, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and counts on the way of each run over kinds[start:end]: a row each, its place in the run along it."""
+        size = ends - starts
+        width = int(size.max(initial=0))
+        trail, sums = np.zeros((len(starts), width + 1), np.int64), np.zeros((len(starts), width + 1), np.int64)
+        trail[:, 0] = states
+        live = np.arange(len(starts))
+        for step in range(width):
+            live = live[size[live] > step]
+            packed = self.look_up(trail[live, step] << 16 | kinds[starts[live] + step])
+            trail[live, step + 1] = packed >> 8
+            sums[live, step + 1] = sums[live, step] + (packed & 255) - _BIAS
+        return trail, sums
+
+    def rejoin(self, kinds: np.ndarray, starts: np.ndarray, size: np.ndarray, states: np.ndarray, trail: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and count of each run, which is that of its trail from where it meets it."""
+        now, counts, step = states.astype(np.int64), np.zeros(len(starts), np.int64), 0
+        live = np.arange(len(starts))
+        while live.size:
+            met = trail[live, step] == now[live]
+            on = live[met]
+            counts[on] += sums[on, size[on]] - sums[on, step]
+            now[on] = trail[on, size[on]]
+            live = live[~met]
+            live = live[size[live] > step]
+            packed = self.look_up(now[live] << 16 | kinds[starts[live] + step])
+            now[live] = packed >> 8
+            counts[live] += (packed & 255) - _BIAS
+            step += 1
+        return now, counts
+
     def counts(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text codes[offsets[i]:offsets[i + 1]]."""
         if self.filled > 0.6 * len(self.keys):
@@ -234,20 +267,38 @@ class Transducer:
         points = np.append(np.flatnonzero(meets), len(kinds))
         cut = np.minimum(points[np.searchsorted(points, starts)], ends)
         exits, total = self.run(kinds, cut, ends, np.full(len(row), self.fresh))
-        known = cut < ends
-        # The scan: a constant map behind a chunk decides its entry; other chunks wait for the one in front.
-        entry, done = np.where(nth == 0, self.word, np.roll(exits, 1)), np.zeros(len(row), bool)
-        ready = (nth == 0) | np.roll(known, 1)
-        while not done.all():
-            todo = np.flatnonzero(ready & ~done)
-            through, more = self.run(kinds, starts[todo], cut[todo], entry[todo])
-            total[todo] += more
-            done[todo] = True
-            open_ends = todo[~known[todo]]
-            exits[open_ends] = through[~known[todo]]
-            after = open_ends[open_ends + 1 < len(row)] + 1
-            after = after[nth[after] > 0]
-            entry[after], ready[after] = exits[after - 1], True
+        known, head = cut < ends, nth == 0
+        # Chunks without a meeting point: their maps, from entry to exit state and count, are filled from a guess on. A walk
+        # along the chunks hands on exit states; entries that a map lacks are run at once for all chunks.
+        loose = np.flatnonzero(~known)
+        guess = np.where(head, self.word, self.fresh)[loose]
+        trail, sums = self.trace(kinds, starts[loose], ends[loose], guess)
+        size = ends[loose] - starts[loose]
+        at_end = np.arange(len(loose)), size
+        maps = [{g: found} for g, *found in zip(guess.tolist(), trail[at_end].tolist(), sums[at_end].tolist(), strict=True)]
+        through, heads, places = exits.tolist(), head.tolist(), loose.tolist()
+        rounds = 0
+        while maps:
+            lacking, rounds = [], rounds + 1
+            for i, c in enumerate(places):
+                enters = self.word if heads[c] else through[c - 1]
+                found = maps[i].get(enters)
+                if found is None:
+                    lacking.append((i, enters))
+                else:
+                    through[c], total[c] = found
+            if not lacking:
+                break
+            if rounds > 2:  # an entry that no guess meets, as in periodic texts, is likely that of the chunks behind, too
+                more = {(j, enters) for i, enters in lacking for j in range(i + 1, min(i + (1 << rounds), len(places))) if not heads[places[j]] and enters not in maps[j]}
+                lacking += sorted(more.difference(lacking))
+            which, entered = np.array(lacking, np.int64).T
+            ran = self.rejoin(kinds, starts[loose[which]], size[which], entered, trail[which], sums[which])
+            for (i, enters), *found in zip(lacking, *(x.tolist() for x in ran), strict=True):
+                maps[i][enters] = found
+        entry = np.where(head, self.word, np.roll(np.array(through, np.int64), 1))
+        _, more = self.run(kinds, starts[known], cut[known], entry[known])
+        total[known] += more
         np.add.at(out, row, total)
         return out
 
