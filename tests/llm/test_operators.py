@@ -207,6 +207,21 @@ def test_bad_hosts_lose_their_documents(spark):
     assert not any(got[k] for k in range(60)) and all(got[100 + k] for k in range(60)) and got[300] and got[302] and not got[301]
 
 
+def test_shrinkage_alone_judges_hosts(spark):
+    """Hosts of one raw rate: the small one is kept by the prior, the large one goes; a bad host needs no size of its own."""
+    good = " ".join(f"w{k}" for k in range(30))
+    sizes = {"large": (90, 60), "small": (3, 2), "nineteen": (19, 18), **{f"clean{k}": (30, 1) for k in range(40)}}
+    rows = [doc(1000 * h + k, "short" if k < bad else good, source=host) for h, (host, (n, bad)) in enumerate(sizes.items()) for k in range(n)]
+    kept = {}
+    for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect():
+        kept.setdefault(r.host, []).append(r.kept)
+    assert {h: sum(k) for h, k in kept.items()} == {"large": 0, "small": 1, "nineteen": 0, **{f"clean{k}": 29 for k in range(40)}}
+    signs = [doc(k, good + " $" * 40 if k % 4 else good, source="signs") for k in range(40)] + [doc(100 + k, good, source="plain") for k in range(40)]
+    got = {r.doc_id: (r.kept, r.base_failed, r.failed) for r in quality.judge(spark.createDataFrame(signs, SCHEMA)).collect()}
+    assert got[0] == (False, False, []) and got[1][1:] == (True, ["repeats", "symbols"]) and got[100] == (True, False, [])
+    assert quality.judge(frame(spark, [])).count() == 0
+
+
 def test_secrets_equal_the_regexes(spark):
     rng = random.Random(8)
     parts = ["password", "Token", "api_key", "APIKEY", "secret", " = ", ":", "'", '"', "abcdef1", "x", "AKIA" + "B2" * 9, "akia" + "b" * 20, "0f" * 14, "é😀", "\n", "passwd=", "toke", "n"]
@@ -400,16 +415,17 @@ def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     out = language_id.fold(F.col("doc_id"), 3) == 1
-    model = toxicity.train(docs.join(labels.filter(~out), "doc_id"))
+    model = toxicity.train(docs, labels.filter(~out))
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter(out).collect()
     hits = [r for r in rows if r.predicted]
-    assert sum(r.toxic for r in hits) >= 0.8 * len(hits) and sum(r.toxic for r in hits) >= 0.6 * sum(r.toxic for r in rows)
+    assert sum(r.toxic for r in hits) >= 0.95 * len(hits) and sum(r.toxic for r in hits) >= 0.7 * sum(r.toxic for r in rows)
+    print("held-out", len(hits), sum(r.toxic for r in hits), sum(r.toxic for r in rows))
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
 def test_toxicity_without_labels(spark):
-    none = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    none = toxicity.train(frame(spark, ODD), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(frame(spark, ODD), none).collect()} == {0.0}
 
 

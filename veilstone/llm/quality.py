@@ -1,7 +1,7 @@
 """Quality rules of documents and of the hosts that they come from.
 
-Each document is measured in one scan. Failures are counted by host; a host's rate is shrunk towards the rate of all
-hosts by a beta prior fitted to the hosts' own rates (method of moments), so a small host is not judged by a few
+Each document is measured in one scan. Failures of each rule are counted by host; a host's rate is shrunk towards the rate
+of all hosts by a beta prior fitted to the hosts' own rates (method of moments), so a small host is not judged by a few
 documents. The verdict on a host is joined back to its documents.
 """
 
@@ -64,30 +64,53 @@ def features(docs: DataFrame, host: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), "text").mapInArrow(scan, "doc_id long, host string, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
-def beta_prior(hosts: DataFrame, least: int = 20) -> tuple[float, float]:
-    """Alpha and beta of hosts (n, fails) with `least` documents or more, by moments; (1, 1) where none can be fitted."""
-    rate = F.col("fails") / F.col("n")
-    m = hosts.filter(F.col("n") >= least).agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(rate * (1 - rate) / F.col("n")).alias("noise")).first()
-    if m is None or m.mean is None or not 0 < m.mean < 1:
+#: A rule's failure, by name; the host's verdict follows each rule on its own.
+RULES = {
+    "short": lambda p: F.col("n_words") < p["min_words"],
+    "repeats": lambda p: 100 * F.col("n_repeat_words") > p["max_repeat_percent"] * F.col("n_words"),
+    "symbols": lambda p: 100 * F.col("n_symbols") > p["max_symbol_percent"] * F.col("n_words"),
+    "lines": lambda p: 100 * F.col("n_dup_lines") > p["max_line_percent"] * F.col("n_words"),
+}
+#: The rules that fail a document by themselves.
+BASE = ("short", "repeats")
+
+
+def beta_prior(hosts: DataFrame, fails: str) -> tuple[float, float]:
+    """Alpha and beta of the failure rates of all hosts (n, `fails`), by moments weighted with the documents; (1, 1) where
+    none can be fitted: no failure or nothing else, or no host of two documents, or one host alone."""
+    f, n = F.col(fails), F.col("n")
+    within = F.sum(f - f * f / n)
+    m = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.sum(n * n).alias("nn"), within.alias("within")).first()
+    if not m.k or m.k < 2 or m.n == m.k or not 0 < m.f < m.n:
         return 1.0, 1.0
-    spread = max((m["var"] or 0.0) - m.noise, 1e-6)
-    size = min(max(m.mean * (1 - m.mean) / spread - 1, 1.0), 1000.0)
-    return m.mean * size, (1 - m.mean) * size
-
-
-def judge(docs: DataFrame, host: Column | None = None, min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.5, min_host_docs: int = 20, scope: str = "query") -> DataFrame:
-    """doc_id, host, FEATURES, base_failed, host_rate (shrunk) and kept of every row.
-
-    A document fails with under `min_words` words or over `max_repeat_percent` percent repeated words. It is kept if
-    it does not fail and its host has under `min_host_docs` documents or a shrunk failure rate of at most
-    `max_host_rate`. Null hosts are one host of their own. Null and empty texts have no words and fail; repeated rows
-    are judged and counted each; other columns are ignored; an empty table gives no row.
+    rate = m.f / m.n
+    between, inside, size = (m.ff - m.f * rate) / (m.k - 1), m.within / (m.n - m.k), (m.n - m.nn / m.n) / (m.k - 1)
+    alike = (between - inside) / max(between + (size - 1) * inside, 1e-12)  # the correlation of two documents of a host
+    strength = min(max(1 / alike - 1, 1.0), 1000.0) if alike > 0 else 1000.0
+    return rate * strength, (1 - rate) * strength
+
+
+def judge(docs: DataFrame, host: Column | None = None, min_words: int = 20, max_repeat_percent: int = 30, max_symbol_percent: int = 100, max_line_percent: int = 20, max_host_rate: float = 0.5, scope: str = "query") -> DataFrame:
+    """doc_id, host, FEATURES, base_failed, failed (names of all RULES that fail), host_rates (shrunk, by rule) and kept of
+    every row.
+
+    A document fails with under `min_words` words or over `max_repeat_percent` percent repeated words; symbols and repeated
+    lines, against words, count for its host only. It is kept if it does not fail and no rule's failure rate of its host,
+    shrunk towards that of all hosts, is over `max_host_rate`. A host of any size is judged; the prior alone keeps a small
+    one from being judged by few documents. Null hosts are one host of their own. Null and empty texts have no words and
+    fail; repeated rows are judged and counted each; other columns are ignored; an empty table gives no row.
     """
     host = F.col("source") if host is None else host
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    table = store.keep(features(docs, host).withColumn("base_failed", failed), scope)
-    hosts = table.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails"))
-    alpha, beta = beta_prior(hosts)
-    rates = hosts.select(F.col("host").alias("_host"), "n", ((F.col("fails") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate"))
-    bad = (F.col("host_rate") > max_host_rate) & (F.col("n") >= min_host_docs)
-    return table.join(rates, F.col("host").eqNullSafe(F.col("_host")), "left").select("doc_id", "host", *FEATURES, "base_failed", "host_rate", (~F.col("base_failed") & ~bad).alias("kept"))
+    limits = {"min_words": min_words, "max_repeat_percent": max_repeat_percent, "max_symbol_percent": max_symbol_percent, "max_line_percent": max_line_percent}
+    table = store.keep(features(docs, host).select("*", *(rule(limits).alias(f"_{name}") for name, rule in RULES.items())), scope)
+    hosts = table.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"_{name}").cast("long")).alias(name) for name in RULES))
+    hosts = store.keep(hosts, scope)
+    rates = []
+    for name in RULES:
+        alpha, beta = beta_prior(hosts, name)
+        rates.append(((F.col(name) + alpha) / (F.col("n") + (alpha + beta))).alias(name))
+    verdicts = hosts.select(F.col("host").alias("_host"), F.struct(*rates).alias("host_rates"))
+    bad = F.greatest(*(F.col(f"host_rates.{name}") for name in RULES)) > max_host_rate
+    failed = F.filter(F.array(*(F.when(F.col(f"_{name}"), F.lit(name)) for name in RULES)), lambda x: x.isNotNull())
+    base = F.col(f"_{BASE[0]}") | F.col(f"_{BASE[1]}")
+    return table.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").select("doc_id", "host", *FEATURES, base.alias("base_failed"), failed.alias("failed"), "host_rates", (~base & ~bad).alias("kept"))

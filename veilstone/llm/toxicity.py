@@ -2,7 +2,7 @@
 
 Features: density of a learned lexicon (plain, and only after undoing digits and signs put for letters), how many of
 its words stand near a second person, capitals, punctuation, exclamation, obfuscation, lengths. The lexicon is learned
-from word counts of the labelled training rows, the trees and the calibration from a bounded sample of those rows.
+from word counts, the trees and the calibration from dense rows, of a bounded sample of the labelled rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.llm import arrays, store
+from veilstone.llm.language_id import least_hashes
 
 #: Second persons of the learned languages, and the reach in words.
 SECOND_PERSON = ("you", "your", "yours", "youre", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "usted", "ustedes", "ti", "tus", "su")
@@ -218,12 +219,17 @@ def learn_lexicon(rows: DataFrame, size: int = 400, support: int = 5) -> tuple[n
     return words[order], np.array([r.odds for r in best])[order]
 
 
-def train(rows: DataFrame, sample: int = 20_000, scope: str = "query") -> Model:
-    """Fit on labelled rows (doc_id, text, toxic). The trees take at most `sample` rows, those of least id hash; of these
-    a fifth calibrates. The lexicon counts all labelled rows, whole texts."""
-    rows = store.keep(rows.filter(F.col("toxic").isNotNull()).select("doc_id", "text", "toxic"), scope)
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, scope: str = "query") -> Model:
+    """Fit on docs (doc_id, text) that have labels (doc_id, toxic), at most `sample` rows of labels, those of least id hash:
+    the lexicon on all of these, whole texts, the trees on four fifths, the calibration on the rest.
+
+    Rows without a label are not learned from; repeated rows count once. The sampled labels are broadcast to the texts.
+    """
+    labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
+    some = labels.filter(least_hashes(F.col("_h"), F.lit(max(labels.count(), 1)), sample)).distinct()
+    picked = some.orderBy("_h", "doc_id", "toxic").limit(sample).select("doc_id", "toxic")
+    rows = store.keep(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").distinct(), scope)
     lexicon, weights = learn_lexicon(rows)
-    picked = rows.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h").limit(sample).select("doc_id")  # `sample` ids at most
     shared = rows.sparkSession.sparkContext.broadcast((lexicon, weights))  # `size` words at most
     names = [f"f{i}" for i in range(len(NAMES))]
 
@@ -233,7 +239,7 @@ def train(rows: DataFrame, sample: int = 20_000, scope: str = "query") -> Model:
                 x = features(data, offsets, *shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(c) for c in x.T)], names=["doc_id", "toxic", *names])
 
-    table = rows.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(scan, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
+    table = rows.select("doc_id", "text", "toxic").mapInArrow(scan, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
     store.discard(rows)
     y = (table["toxic"].to_numpy() == 1).astype(float)
     base = float(y.mean()) if len(y) else 0.0
