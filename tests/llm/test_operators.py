@@ -216,7 +216,7 @@ def test_shrinkage_alone_judges_hosts(spark):
     for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect():
         kept.setdefault(r.host, []).append(r.kept)
     assert {h: sum(k) for h, k in kept.items()} == {"large": 0, "small": 1, "nineteen": 0, **{f"clean{k}": 29 for k in range(40)}}
-    signs = [doc(k, good + " $" * 40 if k % 4 else good, source="signs") for k in range(40)] + [doc(100 + k, good, source="plain") for k in range(40)]
+    signs = [doc(k, good + " $$$" * 40 if k % 4 else good, source="signs") for k in range(40)] + [doc(100 + k, good, source="plain") for k in range(40)]
     got = {r.doc_id: (r.kept, r.base_failed, r.failed) for r in quality.judge(spark.createDataFrame(signs, SCHEMA)).collect()}
     assert got[0] == (False, False, []) and got[1][1:] == (True, ["repeats", "symbols"]) and got[100] == (True, False, [])
     assert quality.judge(frame(spark, [])).count() == 0

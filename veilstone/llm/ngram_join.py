@@ -107,13 +107,16 @@ def cell_levels(docs: DataFrame, n: int) -> np.ndarray:
     while parts > 1:
         parts = -(-parts // 32)
         table = table.withColumn("part", F.expr("part div 32")).groupBy("block", "part").applyInArrow(add, ddl)
-    counts = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint64)
-    for r in table.collect():  # BLOCKS rows
-        counts[r.block] += unpacked(r.counts)
-    counts = counts.ravel()
-    noise = math.sqrt(mean := float(counts.mean()))
-    above = np.maximum(counts.astype(np.float32) - np.float32(max(0.0, mean - 4 * noise)), 0)
-    return np.clip(16 * np.log2(1 + above / np.float32(noise + 1)), 0, 255).astype(np.uint8)
+    summed: list[list[bytes]] = [[] for _ in range(BLOCKS)]
+    for r in table.collect():  # BLOCKS rows; a block is unpacked at a time
+        summed[r.block].append(r.counts)
+    of = lambda k: sum(map(unpacked, summed[k]), np.zeros(CELLS // BLOCKS, "<u8"))
+    noise = math.sqrt(mean := sum(int(of(k).sum()) for k in range(BLOCKS)) / CELLS)
+    levels = np.empty((BLOCKS, CELLS // BLOCKS), np.uint8)
+    for k in range(BLOCKS):
+        above = np.maximum(of(k).astype(np.float32) - np.float32(max(0.0, mean - 4 * noise)), 0)
+        levels[k] = np.clip(16 * np.log2(1 + above / np.float32(noise + 1)), 0, 255)
+    return levels.ravel()
 
 
 def bounds(n: int, num: int, den: int) -> tuple[int, int]:
@@ -261,10 +264,10 @@ def run_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, num: int,
     """The pairs (a, b) of sets that share a run (key, node, n), may be linked and are in different components."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = store.keep(placed, scope)
-    ends = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key")
+    ends = store.keep(placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key"), scope)
     # Linked sets are in the same band of sizes or in neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(den / num), 1e-9) * 1.000001))
-    rest = store.keep(placed.join(ends, "key", "left_semi").join(heads.select("node", *_BITS), "node").withColumn("band", band), scope)
+    rest = store.keep(placed.join(ends.hint("merge"), "key", "left_semi").join(heads.select("node", *_BITS), "node").withColumn("band", band), scope)
     names = ["key", "band", "node", "n", "component", *_BITS]
     x = rest.select("key", "band", *(F.col(c).alias(f"x_{c}") for c in names[1:]))
     y = rest.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"y_{c}") for c in names[1:]))
@@ -315,7 +318,7 @@ def placed_rows(docs: DataFrame, n: int, percent: int, scope: str) -> DataFrame:
     members = sets.filter(F.size("runs") > 0).select(F.explode("runs").alias("key"), "node", F.size("shingles").cast("long").alias("n"), "n_rare")
 
     # First round: one partner for each set.
-    leaders = members.groupBy("key").agg(F.min(F.struct("n_rare", "node", "n")).alias("leader"))
+    leaders = keep(members.groupBy("key").agg(F.min(F.struct("n_rare", "node", "n")).alias("leader")))  # a table, so that a hot key's join is split
     led = members.join(leaders.hint("merge"), "key").filter((F.col("node") != F.col("leader.node")) & close(F.col("n"), F.col("leader.n"), num, den))
     led = led.groupBy("node").agg(F.min("leader").alias("leader")).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
     stars = keep(light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(led).distinct())

@@ -52,8 +52,8 @@ f as (select w.doc_id, w.source, len(ws)::bigint n_words, length(array_to_string
  coalesce(l.n, 0)::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words from w left join l using (doc_id) left join cov using (doc_id)),
 b as (select *, n_words < 20 r1, 100 * n_repeat_words > 30 * n_words r2, 100 * n_symbols > 100 * n_words r3, 100 * n_dup_lines > 20 * n_words r4 from f),
 h as (select source, rule, count(*) n, count(*) filter (failed) f from (select source, unnest([1, 2, 3, 4]) "rule", unnest([r1, r2, r3, r4]) failed from b) group by all),
-m as (select rule, count(*) k, sum(n) n, sum(f) f, sum(f * f / n) ff, sum(n * n) nn, sum(f - f * f / n) within from h group by 1),
-v as (select rule, f / n rate, (ff - f * f / n) / (k - 1) msb, within / (n - k) msw, (n - nn / n) / (k - 1) size from m where k > 1 and n > k and f > 0 and f < n),
+m as (select rule, count(*) k, sum(n) n, sum(f) f, sum(f * f / n) ff, sum(n * n) nn, sum(f - f * f / n) inside from h group by 1),
+v as (select rule, f / n rate, (ff - f * f / n) / (k - 1) msb, inside / (n - k) msw, (n - nn / n) / (k - 1) size from m where k > 1 and n > k and f > 0 and f < n),
 q as (select rule, rate, case when msb > msw then least(greatest(greatest(msb + (size - 1) * msw, 1e-12) / (msb - msw) - 1, 1), 1000) else 1000 end strength from v),
 k as (select source, max((f + coalesce(rate * strength, 1)) / (n + coalesce(strength, 2))) > 0.5 bad from h left join q using (rule) group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 or r2 base_failed, not (r1 or r2) and not bad kept from b join k on b.source is not distinct from k.source"""
