@@ -1,14 +1,16 @@
 """Secret scans over a trigram inverted index, in DataFrame operations alone.
 
-From each rule's mandatory literals a Boolean trigram query is derived: the trigrams of one literal all have to occur,
-of alternative literals those of one. Postings (trigram, document) of the trigrams asked for are built in one scan,
-intersected by counting, and only candidates meet the rule's regex. A rule without a mandatory trigram scans all.
+A Boolean trigram query is derived from each rule's parsed regex: what is written one after the other has to occur
+together, alternatives give alternatives, and classes, repeats and options give nothing. Postings (trigram, document) of
+the trigrams asked for are built in one scan; those of an alternative are intersected, and only candidates meet the
+rule's regex. A rule that can match without any mandatory trigram scans all.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,66 +18,81 @@ from pyspark.sql import functions as F
 from veilstone.llm import store
 
 
-def written_forms(regex: str) -> set[str]:
-    """Forms of a match in lower case, a line break where anything may stand: every match has the runs of one form in it."""
+#: Alternatives that a query may have; a part of a regex with more is taken as one that can match anything.
+MOST_FORMS = 64
+#: Stands where a match may hold anything or nothing.
+GAP = "\n"
 
-    def forms(items) -> set[str]:
+
+def written_forms(regex: str) -> frozenset[str]:
+    """Forms of a match in lower case, with GAP where anything may stand: every match holds the runs of one form, in order."""
+    c = re._constants
+
+    def together(parts) -> frozenset[str]:
         out = {""}
-        for op, value in items:
-            part = {"\n"}
-            if op is re._constants.LITERAL:
-                part = {chr(value).lower()}
-            elif op is re._constants.SUBPATTERN:
-                part = forms(value[-1])
-            elif op is re._constants.BRANCH:
-                part = set().union(*map(forms, value[1]))
-            elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT):
-                least, most, inner = value
-                part = {x + "\n" * (most > 1) for x in forms(inner)} if least else {"\n"}
-                if (least, most) == (0, 1):
-                    part = {"", *forms(inner)}
-            elif op in (re._constants.AT, re._constants.ASSERT, re._constants.ASSERT_NOT):
-                part = {""}
-            out = {x + y for x in out for y in part}
-        return out
-
-    return forms(re._parser.parse(regex))
+        for part in parts:
+            out = {x + y for x in out for y in (part if len(out) * len(part) <= MOST_FORMS else {GAP})}
+        return frozenset(out)
+
+    def forms(op, value) -> frozenset[str]:
+        if op is c.LITERAL and value < 128:
+            return frozenset({chr(value).lower()} - {GAP} or {GAP})
+        if op is c.SUBPATTERN:
+            return of(value[-1])
+        if op is c.ATOMIC_GROUP:
+            return of(value)
+        if op is c.BRANCH:
+            out = frozenset().union(*map(of, value[1]))
+            return out if len(out) <= MOST_FORMS else frozenset({GAP})
+        if op is c.IN and all(kind is c.LITERAL for kind, _ in value) and len(value) <= 4:
+            return frozenset().union(*(forms(*x) for x in value))
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+            least, most, inner = value
+            once = of(inner)
+            if (least, most) == (0, 1):
+                return once | {""}
+            if not least:
+                return frozenset({GAP})
+            return together([once] * min(int(least), 8) + [{GAP}] * (int(least) > 8 or most != least))
+        if op in (c.AT, c.ASSERT, c.ASSERT_NOT):
+            return frozenset({""})
+        return frozenset({GAP})
+
+    def of(items) -> frozenset[str]:
+        return together(forms(*x) for x in items)
+
+    return of(re._parser.parse(regex))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`literals`: alternatives in lower case of which a match holds one, in any case; none: the rule scans fully.
-
-    A match counts if group `group` has `least` characters or more. Literals that do not follow from the regex are refused.
-    """
+    """A match counts if group `group` has `least` characters or more."""
 
     kind: str
     regex: str
-    literals: tuple[str, ...] = ()
     group: int = 0
     least: int = 1
     base: bool = False
 
-    def __post_init__(self):
-        if self.literals and not all(any(x in form for x in self.literals) for form in written_forms(self.regex)):
-            raise ValueError(f"rule {self.kind}: the regex can match without one of {self.literals}")
-
 
 RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "api_key", "apikey"), 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", ("akia",), 0, 20, True),
-    Rule("hex", r"[0-9a-f]{24,}", (), 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", ("private key",), 0, 1),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", ("eyj",), 0, 30),
-    Rule("bearer", r"(?i)bearer\x20+([A-Za-z0-9+/_.=-]+)", ("bearer",), 1, 20),
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("bearer", r"(?i)bearer\x20+([A-Za-z0-9+/_.=-]+)", 1, 20),
 )
 
 
-def trigram_query(rule: Rule) -> list[list[str]]:
-    """Alternatives, each a list of trigrams that all have to occur; empty: no trigram is mandatory."""
-    if not rule.literals or any(len(x) < 3 for x in rule.literals):
-        return []
-    return [sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in rule.literals]
+@lru_cache(None)
+def trigram_query(rule: Rule) -> tuple[tuple[str, ...], ...]:
+    """Alternatives, each the trigrams that all have to occur in lower case; empty: no trigram is mandatory. An
+    alternative that asks for more than another one is left out, as the other one finds its matches too."""
+    runs = [frozenset(run[i : i + 3] for run in form.split(GAP) for i in range(len(run) - 2)) for form in written_forms(rule.regex)]
+    if not all(runs):
+        return ()
+    return tuple(sorted({tuple(sorted(x)) for x in runs if not any(y < x for y in runs)}))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -83,22 +100,17 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     grams = sorted({g for r in rules for alternative in trigram_query(r) for g in alternative})
     held = F.filter(F.array(*(F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull())
     low = docs.select("doc_id", F.lower("text").alias("_low"))
-    return low.select("doc_id", F.explode(held).alias("gram")).groupBy("doc_id", "gram").agg(F.lit(1).alias("n")).select("gram", "doc_id")
+    return low.select("doc_id", F.explode(held).alias("gram")).groupBy("gram", "doc_id").agg(F.lit(1).alias("n")).select("gram", "doc_id")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and the kinds whose trigram query the document's postings satisfy; documents without a kind are left out."""
-    per_doc = index.groupBy("doc_id").agg(F.collect_set("gram").alias("_grams"))  # bounded by the number of trigrams asked for
-    hits = []
-    for r in rules:
-        query = trigram_query(r)
-        if query:
-            ok = F.lit(False)
-            for alternative in query:
-                ok |= F.size(F.array_intersect("_grams", F.array(*map(F.lit, alternative)))) == len(alternative)
-            hits.append(F.when(ok, F.lit(r.kind)))
-    kinds = F.filter(F.array(*hits), lambda k: k.isNotNull())
-    return per_doc.select("doc_id", kinds.alias("_kinds")).filter(F.size("_kinds") > 0)
+    """doc_id and the kinds of the rules of which the postings of one alternative all hold the document."""
+    asked = [(r.kind, nth, g, len(alternative)) for r in rules for nth, alternative in enumerate(trigram_query(r)) for g in alternative]
+    if not asked:
+        return index.select("doc_id", F.array().cast("array<string>").alias("_kinds")).limit(0)
+    query = index.sparkSession.createDataFrame(asked, "kind string, nth int, gram string, size long")  # of the rules' size
+    met = index.join(F.broadcast(query), "gram").groupBy("doc_id", "kind", "nth", "size").agg(F.count("*").alias("n")).filter("n = size")
+    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("_kinds"))  # as many as there are rules at most
 
 
 def spans(text: Column, rule: Rule) -> Column:
