@@ -36,5 +36,5 @@ def validated(df: DataFrame, text: str = "text", longest: int = 500_000, languag
 
 
 def sampled(df: DataFrame, key: str, percent: int = 5) -> DataFrame:
-    """The same `percent` of keys in every run."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+    """The same `percent` of keys in every run and in every engine: by the first 32 bits of the key's md5."""
+    return df.filter(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100 < percent)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstone import fixtures
 from veilstone.functions import catalog
 from veilstone.functions.registry import Registry, rule_registry, scored_registry
 from veilstone.functions.spans import candidates
@@ -106,28 +107,51 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def _flat(view: DataFrame) -> DataFrame:
+    """A view whose arrays are written out, so that it compares value by value."""
+    fields = ("label", "category", "token", "start", "end", *(["score"] if "score" in view.schema.simpleString() else []))
+    entities = [F.array_join(F.transform("entities", lambda e: F.concat_ws(":", *(e[f].cast("string") for f in fields))), ",").alias("entities")] if "entities" in view.columns else []
+    return view.select("doc_id", "redacted_text", F.col("entity_count").cast("long").alias("entity_count"), F.array_join("categories_found", ",").alias("categories"), *entities)
+
+
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 44 rules, full view."""
-    return views.full(redact(_documents(spark, sf_dir)), "doc_id")
+    """All 44 rules, full view, its entities written out."""
+    return _flat(views.full(redact(_documents(spark, sf_dir)), "doc_id"))
 
 
 def redact_documents_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored profile, full view with scores."""
-    return views.full(redact(_documents(spark, sf_dir), options=Options("scored")), "doc_id", with_score=True)
+    """The scored profile, full view with scores, its entities written out."""
+    return _flat(views.full(redact(_documents(spark, sf_dir), options=Options("scored")), "doc_id", with_score=True))
 
 
 def redact_documents_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.reviewer(redact(_documents(spark, sf_dir), options=Options(strict=True)), "doc_id")
+    """Overlapping entities become one; reviewer's view."""
+    return _flat(views.reviewer(redact(_documents(spark, sf_dir), options=Options(strict=True)), "doc_id"))
+
+
+def _golden(spark: SparkSession, texts, options: Options | None = None) -> DataFrame:
+    rows = [(k, fixtures.unmarked(t)[0]) for k, t in enumerate(texts)]
+    return redact(spark.createDataFrame(rows, "id int, text string"), options=options).select("id", "redacted_text")
+
+
+def golden_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture texts, a rule or more each."""
+    return _golden(spark, fixtures.RULE_TEXTS)
+
+
+def golden_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture texts, a scored entity or more each."""
+    return _golden(spark, fixtures.SCORED_TEXTS, Options("scored"))
 
 
 def leak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which a value that was found still stands."""
-    return metrics.share(redact(_documents(spark, sf_dir), options=_safe()), leaks(), "leak_rate")
+    return metrics.share(redact(_documents(spark, sf_dir)), leaks(), "leak_rate")
 
 
 def redact_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts are redacted once."""
-    work = lambda d: redact(d, options=_safe()).select("cache_key", "text", "redacted_text")
+    work = lambda d: redact(d).select("cache_key", "text", "redacted_text")
     return cache.once_each(_documents(spark, sf_dir), "text", work).select("doc_id", "redacted_text")
 
 
@@ -141,7 +165,7 @@ def text_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = from_conversations(_table(spark, sf_dir, "conversations"))
-    out = redact_samples(samples, _safe())
+    out = redact_samples(samples)
     return out.select("sample_id", "redacted_prompt", "redacted_response", F.col("total_entities").cast("long").alias("total_entities"))
 
 
@@ -160,8 +184,9 @@ def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
 
 
-def redact_customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact_columns(_table(spark, sf_dir, "customer"), options=_safe())
+def redact_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string cell of a table on its own."""
+    return redact_columns(_table(spark, sf_dir, "documents"))
 
 
 def lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +256,7 @@ def event_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detection_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of documents with an entity, by label of quality."""
-    found = detect(_documents(spark, sf_dir), options=_safe()).select("doc_id", (F.size("entities") > 0).alias("found"))
+    found = detect(_documents(spark, sf_dir)).select("doc_id", (F.size("entities") > 0).alias("found"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return found.join(labels, "doc_id").groupBy(F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("total"), F.count_if("found").alias("detected"))
 
@@ -240,5 +265,5 @@ def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sampled(_documents(spark, sf_dir), "doc_id", 5).select("doc_id", views.shortened(F.col("text")).alias("head"))
 
 
-_QUERIES = (email_redact, email_spans, safe_redact, safe_entities, safe_entity_counts, safe_scored_entities, safe_tokens_each, safe_corpus_tokens, category_filter, docs_with_label, candidate_counts, redact_documents, redact_documents_scored, redact_documents_strict, leak_rate, redact_once_each, dedupe_stats, text_length_histogram, sample_redact, sample_reviewer, chained_redact, validation_status, redact_customer_cells, lines_parsed, registry_rules, registry_scored, event_rate_1m, event_error_ratio_5m, event_quantiles, event_top_users_1h, event_latency_histogram, event_batch_histogram, event_bucket_quantile, event_stats, event_breaker, event_cache_hits, detection_vs_labels, qa_sample)
+_QUERIES = (email_redact, email_spans, safe_redact, safe_entities, safe_entity_counts, safe_scored_entities, safe_tokens_each, safe_corpus_tokens, category_filter, docs_with_label, candidate_counts, redact_documents, redact_documents_scored, redact_documents_strict, leak_rate, redact_once_each, dedupe_stats, text_length_histogram, golden_rules, golden_scored, sample_redact, sample_reviewer, chained_redact, validation_status, redact_cells, lines_parsed, registry_rules, registry_scored, event_rate_1m, event_error_ratio_5m, event_quantiles, event_top_users_1h, event_latency_histogram, event_batch_histogram, event_bucket_quantile, event_stats, event_breaker, event_cache_hits, detection_vs_labels, qa_sample)
 QUERIES = {f.__name__: f for f in _QUERIES}
