@@ -140,3 +140,47 @@ def test_fresh_texts_stream(spark, tmp_path):
     q = stream.fresh_texts(source, "ts").writeStream.format("memory").queryName("fresh").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted(r.prompt for r in spark.table("fresh").collect()) == ["x", "y"]
+
+
+def test_memory_and_print_sinks(spark, tmp_path):
+    rows = [(f"s{k}", "x" * 300, None) for k in range(7)]
+    spark.createDataFrame(rows, "sample_id string, prompt string, response string").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("sample_id string, prompt string, response string").parquet(str(tmp_path / "in"))
+    held, lines = stream.MemorySink(3), []
+    query = stream.fan_out(stream.redact_stream(source, EMAIL), [held, stream.print_sink(10, 2, lines.append)], str(tmp_path / "cp"))
+    assert query.awaitTermination(60)
+    assert held.seen == 7 and len(held.rows) == 3 and len(lines) in (2, 4) and "'" + "x" * 10 + "'" in lines[0]
+
+
+def test_counters_gauges_and_targets(spark):
+    requests = spark.createDataFrame([("/a", 200), ("/a", 200), ("/a", 503), ("/b", None)], "endpoint string, status int")
+    got = {(r.endpoint, r.status): (r.requests, r.errors) for r in metrics.request_counts(requests).collect()}
+    assert got == {("/a", 200): (2, 0), ("/a", 503): (1, 1), ("/b", None): (1, 1)}
+    samples = spark.createDataFrame([("q", T0, 1.0), ("q", T0 + dt.timedelta(seconds=1), 5.0), ("r", T0, 2.0)], "name string, ts timestamp, value double")
+    assert {r.name: r.value for r in metrics.gauges(samples).collect()} == {"q": 5.0, "r": 2.0}
+    cases = spark.createDataFrame([([], ["EMAIL"]), ([], []), (["PHONE"], ["PHONE"]), (None, None)], "expected array<string>, entities array<string>")
+    assert metrics.false_positives(cases).first().asDict() == {"total": 3, "false_positives": 1, "false_positive_rate": pytest.approx(1 / 3)}
+    served = spark.createDataFrame([(True, 10.0)] * 1200, "ok boolean, ms double")
+    assert metrics.service_level(served, 2.0).first().asDict() == {"throughput": 600.0, "p50": 10.0, "p99": 10.0, "error_rate": 0.0, "met": True}
+    assert not metrics.service_level(served.withColumn("ok", F.rand(1) > 0.5), 2.0).first().met
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([1.0, 2.0, rng.random(), None])) for _ in range(400)] + [("c", None), ("d", 7.0)]
+    table = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.p50, r.p95) for r in metrics.quantiles(table, "v", (0.5, 0.95), "k").collect()}
+    want = {r.k: (r.p50, r.p95) for r in table.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("p50"), F.percentile("v", F.lit(0.95)).alias("p95")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in "abd") and got["c"] == (None, None)
+
+
+def test_settings_from_the_environment():
+    from veilstone.settings import Settings
+
+    held = Settings.from_env({"VEILSTONE_PROFILE": "scored", "VEILSTONE_CATEGORIES": "PII, PHI", "VEILSTONE_STRICT": "yes", "VEILSTONE_THRESHOLD": "0.5", "OTHER": "x"})
+    assert held.options().categories == ("PII", "PHI") and held.strict and held.options().threshold == 0.5 and held.options().profile == "scored"
+    for wrong in ({"VEILSTONE_NOPE": "1"}, {"VEILSTONE_STRICT": "maybe"}, {"VEILSTONE_PROFILE": "x"}):
+        with pytest.raises((KeyError, ValueError)):
+            Settings.from_env(wrong)

@@ -214,3 +214,32 @@ def test_corpus_tokens_number_in_order(spark):
     got = tokens.corpus_tokens(spark.createDataFrame(rows, "doc_id int, start int, label string, value string"), ["doc_id", "start"]).collect()
     firsts = list(dict.fromkeys(v for _, _, _, v in sorted(rows)))
     assert {r.value: r.number for r in got} == {v: k + 1 for k, v in enumerate(firsts)}
+
+
+def test_failing_detectors_are_skipped_and_told(spark):
+    def broken(text):
+        raise RuntimeError("no such detector")
+
+    registry = rule_registry().only(["EMAIL"]).with_detector(Detector("BAD", "X", "(unclosed")).with_detector(Detector("WORSE", "X", find=broken)).with_detector(Detector("EMPTY", "X", "a*"))
+    rows = spark.createDataFrame([("mail a@b.com",)], "text string")
+    got = redact(rows, options=Options(registry=registry, skip_failing=True)).first()
+    assert got.redacted_text == "mail [EMAIL_1]" and got.detector_errors == ["BAD", "EMPTY", "WORSE"]
+    with pytest.raises(Exception):  # noqa: B017
+        redact(rows, options=Options(registry=registry)).collect()
+
+
+def test_recogniser_joins_the_rules(spark):
+    def find(texts):
+        if any("boom" in t for t in texts):
+            raise ValueError("boom")
+        return [[("GPE", t.index("Oslo"), t.index("Oslo") + 4), ("NOVEL", 0, 1), ("DATE", 0, 9)] if "Oslo" in t else [] for t in texts]
+
+    rows = spark.createDataFrame([(1, "1/2/20245 Oslo a@b.com"), (2, "boom a@b.com"), (3, None)], "id int, text string").coalesce(1)
+    got = {r.id: r for r in redact(rows, options=Options(registry=rule_registry().only(["EMAIL"]), recogniser=find, skip_failing=True)).collect()}
+    assert got[1].redacted_text == "[DATE_1] [LOCATION_1] [EMAIL_1]" and got[2].redacted_text == "boom [EMAIL_1]"
+    assert got[1].detector_errors == [] and got[2].detector_errors == ["recogniser"] and got[3].redacted_text is None
+
+
+def test_batches_are_validated(spark):
+    rows = spark.createDataFrame([(["a"],), ([],), (None,), (["a"] * 501,), (["a", ""],), (["a", None],), (["a"] * 500,)], "texts array<string>")
+    assert [r.status for r in views.validated_batches(rows.coalesce(1)).collect()] == [200, 422, 422, 422, 422, 422, 200]

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from veilstone.functions.registry import rule_registry, scored_registry
-from veilstone.operators.redact import Options, redact
+from veilstone.operators.redact import redact
 from veilstone.plans.samples import redact_samples
+from veilstone.settings import Settings
 from veilstone.sources import files
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="veilstone")
-    parser.add_argument("--profile", choices=("rule", "scored"), default="rule")
+    parser.add_argument("--profile", choices=("rule", "scored"))
     parser.add_argument("--categories", nargs="*", default=())
     parser.add_argument("--skip-categories", nargs="*", default=())
     commands = parser.add_subparsers(dest="command", required=True)
@@ -30,7 +32,8 @@ def main() -> None:
             print(f"{d.category:11} {d.label:22} {d.priority if args.command == 'rules' else d.score}")
         return
     spark = SparkSession.builder.appName("veilstone").getOrCreate()
-    options = Options(args.profile, categories=tuple(args.categories), skip_categories=tuple(args.skip_categories))
+    held = Settings.from_env()
+    options = replace(held, profile=args.profile or held.profile, categories=tuple(args.categories) or held.categories, skip_categories=tuple(args.skip_categories) or held.skip_categories).options()
     if args.command == "text":
         print(redact(spark.createDataFrame([(args.text,)], "text string"), options=options).first().redacted_text)
     elif args.path.endswith(".jsonl"):

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilstone.functions import catalog
 
 
+_LOG = logging.getLogger("veilstone")
+
+
 @dataclass(frozen=True)
 class Detector:
     """One rule. `regex` is Java's dialect; `find`, instead, maps a text column to an array of (start, end)."""
@@ -77,6 +82,22 @@ class Registry:
         allow_labels, deny_labels = set(labels or ()), set(skip_labels or ())
         return Registry(d for d in self.enabled() if (not allow or d.category in allow) and d.category not in deny and (not allow_labels or d.label in allow_labels) and d.label not in deny_labels)
 
+    def checked(self, spark: SparkSession) -> tuple[Registry, dict[str, str]]:
+        """The detectors that can be evaluated, and the error of each label's that cannot: a regex that does not compile or
+        matches the empty string, a `find` that fails."""
+        kept, errors = [], {}
+        for d in self.detectors:
+            try:
+                if d.find:
+                    d.find(F.col("text"))
+                elif not d.regex or spark._jvm.java.util.regex.Pattern.compile(d.regex).matcher("").find():
+                    raise ValueError("the regex matches the empty string")
+                kept.append(d)
+            except Exception as e:  # whatever a user's detector raises
+                errors[d.label] = str(getattr(e, "java_exception", e)).splitlines()[0]
+                _LOG.warning("detector %s is skipped: %s", d.label, errors[d.label])
+        return Registry(kept), errors
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(k, d.label, d.category, d.priority, d.score, d.regex, d.description, d.enabled) for k, d in enumerate(self.detectors)]
         return spark.createDataFrame(rows, "ord int, label string, category string, priority int, score double, regex string, description string, enabled boolean")

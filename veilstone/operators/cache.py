@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,45 +32,68 @@ def dedupe_stats(df: DataFrame, text: str = "text") -> DataFrame:
     return sizes.agg(total.alias("total"), size.alias("size"), (total - size).alias("hits"), size.alias("misses"), F.coalesce(F.round((total - size) / total, 4), F.lit(0.0)).alias("hit_rate"))
 
 
-def expiring_hits(requests: DataFrame, key: str, ts: str, ttl_seconds: int = 300) -> DataFrame:
-    """Adds hit: whether the entry stored for the key is not older than the time to live.
+def _folded(events: DataFrame, key: str, columns: list[Column], out: str, start: Callable[[], tuple], step: Callable) -> DataFrame:
+    """`step(state, *values)` over each key's rows in the order of `columns`, which gives the next state and an output row.
 
-    An entry is stored at a miss. Whether a request hits depends on the last store, so each key's requests are folded
-    in order, in blocks of equal time to live: within a block the first request decides.
+    Rows stream through a task in order, a batch at a time, so memory does not follow a key's rows. An automaton that
+    needs each state for the next one is a key's own sequence: other keys run beside it.
     """
-    order = Window.partitionBy(key).orderBy(ts)
-    gap = _micros(ts) - F.lag(_micros(ts)).over(order)
-    burst = F.sum(F.coalesce((gap > ttl_seconds * 1_000_000).cast("long"), F.lit(1))).over(order)
-    rows = requests.withColumn("_burst", burst)
-    grouped = rows.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(_micros(ts))).alias("_ts"))  # requests of a burst without a gap
-    start = F.struct(F.lit(None).cast("long").alias("stored"), F.array().cast("array<struct<t:long,hit:boolean>>").alias("out"))
+    names = [f"_v{k}" for k in range(len(columns))]
+    rows = events.select(F.col(key).alias("_key"), *(c.alias(n) for c, n in zip(columns, names, strict=True)))
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    names_out, types = zip(*(x.split() for x in out.split(", ")), strict=True)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, start()
+        for batch in batches:
+            keys, done = batch.column(0).to_pylist(), []
+            for k, *values in zip(keys, *(batch.column(i + 1).to_pylist() for i in range(len(names))), strict=True):
+                if held is None or k != held[0]:
+                    held, state = (k,), start()
+                state, row = step(state, *values)
+                done.append(row)
+            fields = list(zip(*done, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, kinds[n]) for f, n in zip(fields, types, strict=True))], names=["_key", *names_out])
+
+    kind = events.schema[key].dataType.simpleString()
+    return rows.repartition("_key").sortWithinPartitions("_key", *names).mapInArrow(fold, f"_key {kind}, {out}").withColumnRenamed("_key", key)
+
+
+def expiring_hits(requests: DataFrame, key: str, ts: str, ttl_seconds: int = 300) -> DataFrame:
+    """key, ts and hit of each request: whether the entry stored for the key is not older than the time to live. An entry is
+    stored at a miss."""
+    ttl = ttl_seconds * 1_000_000
 
-    def step(a: Column, t: Column) -> Column:
-        hit = F.coalesce(t - a["stored"] <= ttl_seconds * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, a["stored"]).otherwise(t).alias("stored"), F.array_append(a["out"], F.struct(t.alias("t"), hit.alias("hit"))).alias("out"))
+    def step(stored: int | None, t: int) -> tuple:
+        hit = stored is not None and t - stored <= ttl
+        return (stored if hit else t), (t, hit)
 
-    return grouped.select(key, F.inline(F.aggregate("_ts", start, step, lambda a: a["out"]))).select(key, F.timestamp_micros("t").alias(ts), "hit")
+    return _folded(requests, key, [_micros(ts)], "t long, hit boolean", lambda: None, step).select(key, F.timestamp_micros("t").alias(ts), "hit")
 
 
 def breaker(events: DataFrame, key: str, ts: str, ok: str, threshold: int = 10, recovery_seconds: int = 30, half_open: int = 3) -> DataFrame:
     """key, ts, state and failures behind each event, by an ordered fold over the key's events.
 
     `threshold` failures in a row open the breaker; `recovery_seconds` later the next event finds it half open;
-    `half_open` successes then close it and any failure opens it again.
+    `half_open` successes then close it and any failure opens it again. Of events at one time failures come first.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(_micros(ts).alias("t"), F.col(ok).alias("ok")))).alias("_e"))
-    state = "struct<state:string,failures:int,good:int,opened:long,out:array<struct<t:long,state:string,failures:int>>>"
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("good"), F.lit(None).cast("long").alias("opened"), F.array().cast("array<struct<t:long,state:string,failures:int>>").alias("out")).cast(state)
-
-    def step(a: Column, e: Column) -> Column:
-        ripe = (a["state"] == "open") & (e["t"] - a["opened"] >= recovery_seconds * 1_000_000)
-        seen = F.when(ripe, F.lit("half_open")).otherwise(a["state"])
-        good = F.when(seen != "half_open", a["good"]).otherwise(F.when(ripe, F.lit(0)).otherwise(a["good"]) + e["ok"].cast("int"))
-        failures = F.when(e["ok"], F.lit(0)).otherwise(a["failures"] + 1)
-        opens = ~e["ok"] & ((seen == "half_open") | (failures >= threshold))
-        closes = e["ok"] & (seen == "half_open") & (good >= half_open)
-        now = F.when(opens, F.lit("open")).when(closes, F.lit("closed")).otherwise(seen)
-        return F.struct(now.alias("state"), failures.alias("failures"), good.alias("good"), F.when(opens, e["t"]).otherwise(a["opened"]).alias("opened"), F.array_append(a["out"], F.struct(e["t"].alias("t"), now.alias("state"), failures.alias("failures"))).alias("out")).cast(state)
-
-    done = F.aggregate("_e", start, step, lambda a: a["out"])
-    return rows.select(key, F.inline(done)).select(key, F.timestamp_micros("t").alias(ts), "state", "failures")
+    wait = recovery_seconds * 1_000_000
+
+    def step(held: tuple, t: int, good_event: bool) -> tuple:
+        state, failures, good, opened = held
+        if state == "open" and t - opened >= wait:
+            state, good = "half_open", 0
+        if good_event:
+            failures = 0
+            if state == "half_open":
+                good += 1
+                state = "closed" if good >= half_open else state
+        else:
+            failures += 1
+            if state == "half_open" or failures >= threshold:
+                state, opened = "open", t
+        return (state, failures, good, opened), (t, state, failures)
+
+    done = _folded(events, key, [_micros(ts), F.col(ok)], "t long, state string, failures int", lambda: ("closed", 0, 0, None), step)
+    return done.select(key, F.timestamp_micros("t").alias(ts), "state", F.col("failures").cast("int").alias("failures"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstone.operators.tokens import ranged_number
+
 
 def entity_counts(entities: DataFrame) -> DataFrame:
     """label, category, n of exploded entities."""
@@ -52,8 +54,23 @@ def ratio(events: DataFrame, ts: str, width: str, condition: Column) -> DataFram
 
 
 def quantiles(events: DataFrame, value: str, qs: tuple[float, ...], *by: str) -> DataFrame:
-    """Exact quantiles p50, p95, ... by group."""
-    return events.groupBy(*by).agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in qs))
+    """Exact quantiles p50, p95, ... by group, interpolated between neighbours; nulls don't count, a group without values has
+    null quantiles. Equal values are counted first, then summed up range by range, so no group meets in one task."""
+    groups = events.groupBy(*by).agg(F.count(value).alias("_total")).withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0)))
+    held = events.filter(F.col(value).isNotNull()).select((F.struct(*by) if by else F.struct(F.lit(0))).alias("_g"), F.col(value).alias("_v"))
+    upto = ranged_number(held.groupBy("_g", "_v").agg(F.count("*").alias("_c")), "_g", "_v", "_c")
+    placed = upto.join(groups.select("_g", "_total"), "_g")
+    found = []
+    for k, q in enumerate(qs):
+        at = (F.col("_total") - 1) * F.lit(float(q))
+        for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):  # places from 0
+            found.append(F.max(F.when((F.col("number") > place) & (F.col("number") - F.col("_c") <= place), F.col("_v"))).alias(f"_{name}{k}"))
+    ends = placed.groupBy("_g").agg(*found)
+    out = []
+    for k, q in enumerate(qs):
+        at = (F.col("_total") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (at - F.floor(at))).alias(f"p{round(q * 100)}"))
+    return groups.join(ends, "_g", "left").select(*by, *out)
 
 
 def top_k(events: DataFrame, ts: str, width: str, key: str, k: int) -> DataFrame:
@@ -65,8 +82,38 @@ def top_k(events: DataFrame, ts: str, width: str, key: str, k: int) -> DataFrame
 
 def detection_rate(cases: DataFrame, detected: str = "detected", text: str = "text", misses: int = 5) -> DataFrame:
     """total, rate and the first misses (by text)."""
-    missed = F.slice(F.array_sort(F.collect_set(F.when(~F.col(detected), F.col(text)))), 1, misses)
-    return cases.agg(F.count("*").alias("total"), F.avg(F.col(detected).cast("double")).alias("rate"), missed.alias("misses"))
+    totals = cases.agg(F.count("*").alias("total"), F.avg(F.col(detected).cast("double")).alias("rate"), F.lit(None).cast("string").alias("_t"))
+    missed = cases.filter(~F.col(detected)).select(F.col(text).alias("_t")).distinct().orderBy("_t").limit(misses)
+    rows = totals.union(missed.select(F.lit(None).cast("long"), F.lit(None).cast("double"), "_t"))  # 1 + misses rows
+    return rows.agg(F.max("total").alias("total"), F.max("rate").alias("rate"), F.array_sort(F.collect_list("_t")).alias("misses"))
+
+
+def false_positives(cases: DataFrame, entities: str = "entities", expected: str = "expected") -> DataFrame:
+    """total, false_positives and false_positive_rate: of texts in which nothing is expected (an empty or null list of
+    labels), those in which something is found."""
+    clean = cases.filter(F.coalesce(F.size(F.col(expected)), F.lit(0)) <= 0)
+    hit = F.coalesce(F.size(F.col(entities)), F.lit(0)) > 0
+    return clean.agg(F.count("*").alias("total"), F.count_if(hit).alias("false_positives"), F.avg(hit.cast("double")).alias("false_positive_rate"))
+
+
+def request_counts(requests: DataFrame, endpoint: str = "endpoint", status: str = "status") -> DataFrame:
+    """requests and errors (status of 500 or more, or null) by endpoint and status."""
+    failed = F.col(status).isNull() | (F.col(status) >= 500)
+    return requests.groupBy(endpoint, status).agg(F.count("*").alias("requests"), F.count_if(failed).alias("errors"))
+
+
+def gauges(samples: DataFrame, name: str = "name", ts: str = "ts", value: str = "value") -> DataFrame:
+    """The latest value of each gauge; the largest of those at one time."""
+    return samples.groupBy(name).agg(F.max(F.struct(ts, value)).alias("_l")).select(name, F.col(f"_l.{ts}").alias(ts), F.col(f"_l.{value}").alias(value))
+
+
+def service_level(requests: DataFrame, seconds: float, ok: str = "ok", ms: str = "ms", p50: float = 50, p99: float = 500, per_second: float = 500, error_rate: float = 0.001) -> DataFrame:
+    """throughput over `seconds`, p50, p99 and error_rate of requests, and whether all targets are met, in one row."""
+    done = requests.agg(F.count("*").alias("n"), F.count_if(~F.col(ok)).alias("bad")).withColumn("_k", F.lit(0))
+    both = quantiles(requests, ms, (0.5, 0.99)).withColumn("_k", F.lit(0)).join(done, "_k")
+    row = both.select((F.col("n") / seconds).alias("throughput"), "p50", "p99", (F.col("bad") / F.greatest("n", F.lit(1))).alias("error_rate"))
+    met = (F.col("throughput") > per_second) & (F.col("p50") < p50) & (F.col("p99") < p99) & (F.col("error_rate") < error_rate)
+    return row.withColumn("met", F.coalesce(met, F.lit(False)))
 
 
 def share(df: DataFrame, condition: Column, name: str) -> DataFrame:

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.functions import catalog
 from veilstone.functions.registry import Registry, rule_registry, scored_registry
-from veilstone.functions.spans import candidates
+from veilstone.functions.spans import SPAN, candidates
 from veilstone.operators import resolve, tokens
 
 
 @dataclass(frozen=True)
 class Options:
-    """`profile`: "rule" (priorities) or "scored" (scores and thresholds). Without a registry the profile's own is taken."""
+    """`profile`: "rule" (priorities) or "scored" (scores and thresholds). Without a registry the profile's own is taken.
+
+    `recogniser`, off by default, finds named entities: a function of a list of texts that gives a list of (name, start,
+    end) for each. With `skip_failing` a detector that cannot be evaluated is logged and left out, and a text on which the
+    recogniser fails goes on without it; the column `detector_errors` tells which.
+    """
 
     profile: str = "rule"
     registry: Registry | None = None
@@ -29,6 +35,8 @@ class Options:
     threshold: float = catalog.SCORE_THRESHOLD
     overrides: dict[str, float] = field(default_factory=lambda: dict(catalog.SCORE_OVERRIDES))
     context_boost: float = 0.0
+    recogniser: Callable[[list[str]], list[list[tuple[str, int, int]]]] | None = None
+    skip_failing: bool = False
 
     def detectors(self) -> Registry:
         held = self.registry or (scored_registry() if self.profile == "scored" else rule_registry())
@@ -49,11 +57,48 @@ def detect(df: DataFrame, text: str = "text", options: Options | None = None, ou
     Stages are columns of their own, so that each is evaluated once: candidates, then resolved spans, then tokens.
     """
     options = options or Options()
-    text_col = F.col(text)
+    text_col, registry, failed = F.col(text), options.detectors(), {}
+    if options.skip_failing:
+        registry, failed = registry.checked(df.sparkSession)
     with_low = df.withColumn("_low", F.lower(text_col))
-    found = with_low.withColumn("_found", candidates(text_col, options.detectors(), F.col("_low"), options.context_boost))
+    found = with_low.withColumn("_found", candidates(text_col, registry, F.col("_low"), options.context_boost))
+    errors = F.array(*map(F.lit, sorted(failed))).cast("array<string>")
+    if options.recogniser:
+        named = found.withColumn("_named", _recognised(options.recogniser, options.skip_failing)(text_col))
+        values = F.transform("_named.entities", lambda e: F.struct(e["name"].alias("name"), e["start"].alias("start"), e["end"].alias("end"), F.substring(text_col, e["start"] + 1, e["end"] - e["start"]).alias("value")))
+        both = F.array_sort(F.concat("_found", F.coalesce(resolve.named_entities(values, F.col("_found")), F.array().cast(f"array<{SPAN}>"))))
+        errors = F.when(F.col("_named.failed"), F.array_append(errors, F.lit("recogniser"))).otherwise(errors)
+        found = named.withColumn("_found", both)
+    if options.skip_failing:
+        found = found.withColumn("detector_errors", errors)
     spans = found.withColumn("_spans", resolved(text_col, F.col("_found"), options))
-    return spans.withColumn(out, tokens.numbered(F.col("_spans"), options.consistent, options.profile == "scored")).drop("_low", "_found", "_spans")
+    return spans.withColumn(out, tokens.numbered(F.col("_spans"), options.consistent, options.profile == "scored")).drop("_low", "_found", "_spans", "_named")
+
+
+def _recognised(find: Callable, skip_failing: bool):
+    """Struct of a recogniser's entities and whether it failed; texts go to it in Arrow batches, one by one after a failure."""
+
+    @F.pandas_udf("struct<entities:array<struct<name:string,start:int,end:int>>,failed:boolean>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            held = [t or "" for t in texts]
+            try:
+                found, failed = find(held), [False] * len(held)
+            except Exception:
+                if not skip_failing:
+                    raise
+                found, failed = [], []
+                for t in held:
+                    try:
+                        found.append(find([t])[0])
+                        failed.append(False)
+                    except Exception:
+                        found.append([])
+                        failed.append(True)
+            rows = [[{"name": n, "start": a, "end": b} for n, a, b in e] for e in found]
+            yield pd.DataFrame({"entities": pd.Series(rows, dtype=object), "failed": failed})
+
+    return of
 
 
 def summarise(df: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:

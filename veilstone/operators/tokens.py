@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstone import tables
+
 _FIELDS = ("start", "end", "label", "category", "score", "value")
 
 
@@ -66,11 +68,15 @@ def corpus_tokens(entities: DataFrame, order: list[str], key: tuple[str, ...] =
     return ranged_number(first, "label", "_first").withColumn("token", _token(F.col("label"), F.col("number"))).select(*key, "number", "token")
 
 
-def ranged_number(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Adds `number`, the place of each row within its group: ranges are numbered apart, then shifted by the counts of
-    the ranges in front of them (one row a range and group)."""
-    ranged = df.repartitionByRange(F.col(group), F.col(order)).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)))
-    counts = local.groupBy(group, "_part").agg(F.max("_n").alias("_size"))
-    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_size").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+def ranged_number(df: DataFrame, group: str, order: str, weight: str | None = None) -> DataFrame:
+    """Adds `number`, the place of each row within its group, or the sum of `weight` up to it: ranges are numbered apart,
+    then shifted by the counts of the ranges in front of them (one row a range and group). Rows have to differ in
+    (group, order). The dealt rows are written once, so that numbers and counts are of the same ranges."""
+    one = F.lit(1) if weight is None else F.col(weight)
+    ranged = tables.keep(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_part", F.spark_partition_id()))
+    so_far = Window.partitionBy(group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("_n", F.sum(one).over(so_far))
+    counts = ranged.groupBy(group, "_part").agg(F.sum(one).alias("_size"))
+    in_front = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_size").over(in_front), F.lit(0))).drop("_size")
     return local.join(shifts, [group, "_part"]).withColumn("number", (F.col("_n") + F.col("_shift")).cast("long")).drop("_n", "_part", "_shift")

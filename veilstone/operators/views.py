@@ -35,6 +35,13 @@ def validated(df: DataFrame, text: str = "text", longest: int = 500_000, languag
     return df.withColumn("status", F.when(ok, F.lit(200)).otherwise(F.lit(422))).withColumn(text, F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", ""))
 
 
+def validated_batches(df: DataFrame, texts: str = "texts", most: int = 500, longest: int = 500_000) -> DataFrame:
+    """Adds status (200 or 422) of requests with an array of texts: 1 to `most` texts, each of 1 to `longest` characters."""
+    sizes = F.coalesce(F.size(texts), F.lit(0))
+    ok = sizes.between(1, most) & F.forall(texts, lambda t: F.coalesce(F.length(t).between(1, longest), F.lit(False)))
+    return df.withColumn("status", F.when(F.coalesce(ok, F.lit(False)), F.lit(200)).otherwise(F.lit(422)))
+
+
 def sampled(df: DataFrame, key: str, percent: int = 5) -> DataFrame:
     """The same `percent` of keys in every run and in every engine: by the first 32 bits of the key's md5."""
     return df.filter(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100 < percent)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from veilstone.operators.redact import Options
+from veilstone.operators.views import shortened
 from veilstone.plans.samples import redact_samples, reviewer_samples
 
 
@@ -39,6 +41,29 @@ def fan_out(stream: DataFrame, handlers: list[Callable[[DataFrame, int], None]],
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
+class MemorySink:
+    """A handler for fan_out() that holds the newest rows, `most` at most: what does not fit is never brought to the driver."""
+
+    def __init__(self, most: int = 1000):
+        self.rows: deque = deque(maxlen=most)
+        self.seen = 0
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.seen += batch.count()
+        self.rows.extend(batch.limit(self.rows.maxlen).collect())
+
+
+def print_sink(length: int = 120, most: int = 20, out: Callable[[str], None] = print) -> Callable[[DataFrame, int], None]:
+    """A handler for fan_out() that prints the first rows of a batch, prompts and responses shortened."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        cut = [shortened(F.col(c), length).alias(c) if c in ("prompt", "response") else F.col(c) for c in batch.columns]
+        for row in batch.select(*cut).limit(most).collect():
+            out(f"{number}: {row.asDict()}")
+
+    return handle
+
+
 def rate_stream(events: DataFrame, ts: str, width: str, seconds: int, late: str, *by: str) -> DataFrame:
     """Events a second of each window, closed once the watermark has passed it."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("_w"), *by).agg((F.count("*") / seconds).alias("rate")).select(F.col("_w.start").alias("window_start"), *by, "rate")
