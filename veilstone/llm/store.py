@@ -1,62 +1,5 @@
-"""Tables that outlive a lost executor, in the folder that spark.checkpoint.dir names."""
+"""The library's kept tables, by the name that the operators use."""
 
-from __future__ import annotations
+from veilstone.tables import discard, keep, release, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Spark's own switch: the shuffles of a query are deleted when it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LOCAL_MODE_DIR: list[str] = []
-_WRITTEN: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the setting is absent (local tests) a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL_MODE_DIR:
-        _LOCAL_MODE_DIR.append(tempfile.mkdtemp(prefix="veilstone-"))
-    return "file://" + _LOCAL_MODE_DIR[0]
-
-
-def keep(df: DataFrame, scope: str = "query") -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: the lineage ends in a replayable table, and Spark deletes
-    the shuffles that led to it as soon as it is written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilstone/{scope}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(scope, []).append(path)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._kept_at = path
-    return kept
-
-
-def release(spark: SparkSession, scope: str) -> None:
-    """Delete the tables kept under `scope`; call it only once every result that reads them is written."""
-    for path in _WRITTEN.pop(scope, []):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table made by keep() that nothing reads any more."""
-    path, spark = table._kept_at, table.sparkSession
-    for paths in _WRITTEN.values():
-        if path in paths:
-            paths.remove(path)
-    _delete(spark, path)
+__all__ = ["discard", "keep", "release", "shared_dir"]
