@@ -9,9 +9,9 @@ An anchor's context goes back to the line behind the anchor before it and on to
 need not look further: where a run goes on beyond these, it holds that anchor's gram, which is matched as well. The keys of
 an anchor are the hashes of its gram, of its gram with the 1, 2, ... lines in front, and of its gram with the 1, 2, ...
 lines behind, as far as the context goes. A run of lines is a repeat if its key occurs at an earlier place, so the
-longest match with any earlier occurrence is found without listing pairs, and one shuffle by key is all that is needed.
-Keys that meet in one slice of texts are matched there, and only the first place of each is shuffled, which keeps a
-passage that very many documents share from gathering in one task.
+longest match with any earlier occurrence is found without listing pairs. Keys that meet in one slice of texts are matched
+there, and only the first place of each is shuffled. The least place of a key is a partial aggregate, joined back by a
+merge that splits hot keys, so a passage that very many documents share never gathers in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.llm import arrays, store
@@ -146,12 +146,15 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     rows = docs.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     table = store.keep(rows.mapInArrow(scan, _DDL), scope)
     place = F.struct("doc", "th", "from")
-    first = F.first(place).over(Window.partitionBy("key").orderBy("doc", "th", "from").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = ["doc", "th", "at", "from", "to"]
-    across = table.filter(F.col("key").isNotNull()).withColumn("f", first).filter(F.col("f") != place).select(*run)
+    heads = table.filter(F.col("key").isNotNull())
+    # The first place of each key that has several: by partial sums, then a join that splits a hot key.
+    first = store.keep(heads.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f"), scope)
+    across = heads.join(first.hint("merge"), "key").filter(F.col("f") != place).select(*run)
     found = across.union(table.filter(F.col("key").isNull()).select(*run)).groupBy("doc", "th", "at").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     runs = store.keep(found.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("runs")), scope)  # of one text: one an anchor
-    store.discard(table)
+    for done in (table, first):
+        store.discard(done)
     return runs
 
 
