@@ -6,18 +6,20 @@ The random values are drawn from a fixed seed, so every executor and every run g
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACE_BYTES)] = False
 #: True for bytes that begin a code point.
 IS_LEAD = (np.arange(256) & 0xC0) != 0x80
 
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -83,6 +85,14 @@ def text_slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = utf8(column)
     for a, b in slices(offsets):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which else stays with a Python worker from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

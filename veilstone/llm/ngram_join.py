@@ -82,11 +82,11 @@ def cell_levels(docs: DataFrame, n: int) -> np.ndarray:
                 hashes, _ = shingle_sets(data, offsets, n)
                 np.add.at(total, (hashes >> _SHIFT).astype(np.int64), np.uint32(1))
         part = TaskContext.get().partitionId()
-        yield packed(range(BLOCKS), [part] * BLOCKS, total.reshape(BLOCKS, -1).astype("<u8"))
+        yield packed(range(BLOCKS), [part] * BLOCKS, total.reshape(BLOCKS, -1))
 
     def packed(blocks, parts, counts) -> pa.RecordBatch:
         """Bytes of equal weight stand together, so those of no weight cost next to nothing."""
-        planes = [pa.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) for c in counts]
+        planes = [pa.compress(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) for c in counts]
         return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(parts), pa.int64()), pa.array(planes, pa.binary())], names=["block", "part", "counts"])
 
     def unpacked(planes: bytes) -> np.ndarray:
