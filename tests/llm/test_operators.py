@@ -164,6 +164,8 @@ def test_token_counts_of_unbroken_texts():
 
 def test_token_counts_outlive_a_full_table(monkeypatch):
     monkeypatch.setattr(token_counts, "TABLE_BITS", 12)
+    monkeypatch.setattr(token_counts, "DENSE", 40)
+    monkeypatch.setattr(token_counts, "CLASSES", 9)
     machine = token_counts.Transducer(token_counts.sentencepiece_ranks(queries.tokenizer("piece_bpe_32k.model")))
     import sentencepiece
 

@@ -27,8 +27,10 @@ from veilstone.llm import arrays
 #: What sentencepiece puts for a blank, and in front of a text that is not empty.
 MARK = "▁"
 CHUNK = 256
-#: Slots of the transition table, as a power of two; a table that fills up is compiled anew, which changes no result.
-TABLE_BITS = 22
+#: States and character classes whose transitions stand in a plain table; those of others are hashed.
+DENSE, CLASSES = 1 << 16, 192
+#: Slots of the hashed table, as a power of two; a table that fills up is compiled anew, which changes no result.
+TABLE_BITS = 20
 _BIAS = 128
 
 
@@ -85,7 +87,9 @@ class Transducer:
         self.class_of = np.full(0x110000, -1, np.int16)
         self.classes: list[str | int] = [MARK, 1, 2, 3, 4]  # an int: a character outside the vocabulary, of so many bytes
         self.class_of[ord(MARK)] = self.class_of[32] = 0
-        # Transitions in open addressing: keys, packed values.
+        # Packed transitions, 0 where not compiled, by state and class; the last row and column stay empty.
+        self.dense = np.zeros((DENSE + 1) * CLASSES, np.int32)
+        # Those of further states and classes in open addressing: keys, packed values.
         self.keys = np.full(1 << TABLE_BITS, -1, np.int64)
         self.values = np.zeros(1 << TABLE_BITS, np.int32)
         self.filled = 0
@@ -162,7 +166,21 @@ class Transducer:
         packed = to << 8 | (change + _BIAS)
         return packed
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
+    def look_up(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The packed transitions; those that are met first are compiled."""
+        at = np.minimum(states, DENSE) * CLASSES + np.minimum(kinds, CLASSES - 1)
+        packed = self.dense[at]
+        if not packed.all():
+            off = np.flatnonzero(packed == 0)
+            far = (states[off] >= DENSE) | (kinds[off] >= CLASSES - 1)
+            for key in np.unique(at[off[~far]]).tolist():
+                self.dense[key] = self.compile(*divmod(key, CLASSES))
+            packed[off] = self.dense[at[off]]
+            if far.any():
+                packed[off[far]] = self.hashed(states[off[far]] << 16 | kinds[off[far]])
+        return packed
+
+    def hashed(self, keys: np.ndarray) -> np.ndarray:
         """The packed transitions of keys (state << 16 | class)."""
         at = self.slot(keys)
         held = self.keys[at]
@@ -209,9 +227,10 @@ class Transducer:
         counts = np.zeros(len(order), np.int64)
         live = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), "left")
         for step, n in enumerate(live):
-            packed = self.look_up(now[:n] << 16 | kinds[at[:n] + step])
+            packed = self.look_up(now[:n], kinds[at[:n] + step])
             now[:n] = packed >> 8
-            counts[:n] += (packed & 255) - _BIAS
+            counts[:n] += packed & 255
+        counts -= _BIAS * lengths
         exits, total = np.empty_like(now), np.empty_like(counts)
         exits[order], total[order] = now, counts
         return exits, total
@@ -225,7 +244,7 @@ class Transducer:
         live = np.arange(len(starts))
         for step in range(width):
             live = live[size[live] > step]
-            packed = self.look_up(trail[live, step] << 16 | kinds[starts[live] + step])
+            packed = self.look_up(trail[live, step], kinds[starts[live] + step])
             trail[live, step + 1] = packed >> 8
             sums[live, step + 1] = sums[live, step] + (packed & 255) - _BIAS
         return trail, sums
@@ -241,7 +260,7 @@ class Transducer:
             now[on] = trail[on, size[on]]
             live = live[~met]
             live = live[size[live] > step]
-            packed = self.look_up(now[live] << 16 | kinds[starts[live] + step])
+            packed = self.look_up(now[live], kinds[starts[live] + step])
             now[live] = packed >> 8
             counts[live] += (packed & 255) - _BIAS
             step += 1
