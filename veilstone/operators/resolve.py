@@ -78,5 +78,9 @@ def named_entities(raw: Column, found: Column, ordinal: int = 10_000) -> Column:
 
 
 def exploded(df: DataFrame, spans: str, *keys: str) -> DataFrame:
-    """A row for each span: the keys and the span's fields."""
-    return df.select(*keys, F.inline(spans))
+    """A row for each span: the keys and the span's fields.
+
+    The outer form, as the inner one makes the optimizer push a test of the array's size below the detection, where it is
+    evaluated a second time, with every stage's expression written out in it.
+    """
+    return df.select(*keys, F.inline_outer(spans)).filter(F.col("label").isNotNull())

@@ -115,33 +115,35 @@ def _redact(labels) -> str:
 _FULL = "select doc_id, coalesce(red, text) redacted_text, coalesce(n, 0)::bigint entity_count, coalesce(cats, '') categories, coalesce({}, '') entities from documents left join r using (doc_id)"
 
 
-def _redact_scored() -> str:
+def _redact_scored(threshold: float, overrides: dict[str, float]) -> str:
     """Scores decide, and a value keeps the token of its first place whatever its label."""
-    least = " ".join(f"when '{k}' then {max(v, catalog.SCORE_THRESHOLD)}" for k, v in catalog.SCORE_OVERRIDES.items())
-    where = f"score >= case label {least} else {catalog.SCORE_THRESHOLD} end and trim(text) != ''"
-    found = _kept(_scored_rules("text"), swap="else a", order="st, -score, ord", where=where.replace("trim(text)", "trim(\"value\")"))
+    least = "".join(f"when label = '{k}' then {max(v, threshold)} " for k, v in overrides.items())
+    found = _kept(_scored_rules("text"), swap="else a", order="st, -score, ord", where=f"score >= case {least}when true then {threshold} end")
     return f"""with {found}, f as (select *, min(st) over (partition by doc_id, "value") first_at from k),
 g as (select doc_id, "value", label named, st from f where st = first_at),
 h as (select doc_id, "value", '[' || named || '_' || row_number() over (partition by doc_id, named order by st) || ']' token from g),
 t as (select f.*, token from f join h using (doc_id, "value")), {_rewritten()} """ + _FULL.format("scored")
 
 
-def _chained(labels) -> str:
-    """Stages one behind the other; what a stage made is no match of the next."""
+def _chained(labels, fallback: str = "") -> str:
+    """Stages one behind the other; what a stage made is no match of the next. The fallback reads where none found any."""
     ctes, source, text = [], "documents", "text"
-    for nth, label in enumerate(labels):
+    stages = (*labels, *([fallback] if fallback else []))
+    for nth, label in enumerate(stages):
         made = rf"regexp_extract_all({text}, '\[[A-Z_]+_[0-9]+\]')"
         gaps = rf"regexp_split_to_array({text}, '\[[A-Z_]+_[0-9]+\]')"
         ctes.append(f"""m{nth} as (select doc_id, list_transform(range(1, len(m) + 1), lambda i: {{'st': coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0), 'size': length(m[i])}}) made
  from (select doc_id, {made} m, {gaps} g from {source}))""")
         where = f"not exists (from m{nth} z where z.doc_id = q.doc_id and len(list_filter(made, lambda s: q.st < s.st + s.size and s.st < q.en)) > 0)"
+        if nth == len(labels):
+            where += f" and exists (from {source} y where y.doc_id = q.doc_id and {' + '.join(f'n{k}' for k in range(nth))} = 0)"
         ctes.append(_kept((label,), source, text=text, where=where, n=str(nth)).replace(") where not exists", ") q where not exists"))
         ctes.append(f"t{nth} as (select *, '[' || label || '_' || row_number() over (partition by doc_id, label order by st) || ']' token from k{nth})")
         ctes.append(_rewritten(source=source, text=text, spans=f"t{nth}", n=str(nth)))
         carried = ", ".join(f"n{k}" for k in range(nth))
         ctes.append(f"s{nth} as (select d.doc_id, coalesce(red, {text}) body, {carried + ', ' if carried else ''}coalesce(n, 0) n{nth} from {source} d left join r{nth} r using (doc_id))")
         source, text = f"s{nth}", "body"
-    counts = ", ".join(f"n{k}" for k in range(len(labels)))
+    counts = ", ".join(f"n{k}" for k in range(len(stages)))
     return f"with {', '.join(ctes)} select doc_id, body redacted_text, concat_ws(',', {counts}) counts from {source}"
 
 
@@ -219,7 +221,18 @@ ORACLES = {
     "dedupe_stats": "select count(*) total, count(distinct sha256(text)) size, count(*) - count(distinct sha256(text)) hits, count(distinct sha256(text)) misses, round((count(*) - count(distinct sha256(text))) / count(*), 4) hit_rate from documents",
     "text_length_histogram": _histogram("length(text)", catalog.LENGTH_BUCKETS, "documents"),
     "redact_documents": _redact(ALL) + _FULL.format("ents"),
-    "redact_documents_scored": _redact_scored(),
+    "redact_documents_scored": _redact_scored(catalog.SCORE_THRESHOLD, catalog.SCORE_OVERRIDES),
+    "scored_threshold": _redact_scored(0.7, {}),
+    "label_filter": _redact([x for x in ALL if x not in ("SWIFT_BIC", "PERSON_FULL")]) + "select doc_id, coalesce(red, text) redacted_text, coalesce(n, 0)::bigint entity_count, coalesce(regexp_matches(cats, 'PII|PHI|FINANCIAL|CREDENTIAL'), false) has_pii from documents left join r using (doc_id)",
+    "token_maps": f"with {_kept(ALL)}, {_tokens()} select distinct doc_id, token, \"value\" from t",
+    "restored_documents": "select doc_id, text from documents",
+    "entity_labels": f"with {_kept(ALL)} select category, array_to_string(list_sort(list_distinct(list(label))), ',') labels, count(*) n from k group by 1",
+    "chained_fallback": _chained(("EMAIL", "IP_ADDRESS"), "PERSON_FULL"),
+    "event_requests": "select event_type, case when event_type = 'error' then 500 else 200 end::bigint status, count(*) requests, count(*) filter (event_type = 'error') errors from events group by all",
+    "event_gauges": "select event_type, max(ts) ts, max(\"value\") filter (ts = m) \"value\" from (select *, max(ts) over (partition by event_type) m from events) group by 1",
+    "event_targets": """select n / 86400 throughput, p50, p99, bad / greatest(n, 1) error_rate, n / 86400 > 500 and p50 < 50 and p99 < 500 and bad / greatest(n, 1) < 0.001 met
+ from (select count(*) n, count(*) filter (event_type = 'error') bad, quantile_cont("value", 0.5) p50, quantile_cont("value", 0.99) p99 from events)""",
+    "label_false_positives": f"with {_kept(ALL)}, d as (select distinct doc_id from k) select count(*) total, count(d.doc_id) false_positives, count(d.doc_id) / count(*) false_positive_rate from documents join labels using (doc_id) left join d using (doc_id) where quality = 1",
     "redact_documents_strict": f"with {_kept(ALL, swap=_JOIN)}, {_tokens()}, {_rewritten()} select doc_id, coalesce(red, text) redacted_text, coalesce(n, 0)::bigint entity_count, coalesce(cats, '') categories from documents left join r using (doc_id)",
     "chained_redact": _chained(("EMAIL", "DRIVERS_LICENSE", "DOMAIN")),
     "golden_rules": _marked(fixtures.RULE_TEXTS),

@@ -17,6 +17,8 @@ from veilstone.sources.files import parse_lines
 
 #: Rules that both regex engines read alike: their results can be compared value by value.
 SAFE = ("EMAIL", "PHONE_INTL", "BANK_ACCOUNT", "MAC_ADDRESS", "DRIVERS_LICENSE", "CRYPTO_ADDRESS", "URL_WITH_CREDENTIALS", "DOMAIN")
+#: Rules that hit common prose.
+NOISY = ("SWIFT_BIC", "PERSON_FULL")
 #: Rules with lookarounds, in the form that decides only whether a text has a match.
 EXISTS = {
     "PHONE": r"(^|[^0-9])(\+?1[-.\s]?)?(\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}($|[^0-9])",
@@ -90,6 +92,41 @@ def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_documents(spark, sf_dir), options=o).select("doc_id", "redacted_text")
 
 
+def label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules but some; what is left out shadows nothing."""
+    out = redact(_documents(spark, sf_dir), options=Options(skip_labels=NOISY))
+    return out.select("doc_id", "redacted_text", F.col("entity_count").cast("long").alias("entity_count"), "has_pii")
+
+
+def scored_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored profile under one threshold, without overrides."""
+    return _flat(views.full(redact(_documents(spark, sf_dir), options=Options("scored", threshold=0.7, overrides={})), "doc_id", with_score=True))
+
+
+def token_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token and value of each document's entities."""
+    return redact(_documents(spark, sf_dir)).select("doc_id", F.explode_outer("token_map").alias("token", "value")).filter("token is not null")
+
+
+def restored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted texts with the values of their tokens put back."""
+    out = redact(_documents(spark, sf_dir))
+    return out.select("doc_id", tokens.restored(F.col("redacted_text"), F.col("token_map")).alias("text"))
+
+
+def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels found, by category."""
+    found = resolve.exploded(detect(_documents(spark, sf_dir)), "entities", "doc_id")
+    return metrics.labels_by_category(found).withColumn("labels", F.array_join("labels", ","))
+
+
+def chained_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages, and a third rule where neither found anything."""
+    of = lambda k: rule_registry().only([k])
+    out = chain(_documents(spark, sf_dir), stages=[of("EMAIL"), of("IP_ADDRESS")], fallback=of("PERSON_FULL"))
+    return out.select("doc_id", "redacted_text", F.array_join(F.transform("stage_counts", lambda n: n.cast("string")), ",").alias("counts"))
+
+
 def _labelled(label: str):
     return lambda s: s["label"] == label
 
@@ -103,7 +140,7 @@ def docs_with_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches before overlaps are resolved, by rule."""
     found = candidates(F.col("text"), rule_registry().only(SAFE))
-    spans = _documents(spark, sf_dir).select("doc_id", F.inline(found))
+    spans = resolve.exploded(_documents(spark, sf_dir).withColumn("f", found), "f", "doc_id")
     return spans.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -254,6 +291,32 @@ def event_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.expiring_hits(rows, "k", "ts", 300).groupBy("k").agg(F.count_if("hit").alias("hits"), F.count("*").alias("total"))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as requests: an error is a status of 500."""
+    return _events(spark, sf_dir).withColumn("status", F.when(F.col("event_type") == "error", 500).otherwise(200))
+
+
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.request_counts(_requests(spark, sf_dir), "event_type").withColumn("status", F.col("status").cast("long"))
+
+
+def event_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.gauges(_events(spark, sf_dir), "event_type", "ts", "value")
+
+
+def event_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throughput, latency and error rate of a day against the targets."""
+    rows = _requests(spark, sf_dir).select((F.col("status") < 500).alias("ok"), F.col("value").alias("ms"))
+    return metrics.service_level(rows, 86_400)
+
+
+def label_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of high quality, taken to hold nothing personal, in which something is found."""
+    clean = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    cases = detect(_documents(spark, sf_dir).join(clean, "doc_id")).withColumn("expected", F.array().cast("array<string>"))
+    return metrics.false_positives(cases)
+
+
 def detection_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of documents with an entity, by label of quality."""
     found = detect(_documents(spark, sf_dir)).select("doc_id", (F.size("entities") > 0).alias("found"))
@@ -265,5 +328,5 @@ def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sampled(_documents(spark, sf_dir), "doc_id", 5).select("doc_id", views.shortened(F.col("text")).alias("head"))
 
 
-_QUERIES = (email_redact, email_spans, safe_redact, safe_entities, safe_entity_counts, safe_scored_entities, safe_tokens_each, safe_corpus_tokens, category_filter, docs_with_label, candidate_counts, redact_documents, redact_documents_scored, redact_documents_strict, leak_rate, redact_once_each, dedupe_stats, text_length_histogram, golden_rules, golden_scored, sample_redact, sample_reviewer, chained_redact, validation_status, redact_cells, lines_parsed, registry_rules, registry_scored, event_rate_1m, event_error_ratio_5m, event_quantiles, event_top_users_1h, event_latency_histogram, event_batch_histogram, event_bucket_quantile, event_stats, event_breaker, event_cache_hits, detection_vs_labels, qa_sample)
+_QUERIES = (email_redact, email_spans, safe_redact, safe_entities, safe_entity_counts, safe_scored_entities, safe_tokens_each, safe_corpus_tokens, category_filter, docs_with_label, candidate_counts, redact_documents, redact_documents_scored, redact_documents_strict, leak_rate, redact_once_each, dedupe_stats, text_length_histogram, golden_rules, golden_scored, label_filter, scored_threshold, token_maps, restored_documents, entity_labels, chained_fallback, sample_redact, sample_reviewer, chained_redact, validation_status, redact_cells, lines_parsed, registry_rules, registry_scored, event_rate_1m, event_error_ratio_5m, event_quantiles, event_top_users_1h, event_latency_histogram, event_batch_histogram, event_bucket_quantile, event_stats, event_requests, event_gauges, event_targets, label_false_positives, event_breaker, event_cache_hits, detection_vs_labels, qa_sample)
 QUERIES = {f.__name__: f for f in _QUERIES}
