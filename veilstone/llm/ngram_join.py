@@ -255,7 +255,8 @@ def light_pairs(buckets: DataFrame, heads: DataFrame, num: int, den: int) -> Dat
     room = lambda x, y: F.lit(den + num) * F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= F.lit(num) * (x["n"] + y["n"])
     behind = lambda x, i: F.filter(F.slice("m", i + 2, LIGHT), lambda y: room(x, y) & (x["node"] != y["node"]))
     pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-    pairs = listed.select(F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(behind(x, i), lambda y: pair(x, y)))))).distinct()
+    # The outer form: the inner one makes the optimizer test the array's size below, which lists the pairs twice.
+    pairs = listed.select(F.inline_outer(F.flatten(F.transform("m", lambda x, i: F.transform(behind(x, i), lambda y: pair(x, y)))))).filter("a is not null").distinct()
     side = lambda name: heads.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *_BITS))).hint("merge")
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).select("a", "b").distinct()
 
