@@ -265,14 +265,18 @@ def run_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, num: int,
     """The pairs (a, b) of sets that share a run (key, node, n), may be linked and are in different components."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = store.keep(placed, scope)
-    ends = store.keep(placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("key"), scope)
+    # Of two components one at least is not the bucket's largest, so only members of the others look for partners.
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("largest"))
+    ends = store.keep(largest.filter("_parts > 1").select("key", "largest"), scope)
     # Linked sets are in the same band of sizes or in neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(den / num), 1e-9) * 1.000001))
-    rest = store.keep(placed.join(ends.hint("merge"), "key", "left_semi").join(heads.select("node", *_BITS), "node").withColumn("band", band), scope)
-    names = ["key", "band", "node", "n", "component", *_BITS]
-    x = rest.select("key", "band", *(F.col(c).alias(f"x_{c}") for c in names[1:]))
-    y = rest.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"y_{c}") for c in names[1:]))
-    apart = (F.col("x_component") != F.col("y_component")) & ((F.col("x_band") != F.col("y_band")) | (F.col("x_node") < F.col("y_node")))
+    rest = store.keep(placed.join(ends.hint("merge"), "key").join(heads.select("node", *_BITS), "node").withColumn("band", band), scope)
+    names = ["node", "n", "component", *_BITS]
+    x = rest.select("key", "band", *(F.col(c).alias(f"x_{c}") for c in names))
+    others = rest.filter(F.col("component") != F.col("largest"))
+    y = others.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"y_{c}") for c in names))
+    apart = F.col("x_component") != F.col("y_component")
     fits = close(F.col("x_n"), F.col("y_n"), num, den) & alike("x_", "y_", num, den)
     pairs = x.join(y.hint("merge"), ["key", "band"]).filter(apart & fits)
     return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
