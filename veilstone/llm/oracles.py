@@ -72,4 +72,27 @@ def _secrets() -> str:
 select doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' order by st, nth) filter (kind in ({base})), '')) base_sha256, coalesce(string_agg({one}, ',' order by st, nth), '') spans from documents left join s using (doc_id) group by doc_id"""
 
 
-ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op3_chat_formatting": _chat(), "op5_quality_rules": QUALITY, "op10_secret_scans": _secrets()}
+DIVERGENCE = """with d as (select row_number() over () k, coalesce(lang, '') "lang", coalesce(source, '') "source", translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+o as (select k, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+kept as (select lang, term from o group by all having count(distinct k) >= 10),
+c as (select lang, source, term, count(*) n from o join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(term) v from (select distinct lang from g) left join kept using (lang) group by 1),
+s as (select g.lang, g.source, coalesce(sum(n), 0)::hugeint total from g left join c using (lang, source) group by all),
+p as (select g.lang, g.source, kept.term, coalesce(c.n, 0) n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (s.total + 2 * v.v) p
+ from g join kept using (lang) join s using (lang, source) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+l as (select lang, term, sum(n) n from p group by all),
+q as (select l.lang, l.term, 1 + (1000000000::hugeint * (l.n + 2)) // (u.total + 2 * v.v) q from l join v using (lang) join (select lang, sum(total) total from s group by 1) u using (lang)),
+pair as (select a.lang, a.source, b.source item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) "value" from g a join g b on a.lang = b.lang and a.source <> b.source
+ left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+term as (select lang, source, term item, ((p - q) * (p - q)) // (p + q) "value" from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, 'pair' part, row_number() over (partition by lang, source order by "value" desc, item) rank from pair union all select *, 'term', row_number() over (partition by lang, source order by "value" desc, item) from term)
+select lang, source, part, item, "value"::bigint "value", rank::int rank from r where part = 'pair' or rank <= 10"""
+
+_NIBBLES = "0000000100100011010001010110011110001001101010111100110111101111"
+WARC = f"""with h as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) x from pages),
+b as (select *, array_to_string(list_transform(string_split(x, ''), lambda c: substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') bits, min(page_id) over (partition by x, payload_bytes) f from h)
+select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::int * (16 >> j)))::int, 1)), '') payload_digest,
+case when f is null or page_id = f then 'response' else 'revisit' end record_type, case when page_id = f then null else f end refers_to from b"""
+
+ORACLES = {"op1_ngram_join": NGRAM_JOIN, "op3_chat_formatting": _chat(), "op5_quality_rules": QUALITY, "op10_secret_scans": _secrets(), "op11_source_divergence": DIVERGENCE, "op12_warc": WARC}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstone.llm.oracles import ORACLES  # noqa: F401
-from veilstone.llm import alignment, chat, decontamination, language_id, line_dedup, ngram_join, packing, quality, secrets, token_counts, toxicity
+from veilstone.llm import alignment, chat, decontamination, divergence, language_id, line_dedup, ngram_join, packing, quality, secrets, token_counts, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -82,8 +82,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, base), digest.alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_chat_formatting, op4_line_dedup, op5_quality_rules, op6_decontamination, op7_toxicity, op8_language_id, op9_token_counts, op10_secret_scans, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_chat_formatting, op4_line_dedup, op5_quality_rules, op6_decontamination, op7_toxicity, op8_language_id, op9_token_counts, op10_secret_scans, op11_source_divergence, op12_warc, op13_token_alignment)}
