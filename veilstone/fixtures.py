@@ -94,6 +94,9 @@ SCORED_TEXTS = [
     "   ",
 ]
 
+#: Stands between a fixture text and a document; no rule reaches over it.
+BREAK = "\n¶\n"
+
 _MARK = re.compile(r"\{([A-Z0-9_]+):(.*?)\}", re.S)
 
 

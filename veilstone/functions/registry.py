@@ -18,7 +18,8 @@ _LOG = logging.getLogger("veilstone")
 
 @dataclass(frozen=True)
 class Detector:
-    """One rule. `regex` is Java's dialect; `find`, instead, maps a text column to an array of (start, end)."""
+    """One rule. `regex` is Java's dialect; `find`, instead, maps a text column to an array of (start, end); `scan`, instead,
+    is a Python function that gives a list of (start, end), in code points, for each of a list of texts."""
 
     label: str
     category: str
@@ -31,6 +32,7 @@ class Detector:
     description: str = ""
     enabled: bool = True
     find: Callable[[Column], Column] | None = None
+    scan: Callable[[list[str]], list[list[tuple[int, int]]]] | None = None
 
 
 class Registry:
@@ -84,14 +86,17 @@ class Registry:
 
     def checked(self, spark: SparkSession) -> tuple[Registry, dict[str, str]]:
         """The detectors that can be evaluated, and the error of each label's that cannot: a regex that does not compile or
-        matches the empty string, a `find` that fails."""
+        can match the empty string somewhere, a `find` that fails or gives something else than (start, end)."""
         kept, errors = [], {}
         for d in self.detectors:
             try:
                 if d.find:
-                    d.find(F.col("text"))
-                elif not d.regex or spark._jvm.java.util.regex.Pattern.compile(d.regex).matcher("").find():
-                    raise ValueError("the regex matches the empty string")
+                    made = spark.range(1).select(d.find(F.lit("x 1")).alias("s"))
+                    made.select(F.transform("s", lambda s: s["start"] + s["end"])).collect()
+                elif not d.scan:
+                    spark._jvm.java.util.regex.Pattern.compile(d.regex)
+                    if least_width(d.regex) == 0 or any(_matches_empty(spark, d.regex, t) for t in ("", "a", "1 a", "\n")):
+                        raise ValueError("the regex can match the empty string")
                 kept.append(d)
             except Exception as e:  # whatever a user's detector raises
                 errors[d.label] = str(getattr(e, "java_exception", e)).splitlines()[0]
@@ -103,6 +108,22 @@ class Registry:
         return spark.createDataFrame(rows, "ord int, label string, category string, priority int, score double, regex string, description string, enabled boolean")
 
 
+def least_width(regex: str) -> int | None:
+    """The length of the shortest match, by the parsed regex; None where Python does not read Java's dialect."""
+    try:
+        return re._parser.parse(regex).getwidth()[0]
+    except (re.error, OverflowError):
+        return None
+
+
+def _matches_empty(spark: SparkSession, regex: str, text: str) -> bool:
+    matcher = spark._jvm.java.util.regex.Pattern.compile(regex).matcher(text)
+    while matcher.find():
+        if matcher.start() == matcher.end():
+            return True
+    return False
+
+
 def _regex(pattern: str, flags: str) -> str:
     return ("(?i)" if "i" in flags else "") + pattern
 

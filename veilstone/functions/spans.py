@@ -7,6 +7,8 @@ texts that pass a cheap necessary test.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ from veilstone.functions.registry import Detector, Registry
 SPAN = "struct<start:int,neg:int,ord:int,end:int,label:string,category:string,score:double,value:string>"
 
 
-def regex_spans(text: Column, regex: str) -> Column:
+def regex_spans(text: Column, regex: str | Column) -> Column:
     """Array of (start, end) of leftmost non-overlapping matches. The regex must not match the empty string."""
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.length)
-    gaps = F.transform(F.split(text, regex, -1), F.length)
+    pattern = F.lit(regex) if isinstance(regex, str) else regex
+    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.arrays_zip(gaps.alias("g"), lengths.alias("m"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
@@ -39,35 +42,74 @@ def guard(text: Column, lower: Column, d: Detector) -> Column:
     return hinted & needed & text.rlike(d.regex)
 
 
-def context_score(lower: Column, d: Detector, boost: float) -> Column:
-    """The detector's score, raised by `boost` (1 at most) where a context word occurs in the text."""
-    if not boost or not d.context:
-        return F.lit(float(d.score))
-    near = F.lit(False)
-    for word in d.context:
-        near = near | F.contains(lower, F.lit(word))
-    return F.when(near, F.lit(min(1.0, d.score + boost))).otherwise(F.lit(float(d.score)))
+@dataclass(frozen=True)
+class Context:
+    """How context words raise a score: by `boost`, to `floor` at least and 1 at most, where one of the detector's words is
+    part of a word nearby: of the span itself, of the `before` words in front of it or of the `after` words behind it, within
+    `reach` characters. With `before` None a word anywhere in the text counts."""
+
+    boost: float = 0.35
+    floor: float = 0.4
+    before: int | None = 5
+    after: int = 0
+    reach: int = 200
+
+    def nearby(self, lower: Column, start: Column, end: Column) -> Column:
+        """The words near a span, in lower case."""
+        words = lambda c, n: F.slice(F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), *n)
+        begin = F.greatest(start - self.reach, F.lit(0))
+        front = F.reverse(F.slice(F.reverse(F.regexp_extract_all(F.substring(lower, begin + 1, start - begin), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), 1, self.before)) if self.before else F.array().cast("array<string>")
+        behind = words(F.substring(lower, end + 1, F.lit(self.reach)), (1, self.after)) if self.after else F.array().cast("array<string>")
+        return F.concat(front, F.array(F.substring(lower, start + 1, end - start)), behind)
+
+    def raised(self, score: Column, lower: Column, start: Column, end: Column, words: Column) -> Column:
+        """`score`, raised where one of `words` stands nearby."""
+        if self.before is None:
+            held = F.exists(words, lambda w: F.contains(lower, w))
+        else:
+            near = F.concat_ws(" ", self.nearby(lower, start, end))
+            held = F.exists(words, lambda w: F.contains(near, w))
+        return F.when(held, F.least(F.lit(1.0), F.greatest(F.lit(self.floor), score + self.boost))).otherwise(score)
 
 
-def _full(text: Column, k: int, d: Detector, score: Column):
+def _words(registry: Registry) -> Column:
+    return F.array(*(F.array(*map(F.lit, d.context)).cast("array<string>") for d in registry.detectors))
+
+
+def spans_of(text: Column, lower: Column, registry: Registry, found: Column, context: Context | None = None) -> Column:
+    """Array of SPAN, of an array of (start, end, ord): `ord` is a detector's place in the registry."""
+    of = lambda cast, values: F.array(*(F.lit(cast(v)) for v in values))
+    fields = {"neg": of(lambda d: -d.priority, registry.detectors), "label": of(lambda d: d.label, registry.detectors), "category": of(lambda d: d.category, registry.detectors), "score": of(lambda d: float(d.score), registry.detectors)}
+    words = _words(registry) if context else None
+
     def span(s: Column) -> Column:
+        told = {n: F.get(v, s["ord"]) for n, v in fields.items()}
+        score = context.raised(told["score"], lower, s["start"], s["end"], F.get(words, s["ord"])) if context else told["score"]
         value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(s["start"].cast("int").alias("start"), F.lit(-d.priority).alias("neg"), F.lit(k).alias("ord"), s["end"].cast("int").alias("end"), F.lit(d.label).alias("label"), F.lit(d.category).alias("category"), score.alias("score"), value.alias("value"))
+        return F.struct(s["start"].cast("int").alias("start"), told["neg"].alias("neg"), s["ord"].cast("int").alias("ord"), s["end"].cast("int").alias("end"), told["label"].alias("label"), told["category"].alias("category"), score.alias("score"), value.alias("value"))
+
+    return F.transform(found, span)
 
-    return span
 
+def candidates(text: Column, registry: Registry, lower: Column | None = None, context: Context | None = None) -> Column:
+    """Array of SPAN of all enabled detectors but those that scan in Python, in order of (start, priority, registry). A null
+    text has none.
 
-def candidates(text: Column, registry: Registry, lower: Column | None = None, context_boost: float = 0.0) -> Column:
-    """Array of SPAN of all enabled detectors, in order of (start, priority, registry). A null text has none."""
+    Cheap tests tell which rules match a text at all; only these are then listed, by one expression that takes the rule's
+    pattern from a constant array. So a plan holds a test for each rule, but one copy of what lists and describes spans.
+    """
     lower = F.lower(text) if lower is None else lower
     empty = F.array().cast(f"array<{SPAN}>")
+    rules = [(k, d) for k, d in enumerate(registry.detectors) if d.enabled and not d.find and not d.scan]
+    own = [(k, d) for k, d in enumerate(registry.detectors) if d.enabled and d.find]
+    with_ord = lambda found, k: F.transform(found, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lit(k).cast("int").alias("ord") if isinstance(k, int) else k.alias("ord")))
     parts = []
-    for k, d in enumerate(registry.detectors):
-        if not d.enabled:
-            continue
-        found = d.find(text) if d.find else regex_spans(text, d.regex)
-        score = context_score(lower, d, context_boost)
-
-        some = F.transform(found, _full(text, k, d, score))
-        parts.append(F.coalesce(some if d.find else F.when(guard(text, lower, d), some), empty))
-    return F.array_sort(F.flatten(F.array(*parts))) if parts else empty
+    if rules:
+        worth = F.array_compact(F.array(*(F.when(guard(text, lower, d), F.lit(n)) for n, (_, d) in enumerate(rules))))
+        patterns, places = F.array(*(F.lit(d.regex) for _, d in rules)), F.array(*(F.lit(k) for k, _ in rules))
+        parts.append(F.flatten(F.transform(worth, lambda n: with_ord(regex_spans(text, F.get(patterns, n)), F.get(places, n)))))
+    parts += [F.coalesce(with_ord(d.find(text), k), F.array().cast("array<struct<start:int,end:int,ord:int>>")) for k, d in own]
+    if not parts:
+        return empty
+    found = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.coalesce(F.array_sort(spans_of(text, lower, registry, found, context)), empty)

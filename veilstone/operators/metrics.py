@@ -102,6 +102,11 @@ def request_counts(requests: DataFrame, endpoint: str = "endpoint", status: str
     return requests.groupBy(endpoint, status).agg(F.count("*").alias("requests"), F.count_if(failed).alias("errors"))
 
 
+def failures_by_kind(failures: DataFrame) -> DataFrame:
+    """detector, kind of error and n of detectors' failures."""
+    return failures.groupBy("detector", "kind").agg(F.count("*").alias("n"))
+
+
 def gauges(samples: DataFrame, name: str = "name", ts: str = "ts", value: str = "value") -> DataFrame:
     """The latest value of each gauge; the largest of those at one time."""
     return samples.groupBy(name).agg(F.max(F.struct(ts, value)).alias("_l")).select(name, F.col(f"_l.{ts}").alias(ts), F.col(f"_l.{value}").alias(value))

@@ -10,8 +10,8 @@ from veilstone import tables
 _FIELDS = ("start", "end", "label", "category", "score", "value")
 
 
-def _entity(s: Column, token: Column) -> Column:
-    return F.struct(*(s[f].alias(f) for f in _FIELDS), token.alias("token"))
+def _entity(s: Column, named: Column) -> Column:
+    return F.struct(*(s[f].alias(f) for f in _FIELDS), named.alias("token"))
 
 
 def numbered(spans: Column, consistent: bool = True, value_only: bool = False) -> Column:
@@ -21,20 +21,20 @@ def numbered(spans: Column, consistent: bool = True, value_only: bool = False) -
     its first place whatever its label). Else every entity gets the next number of its label.
     """
     if not consistent:
-        return F.transform(spans, lambda s, i: _entity(s, _token(s["label"], F.size(F.filter(F.slice(spans, 1, i + 1), lambda o: o["label"] == s["label"])))))
+        return F.transform(spans, lambda s, i: _entity(s, token(s["label"], F.size(F.filter(F.slice(spans, 1, i + 1), lambda o: o["label"] == s["label"])))))
     if not value_only:
-        return F.transform(spans, lambda s: _entity(s, _token(s["label"], F.array_position(F.array_distinct(F.transform(F.filter(spans, lambda o: o["label"] == s["label"]), lambda o: o["value"])), s["value"]))))
+        return F.transform(spans, lambda s: _entity(s, token(s["label"], F.array_position(F.array_distinct(F.transform(F.filter(spans, lambda o: o["label"] == s["label"]), lambda o: o["value"])), s["value"]))))
     firsts = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, 1, i), lambda o: o["value"] == s["value"]))
 
     def of_value(s: Column) -> Column:
         first = F.element_at(F.filter(firsts, lambda f: f["value"] == s["value"]), 1)
         place = F.array_position(F.transform(F.filter(firsts, lambda f: f["label"] == first["label"]), lambda f: f["value"]), s["value"])
-        return _entity(s, _token(first["label"], place))
+        return _entity(s, token(first["label"], place))
 
     return F.transform(spans, of_value)
 
 
-def _token(label: Column, number: Column) -> Column:
+def token(label: Column, number: Column) -> Column:
     return F.concat(F.lit("["), label, F.lit("_"), number.cast("string"), F.lit("]"))
 
 
@@ -65,15 +65,15 @@ def corpus_tokens(entities: DataFrame, order: list[str], key: tuple[str, ...] =
     first (partial aggregation before the shuffle); numbers come from ranges of the order, so no label meets in one task.
     """
     first = entities.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
-    return ranged_number(first, "label", "_first").withColumn("token", _token(F.col("label"), F.col("number"))).select(*key, "number", "token")
+    return ranged_number(first, "label", "_first").withColumn("token", token(F.col("label"), F.col("number"))).select(*key, "number", "token")
 
 
-def ranged_number(df: DataFrame, group: str, order: str, weight: str | None = None) -> DataFrame:
+def ranged_number(df: DataFrame, group: str, order: str, weight: str | None = None, scope: str = "query") -> DataFrame:
     """Adds `number`, the place of each row within its group, or the sum of `weight` up to it: ranges are numbered apart,
     then shifted by the counts of the ranges in front of them (one row a range and group). Rows have to differ in
     (group, order). The dealt rows are written once, so that numbers and counts are of the same ranges."""
     one = F.lit(1) if weight is None else F.col(weight)
-    ranged = tables.keep(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_part", F.spark_partition_id()))
+    ranged = tables.keep(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_part", F.spark_partition_id()), scope)
     so_far = Window.partitionBy(group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_n", F.sum(one).over(so_far))
     counts = ranged.groupBy(group, "_part").agg(F.sum(one).alias("_size"))

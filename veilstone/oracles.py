@@ -85,11 +85,11 @@ _ITEM = "'st': st, 'neg': neg, 'ord': ord, 'label': label, 'category': category,
 _JOIN = "else list_concat(a[1:len(a)-1], [{'st': a[-1].st, " + ", ".join(f"'{n}': case when x[1].neg < a[-1].neg then x[1].{n} else a[-1].{n} end" for n in ("neg", "ord", "label", "category", "score")) + ", 'en': greatest(a[-1].en, x[1].en)}])"
 
 
-def _kept(rules, source: str = "documents", keys: str = "doc_id", text: str = "text", swap: str = _SWAP + " else a", order: str = "st, neg, ord", where: str = "true", n: str = "") -> str:
-    """CTEs c (candidates) and k (resolved spans, a row each)."""
-    if isinstance(rules[0], str):
+def _kept(rules, source: str = "documents", keys: str = "doc_id", text: str = "text", swap: str = _SWAP + " else a", order: str = "st, neg, ord", where: str = "true", n: str = "", found: str = "") -> str:
+    """CTEs c (candidates, or what `found` selects) and k (resolved spans, a row each)."""
+    if rules and isinstance(rules[0], str):
         rules = _rules(rules, text)
-    return f"""c{n} as (select * from ({_candidates(rules, source, keys, text)}) where {where}),
+    return f"""c{n} as (select * from ({found or _candidates(rules, source, keys, text)}) where {where}),
 l{n} as (select {keys}, list([{{{_ITEM}}}] order by {order}) ls from c{n} group by all),
 e{n} as (select {keys}, list_reduce(ls, lambda a, x: case when x[1].st >= a[-1].en then list_concat(a, x) {swap} end) es from l{n}),
 k{n} as (select u.*, substring({text}, st + 1, en - st) "value" from (select {keys}, unnest(es, recursive := true) from e{n}) u join {source} using ({keys}))"""
@@ -115,14 +115,18 @@ def _redact(labels) -> str:
 _FULL = "select doc_id, coalesce(red, text) redacted_text, coalesce(n, 0)::bigint entity_count, coalesce(cats, '') categories, coalesce({}, '') entities from documents left join r using (doc_id)"
 
 
-def _redact_scored(threshold: float, overrides: dict[str, float]) -> str:
-    """Scores decide, and a value keeps the token of its first place whatever its label."""
+def _scored_kept(threshold: float, overrides: dict[str, float], source: str = "documents", text: str = "text", found: str = "") -> str:
     least = "".join(f"when label = '{k}' then {max(v, threshold)} " for k, v in overrides.items())
-    found = _kept(_scored_rules("text"), swap="else a", order="st, -score, ord", where=f"score >= case {least}when true then {threshold} end")
-    return f"""with {found}, f as (select *, min(st) over (partition by doc_id, "value") first_at from k),
+    return _kept(_scored_rules(text), source, text=text, swap="else a", order="st, -score, ord", where=f"score >= case {least}when true then {threshold} end", found=found)
+
+
+def _redact_scored(threshold: float, overrides: dict[str, float], source: str = "documents", text: str = "text", more: str = "") -> str:
+    """Scores decide, and a value keeps the token of its first place whatever its label."""
+    found = _scored_kept(threshold, overrides, source, text)
+    return f"""with {more}{found}, f as (select *, min(st) over (partition by doc_id, "value") first_at from k),
 g as (select doc_id, "value", label named, st from f where st = first_at),
 h as (select doc_id, "value", '[' || named || '_' || row_number() over (partition by doc_id, named order by st) || ']' token from g),
-t as (select f.*, token from f join h using (doc_id, "value")), {_rewritten()} """ + _FULL.format("scored")
+t as (select f.*, token from f join h using (doc_id, "value")), {_rewritten(text=text, source=source)} """ + (_FULL.format("scored") if not more else "")
 
 
 def _chained(labels, fallback: str = "") -> str:
@@ -156,9 +160,58 @@ def _cells(table: str, key: str, columns: tuple[str, ...], others: tuple[str, ..
 w as (select {key}, {wanted} from b left join r using ({keys}) group by 1) select {key}, {', '.join(columns)}, {', '.join(others)} from w join (select {key}, {', '.join(others)} from {table}) using ({key})"""
 
 
-def _marked(texts) -> str:
-    """The redacted texts that marked fixture texts ask for."""
-    return " union all ".join(f"select {k} id, {_quoted(redacted)} redacted_text" for k, (_, redacted) in enumerate(map(fixtures.unmarked, texts)))
+def _listed(values) -> str:
+    return "[" + ", ".join(map(_quoted, values)) + "]"
+
+
+def _fronted(texts) -> str:
+    """CTE fx: the documents with the fixture texts in front, and what has to become of these."""
+    pairs = [fixtures.unmarked(t) for t in texts]
+    at = f"doc_id % {len(pairs)} + 1"
+    return f"fx as (select doc_id, ({_listed(p[0] for p in pairs)})[{at}] || {_quoted(fixtures.BREAK)} || text body, ({_listed(p[1] for p in pairs)})[{at}] front from documents), "
+
+
+_FRONTS = "select doc_id, front, length(coalesce(red, body)) n_chars from fx left join r using (doc_id)"
+_RULES_FRONTED = f"{_fronted(fixtures.RULE_TEXTS)}{_kept(ALL, 'fx', text='body')}"
+
+#: Detectors of one's own, and the documents that they fail on.
+_YEAR = (2, "YEAR", "CUSTOM", 5, 1.0, r"\b(?:19|20)[0-9]{2}\b", f"translate(text, '{_LETTERS}', '{_WIDE}')")
+_SHAME = (3, "SHAME", "CUSTOM", 4, 1.0, r"\*\*\*|%%%", "text")
+_FAILED = """select doc_id, 'YEAR' detector, 'ValueError' kind, 'cannot read ###' message from documents where contains(text, '###')
+ union all select doc_id, 'SHAME', 'ArithmeticError', length(text) || ' characters' from documents where length(text) % 11 = 0"""
+_UNFAILED = f"(doc_id, label) not in (select doc_id, detector from ({_FAILED}))"
+
+
+def _near() -> str:
+    """Scores raised by .05 where a context word stands in a span or the five words in front of it, 200 characters at most."""
+    labels = ("SWIFT_BIC", "CRYPTO", "MEDICATION")
+    rules = [(k, *r[1:]) for k, r in enumerate(x for x in _scored_rules("body") if x[1] in labels)]
+    words = {label: more[-1] for label, _, _, _, *more in catalog.SCORED if label in labels}
+    held = " ".join(f"when label = '{k}' then list_bool_or(list_transform({_listed(w)}, lambda w: contains(near, w)))" for k, w in words.items())
+    g = "g as (select doc_id, 'wallet ' || repeat('so ', (doc_id % 9)::int) || '0x52908400098527886e0f7030069857d2e4169ee7 and then ' || text body from documents)"
+    near = r"array_to_string((regexp_extract_all(substring(lower(body), greatest(st - 200, 0) + 1, least(st, 200)), '[^\x20\x09-\x0D]+'))[-5:], ' ') || ' ' || lower(substring(body, st + 1, size))"
+    found = f"select * exclude (near, body) replace (case when case {held} end then least(1, greatest(0.4, score + 0.05)) else score end as score) from (select c0.*, body, {near} near from ({_candidates(rules, 'g', 'doc_id', 'body')}) c0 join g using (doc_id))"
+    return f"with {g}, {_scored_kept(catalog.SCORE_THRESHOLD, catalog.SCORE_OVERRIDES, 'g', 'body', found)} select doc_id, st start_at, label, round(score, 6) score from k"
+
+
+def _span_rows(name: str, labels) -> str:
+    return f"{name} as (select doc_id, st start_at, st + size end_at, label from ({_candidates(_rules(labels, 'body'), 'fx', 'doc_id', 'body')}))"
+
+
+def _increase(seconds: int, step: int, by: str = "") -> str:
+    """Every range on its own: CTE o has window_start, n, raw and increase."""
+    key = f"{by}, " if by else ""
+    return f"""x as (select {key}time_bucket(interval {step} second, ts) - i * interval {step} second window_start, epoch_us(ts) t, round("value" * 100)::bigint v from events, range({seconds // step}) r(i)),
+y as (select *, lag(v) over (partition by {key}window_start order by t, v) p from x),
+z as (select {key}window_start, count(*) n, sum(case when p is null then 0 when v < p then v else v - p end)::bigint raw, min({{'t': t, 'v': v}}) f, max({{'t': t, 'v': v}}) l from y group by all having count(*) >= 2),
+w as (select *, (l.t - f.t)::double sampled, (l.t - f.t)::double / (n - 1) mean, (f.t - epoch_us(window_start))::double a, (epoch_us(window_start) + {seconds * 1_000_000} - l.t)::double b from z),
+u as (select *, case when a >= mean * 1.1 then mean / 2 else a end near_a, case when b >= mean * 1.1 then mean / 2 else b end near_b, case when raw > 0 then sampled * (f.v::double / raw) end zero from w),
+o as (select {key}window_start, n, raw, case when sampled > 0 then raw * ((sampled + least(near_a, coalesce(zero, near_a)) + near_b) / sampled) else raw end increase from u)"""
+
+
+def _sliding(by: str, more: str = "") -> str:
+    return f"""select m - i * interval 1 minute window_start, {by}sum(n)::bigint n, sum(n) / 300 rate{more} from
+ (select {by}time_bucket(interval 1 minute, ts) m, count(*) n, count(*) filter (event_type = 'error') e from events group by all), range(5) r(i) group by all"""
 
 
 def _histogram(value: str, buckets, source: str, by: str = "") -> str:
@@ -235,8 +288,25 @@ ORACLES = {
     "label_false_positives": f"with {_kept(ALL)}, d as (select distinct doc_id from k) select count(*) total, count(d.doc_id) false_positives, count(d.doc_id) / count(*) false_positive_rate from documents join labels using (doc_id) left join d using (doc_id) where quality = 1",
     "redact_documents_strict": f"with {_kept(ALL, swap=_JOIN)}, {_tokens()}, {_rewritten()} select doc_id, coalesce(red, text) redacted_text, coalesce(n, 0)::bigint entity_count, coalesce(cats, '') categories from documents left join r using (doc_id)",
     "chained_redact": _chained(("EMAIL", "DRIVERS_LICENSE", "DOMAIN")),
-    "golden_rules": _marked(fixtures.RULE_TEXTS),
-    "golden_scored": _marked(fixtures.SCORED_TEXTS),
+    "golden_rules": f"with {_RULES_FRONTED}, {_tokens()}, {_rewritten(text='body', source='fx')} {_FRONTS}",
+    "golden_scored": _redact_scored(catalog.SCORE_THRESHOLD, catalog.SCORE_OVERRIDES, "fx", "body", _fronted(fixtures.SCORED_TEXTS)) + _FRONTS,
+    "golden_labels": f"with {_RULES_FRONTED} select label, category, count(*) n from k group by all",
+    "redact_with_failures": f"with {_kept([*_rules(('EMAIL', 'DRIVERS_LICENSE'), 'text'), _YEAR, _SHAME], where=_UNFAILED)}, {_tokens()}, {_rewritten()} select doc_id, coalesce(red, text) redacted_text, coalesce(n, 0)::bigint entity_count from documents left join r using (doc_id)",
+    "detector_failures": _FAILED,
+    "failures_by_kind": f"select detector, kind, count(*) n from ({_FAILED}) group by all",
+    "incremental_tokens": f"with {_kept(_SAFE)}, f as (select label, \"value\", min({{'d': doc_id, 's': st}}) first_at from k group by all), n as (select *, row_number() over (partition by label order by first_at) number from f) select label, \"value\", number, '[' || label || '_' || number || ']' token from n",
+    "context_near": _near(),
+    "spans_without_overlap": f"with {_fronted(fixtures.RULE_TEXTS)}{_span_rows('a', ('DOMAIN', 'PERSON_FULL', 'PHONE'))}, {_span_rows('b', ('EMAIL', 'URL_WITH_CREDENTIALS', 'PERSON', 'PHONE_INTL'))} select * from a where not exists (from b where b.doc_id = a.doc_id and b.start_at < a.end_at and a.start_at < b.end_at)",
+    "spans_not_repeated": f"with {_fronted(fixtures.RULE_TEXTS)}{_span_rows('a', ('PHONE', 'ZIP_CODE', 'DATE', 'MEDICAL_CONDITION'))}, {_span_rows('b', ('PHONE_INTL', 'CREDIT_CARD', 'ZIP_CODE', 'SSN'))} select * from a where (doc_id, start_at, end_at) not in (select doc_id, start_at, end_at from b)",
+    "redact_event_props": """with t as (select event_id, event_id % 5 k, props, '"[EMAIL_1] and \\"more\\""' mail from events)
+select event_id, case k when 0 then '{"user": ' || mail || ', "mail@x.org": 1.50, "deep": [{"p": ' || props || '}, null, "[IP_ADDRESS_1]"]}' when 1 then '[' || mail || ', true, ' || props || ']' when 2 then mail when 3 then props else 'not JSON: [EMAIL_1] ' || props end tree,
+ case k when 0 then 2 when 3 then 0 else 1 end::bigint entity_count from t""",
+    "event_heavy_users_1h": "select * from (select window_start, user_id, n, row_number() over (partition by window_start order by n desc, user_id) rank from (select time_bucket(interval '1 hour', ts) window_start, user_id, count(*) n from events group by all)) where rank <= 10",
+    "event_sketch_quantiles": "select date_trunc('day', ts)::timestamp \"day\", event_type, count(\"value\") n, true p50_within, true p95_within, true p99_within from events group by all",
+    "event_sliding_rate": _sliding("event_type, "),
+    "event_sliding_errors": _sliding("", ", sum(e)::bigint n_met, sum(e) / sum(n) ratio"),
+    "event_counter_increase": f"with {_increase(300, 60)} select window_start, n, raw, round(increase, 4) increase, round(increase / 300, 6) rate from o",
+    "event_top_increase_1h": f"with {_increase(3600, 300, 'event_type')} select window_start, event_type, n, raw, round(increase, 4) increase, round(increase / 3600, 6) rate, rank from (select *, row_number() over (partition by window_start order by increase desc, event_type) rank from o) where rank <= 3",
     "sample_redact": _sample_redact("coalesce(x.red, s.prompt) redacted_prompt, coalesce(y.red, s.response) redacted_response, (coalesce(x.n, 0) + coalesce(y.n, 0))::bigint total_entities"),
     "sample_reviewer": _sample_redact("coalesce(x.red, s.prompt) prompt, coalesce(y.red, s.response) response"),
     "qa_sample": "select doc_id, substring(text, 1, 120) head from documents where ('0x' || substring(md5(doc_id::varchar), 1, 8))::bigint % 100 < 5",
@@ -248,8 +318,8 @@ ORACLES = {
     "redact_cells": _cells("documents", "doc_id", ("text", "lang", "source"), ("n_chars",)),
     "lines_parsed": """select case when event_type = 'view' then event_id::varchar else 'line-' || event_id end sample_id, case when event_type = 'view' then event_type else 'raw ' || event_type end prompt,
  case when event_type = 'view' then props end response, '{}' metadata from events where event_type != 'click'""",
-    "registry_rules": "select * from (values ('CREDENTIAL', 6, 10), ('FINANCIAL', 6, 10), ('NETWORK', 4, 7), ('PHI', 9, 9), ('PII', 15, 10), ('SENSITIVE', 4, 5)) v(category, n, top_priority)",
-    "registry_scored": "select * from (values ('CREDENTIAL', 6), ('FINANCIAL', 7), ('NETWORK', 3), ('PHI', 8), ('PII', 10), ('SENSITIVE', 3)) v(category, n)",
+    "registry_rules": f"with {_fronted(fixtures.RULE_TEXTS)}h as (select category, count(*) hits from ({_candidates(_rules(ALL, 'body'), 'fx', 'doc_id', 'body')}) group by 1) select v.*, coalesce(hits, 0)::bigint hits from (values ('CREDENTIAL', 6, 6, 10), ('FINANCIAL', 6, 6, 10), ('NETWORK', 4, 4, 7), ('PHI', 9, 9, 9), ('PII', 15, 15, 10), ('SENSITIVE', 4, 4, 5)) v(category, labels, detectors, top_priority) left join h using (category)",
+    "registry_scored": f"with {_fronted(fixtures.SCORED_TEXTS)}{_scored_kept(catalog.SCORE_THRESHOLD, catalog.SCORE_OVERRIDES, 'fx', 'body')} select category, count(distinct label) n, count(*)::bigint hits from k group by 1",
     "event_rate_1m": "select time_bucket(interval '1 minute', ts) window_start, event_type, count(*) / 60 rate from events group by all",
     "event_error_ratio_5m": "select time_bucket(interval '5 minutes', ts) window_start, count(*) filter (event_type = 'error') / count(*) ratio from events group by all",
     "event_quantiles": "select event_type, quantile_cont(\"value\", 0.5) p50, quantile_cont(\"value\", 0.95) p95, quantile_cont(\"value\", 0.99) p99 from events group by all",

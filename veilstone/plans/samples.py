@@ -23,7 +23,7 @@ def redact_samples(samples: DataFrame, options: Options | None = None) -> DataFr
     rows = samples.withColumn("_response", F.when(F.col("response") != "", F.col("response")))
     rows = rows.withColumns({"_lp": F.lower(prompt), "_lr": F.lower(response)})
     registry = options.detectors()
-    rows = rows.withColumns({"_fp": candidates(prompt, registry, F.col("_lp"), options.context_boost), "_fr": candidates(response, registry, F.col("_lr"), options.context_boost)})
+    rows = rows.withColumns({"_fp": candidates(prompt, registry, F.col("_lp"), options.nearness()), "_fr": candidates(response, registry, F.col("_lr"), options.nearness())})
     rows = rows.withColumns({"_sp": resolved(prompt, F.col("_fp"), options), "_sr": resolved(response, F.col("_fr"), options)})
     if options.profile == "scored":
         rows = rows.withColumns({"prompt_entities": tokens.numbered(F.col("_sp"), options.consistent, True), "response_entities": tokens.numbered(F.col("_sr"), options.consistent, True)})

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone import fixtures
+from veilstone import fixtures, tables
 from veilstone.functions import catalog
-from veilstone.functions.registry import Registry, rule_registry, scored_registry
-from veilstone.functions.spans import candidates
+from veilstone.functions.registry import Detector, Registry, rule_registry, scored_registry
+from veilstone.functions.spans import Context, candidates
 from veilstone.oracles import ORACLES  # noqa: F401
-from veilstone.operators import cache, metrics, resolve, tokens, views
-from veilstone.operators.redact import Options, detect, leaks, redact, redact_columns
+from veilstone.operators import cache, metrics, overlap, ranges, resolve, sketches, tokens, trees, views
+from veilstone.operators.numbering import TokenTable
+from veilstone.operators.redact import Options, detect, leaks, redact, redact_columns, with_failures
 from veilstone.plans.samples import chain, from_conversations, redact_samples, reviewer_samples
 from veilstone.sources.files import parse_lines
 
@@ -166,19 +169,31 @@ def redact_documents_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(views.reviewer(redact(_documents(spark, sf_dir), options=Options(strict=True)), "doc_id"))
 
 
-def _golden(spark: SparkSession, texts, options: Options | None = None) -> DataFrame:
-    rows = [(k, fixtures.unmarked(t)[0]) for k, t in enumerate(texts)]
-    return redact(spark.createDataFrame(rows, "id int, text string"), options=options).select("id", "redacted_text")
+def _with_fixtures(spark: SparkSession, sf_dir: str, texts) -> DataFrame:
+    """Every document with a fixture text in front: text number doc_id modulo their count."""
+    held = F.array(*(F.lit(fixtures.unmarked(t)[0]) for t in texts))
+    front = F.get(held, F.pmod("doc_id", F.lit(len(texts))).cast("int"))
+    return _documents(spark, sf_dir).withColumn("text", F.concat_ws(fixtures.BREAK, front, "text"))
+
+
+def _fronts(redacted: DataFrame) -> DataFrame:
+    return redacted.select("doc_id", F.substring_index("redacted_text", fixtures.BREAK, 1).alias("front"), F.length("redacted_text").cast("long").alias("n_chars"))
 
 
 def golden_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture texts, a rule or more each."""
-    return _golden(spark, fixtures.RULE_TEXTS)
+    """All documents with texts of each rule in front: what becomes of these."""
+    return _fronts(redact(_with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS)))
 
 
 def golden_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture texts, a scored entity or more each."""
-    return _golden(spark, fixtures.SCORED_TEXTS, Options("scored"))
+    """The same with texts of each scored entity."""
+    return _fronts(redact(_with_fixtures(spark, sf_dir, fixtures.SCORED_TEXTS), options=Options("scored")))
+
+
+def golden_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities found in the documents and the texts in front of them, by label."""
+    found = resolve.exploded(detect(_with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS)), "entities", "doc_id")
+    return metrics.entity_counts(found)
 
 
 def leak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,13 +249,101 @@ def lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(lines)
 
 
+def _hits_by_category(spark: SparkSession, found: DataFrame, registry: Registry) -> DataFrame:
+    """Each category's detectors beside what they find."""
+    hits = found.groupBy("label").agg(F.count("*").alias("hits"))
+    held = registry.to_df(spark).join(hits, "label", "left")
+    return held.groupBy("category").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("detectors"), F.max("priority").cast("long").alias("top_priority"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+
+
 def registry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = rule_registry().to_df(spark)
-    return rules.groupBy("category").agg(F.count("*").alias("n"), F.max("priority").cast("long").alias("top_priority"))
+    """Matches of the rules before overlaps are resolved, and the registry itself, by category."""
+    found = _with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS).select(F.inline_outer(candidates(F.col("text"), rule_registry()))).filter("label is not null")
+    return _hits_by_category(spark, found, rule_registry())
 
 
 def registry_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_registry().to_df(spark).groupBy("category").agg(F.count_distinct("label").alias("n"))
+    """Distinct labels and categories of the scored entities found."""
+    found = resolve.exploded(detect(_with_fixtures(spark, sf_dir, fixtures.SCORED_TEXTS), options=Options("scored")), "entities", "doc_id")
+    return found.groupBy("category", "label").agg(F.count("*").alias("hits")).groupBy("category").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"))
+
+
+def years(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """A detector of one's own, which fails on some texts."""
+    if any("###" in t for t in texts):
+        raise ValueError("cannot read ###")
+    return [[m.span() for m in re.finditer(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])", t)] for t in texts]
+
+
+def words_of_shame(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """Another one, which fails on others."""
+    out = []
+    for t in texts:
+        if len(t) % 11 == 0:
+            raise ArithmeticError(f"{len(t)} characters")
+        out.append([m.span() for m in re.finditer(r"\*\*\*|%%%", t)])
+    return out
+
+
+def _own_detectors() -> Options:
+    own = (Detector("YEAR", "CUSTOM", scan=years, priority=5), Detector("SHAME", "CUSTOM", scan=words_of_shame, priority=4))
+    return Options(registry=Registry((*rule_registry().only(("EMAIL", "DRIVERS_LICENSE")).detectors, *own)))
+
+
+def redact_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whatever detectors failed on them."""
+    done, _ = with_failures(_documents(spark, sf_dir), "doc_id", options=_own_detectors())
+    return done.select("doc_id", "redacted_text", F.col("entity_count").cast("long").alias("entity_count"))
+
+
+def detector_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each detector that raised on a document."""
+    return with_failures(_documents(spark, sf_dir), "doc_id", options=_own_detectors())[1]
+
+
+def failures_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.failures_by_kind(detector_failures(spark, sf_dir))
+
+
+def incremental_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the documents numbered in turn, the second one twice, and the table made one: the numbers of one run."""
+    found = resolve.exploded(detect(_documents(spark, sf_dir), options=_safe()), "entities", "doc_id")
+    middle = _documents(spark, sf_dir).agg(F.floor(F.avg("doc_id"))).first()[0] or 0
+    table = TokenTable(spark, tables.working_folder(spark, "tokens"))
+    table.add(found.filter(F.col("doc_id") <= middle), ["doc_id", "start"], 0)
+    for _ in range(2):
+        table.add(found.filter(F.col("doc_id") > middle), ["doc_id", "start"], 1)
+    table.compact()
+    return table.state()
+
+
+def context_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of an address behind `wallet` and up to eight words, and in front of each document."""
+    front = F.concat(F.lit("wallet "), F.repeat(F.lit("so "), F.pmod("doc_id", F.lit(9)).cast("int")), F.lit("0x52908400098527886e0f7030069857d2e4169ee7 and then "))
+    docs = _documents(spark, sf_dir).withColumn("text", F.concat(front, F.col("text")))
+    options = Options("scored", registry=scored_registry().only(("CRYPTO", "SWIFT_BIC", "MEDICATION")), context=Context(0.05, 0.4, 5))
+    found = resolve.exploded(detect(docs, options=options), "entities", "doc_id")
+    return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "label", F.round("score", 6).alias("score"))
+
+
+#: What is held against what: domains against the mails and links that hold them, names against longer names.
+_INNER, _OUTER = ("DOMAIN", "PERSON_FULL", "PHONE"), ("EMAIL", "URL_WITH_CREDENTIALS", "PERSON", "PHONE_INTL")
+
+
+def _rows_of(docs: DataFrame, labels) -> DataFrame:
+    return docs.select("doc_id", F.inline_outer(candidates(F.col("text"), rule_registry().only(labels)))).filter("label is not null").select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "label")
+
+
+def spans_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of one registry that overlap none of another's, as rows."""
+    docs = _with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS)
+    return overlap.without_overlap(_rows_of(docs, _INNER), _rows_of(docs, _OUTER), "doc_id", "start_at", "end_at")
+
+
+def spans_not_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of which another registry has no equal one."""
+    docs = _with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS)
+    return overlap.not_repeated(_rows_of(docs, ("PHONE", "ZIP_CODE", "DATE", "MEDICAL_CONDITION")), _rows_of(docs, ("PHONE_INTL", "CREDIT_CARD", "ZIP_CODE", "SSN")), "doc_id", "start_at", "end_at")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +366,64 @@ def event_top_users_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_k(_events(spark, sf_dir), "ts", "1 hour", "user_id", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+def event_heavy_users_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by bounded states of each hour, their keys counted exactly."""
+    return sketches.heavy_hitters(_events(spark, sf_dir), "ts", "1 hour", "user_id", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+def event_sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of a day from states of a minute, and whether their exact ranks lie within the stated error."""
+    events, qs = _events(spark, sf_dir), (0.5, 0.95, 0.99)
+    day = F.date_trunc("day", "window_start").alias("day")
+    told = sketches.estimated(sketches.merged(sketches.quantile_states(events, "ts", "value", "1 minute", "event_type"), day, "event_type"), qs)
+    both = events.withColumn("day", F.date_trunc("day", "ts")).join(told.drop("state", "n"), ["day", "event_type"])
+    out = []
+    for q in qs:
+        below, upto = (F.count_if(f(F.col("value"), F.col(f"p{round(q * 100)}"))) / F.count("value") for f in (lambda v, p: v < p, lambda v, p: v <= p))
+        out.append(((below <= q + 2 * sketches.rank_error()) & (upto >= q - 2 * sketches.rank_error())).alias(f"p{round(q * 100)}_within"))
+    return both.groupBy("day", "event_type").agg(F.count("value").alias("n"), *out)
+
+
+def event_sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a second of every five minutes, each minute, by type."""
+    return ranges.sliding_rate(_events(spark, sf_dir), "ts", 300, 60, "event_type")
+
+
+def event_sliding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of errors of every five minutes, each minute."""
+    return ranges.sliding_rate(_events(spark, sf_dir), "ts", 300, 60, condition=F.col("event_type") == "error")
+
+
+def _counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' values, in hundredths, read as a counter that begins anew where it falls."""
+    return _events(spark, sf_dir).withColumn("c", F.round(F.col("value") * 100).cast("long"))
+
+
+def _increases(df: DataFrame) -> DataFrame:
+    return df.select("window_start", *(c for c in ("event_type", "rank") if c in df.columns), "n", "raw", F.round("increase", 4).alias("increase"), F.round("rate", 6).alias("rate"))
+
+
+def event_counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of the counter over every five minutes, each minute: all events as one series."""
+    return _increases(ranges.increase(_counter(spark, sf_dir), "ts", "c", 300, 60))
+
+
+def event_top_increase_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three types whose counters grew most in every hour, each five minutes."""
+    grown = ranges.increase(_counter(spark, sf_dir), "ts", "c", 3600, 300, "event_type")
+    return _increases(ranges.top_increase(grown, 3, "event_type")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def redact_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of differing shape and type: each event's properties in a list, an object or a bare value."""
+    props = F.col("props")
+    mail = F.concat(F.lit('"u'), F.col("user_id").cast("string"), F.lit('@mail.example.org and \\"more\\""'))
+    shapes = [F.concat(F.lit('{"user": '), mail, F.lit(', "mail@x.org": 1.50, "deep": [{"p": '), props, F.lit('}, null, "10.0.0.1"]}')), F.concat(F.lit("["), mail, F.lit(", true, "), props, F.lit("]")), mail, props, F.concat(F.lit("not JSON: a@b.org "), props)]
+    tree = F.get(F.array(*shapes), F.pmod("event_id", F.lit(len(shapes))).cast("int"))
+    out = trees.redact_json(_events(spark, sf_dir).select("event_id", tree.alias("tree")), "event_id", "tree", Options(labels=("EMAIL", "IP_ADDRESS")))
+    return out
+
+
 def event_latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(_events(spark, sf_dir), F.col("value") / 100, catalog.LATENCY_BUCKETS, "event_type")
 
@@ -328,5 +489,5 @@ def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sampled(_documents(spark, sf_dir), "doc_id", 5).select("doc_id", views.shortened(F.col("text")).alias("head"))
 
 
-_QUERIES = (email_redact, email_spans, safe_redact, safe_entities, safe_entity_counts, safe_scored_entities, safe_tokens_each, safe_corpus_tokens, category_filter, docs_with_label, candidate_counts, redact_documents, redact_documents_scored, redact_documents_strict, leak_rate, redact_once_each, dedupe_stats, text_length_histogram, golden_rules, golden_scored, label_filter, scored_threshold, token_maps, restored_documents, entity_labels, chained_fallback, sample_redact, sample_reviewer, chained_redact, validation_status, redact_cells, lines_parsed, registry_rules, registry_scored, event_rate_1m, event_error_ratio_5m, event_quantiles, event_top_users_1h, event_latency_histogram, event_batch_histogram, event_bucket_quantile, event_stats, event_requests, event_gauges, event_targets, label_false_positives, event_breaker, event_cache_hits, detection_vs_labels, qa_sample)
+_QUERIES = (email_redact, email_spans, safe_redact, safe_entities, safe_entity_counts, safe_scored_entities, safe_tokens_each, safe_corpus_tokens, category_filter, docs_with_label, candidate_counts, redact_documents, redact_documents_scored, redact_documents_strict, leak_rate, redact_once_each, dedupe_stats, text_length_histogram, golden_rules, golden_scored, golden_labels, label_filter, scored_threshold, token_maps, restored_documents, entity_labels, chained_fallback, sample_redact, sample_reviewer, chained_redact, validation_status, redact_cells, lines_parsed, registry_rules, registry_scored, redact_with_failures, detector_failures, failures_by_kind, incremental_tokens, context_near, spans_without_overlap, spans_not_repeated, redact_event_props, event_rate_1m, event_error_ratio_5m, event_quantiles, event_top_users_1h, event_heavy_users_1h, event_sketch_quantiles, event_sliding_rate, event_sliding_errors, event_counter_increase, event_top_increase_1h, event_latency_histogram, event_batch_histogram, event_bucket_quantile, event_stats, event_requests, event_gauges, event_targets, label_false_positives, event_breaker, event_cache_hits, detection_vs_labels, qa_sample)
 QUERIES = {f.__name__: f for f in _QUERIES}

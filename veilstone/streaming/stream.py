@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from datetime import datetime
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from veilstone.operators.redact import Options
 from veilstone.operators.views import shortened
@@ -42,15 +46,23 @@ def fan_out(stream: DataFrame, handlers: list[Callable[[DataFrame, int], None]],
 
 
 class MemorySink:
-    """A handler for fan_out() that holds the newest rows, `most` at most: what does not fit is never brought to the driver."""
+    """A handler for fan_out() that holds `most` rows at most: the newest ones by the column `order`, or without one the
+    latest batches' first ones. What does not fit is never brought to the driver."""
 
-    def __init__(self, most: int = 1000):
+    def __init__(self, most: int = 1000, order: str | None = None):
         self.rows: deque = deque(maxlen=most)
-        self.seen = 0
+        self.order, self.seen = order, 0
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         self.seen += batch.count()
-        self.rows.extend(batch.limit(self.rows.maxlen).collect())
+        if self.order is None:
+            self.rows.extend(batch.limit(self.rows.maxlen).collect())
+            return
+        newest = batch.orderBy(F.desc_nulls_last(self.order)).limit(self.rows.maxlen).collect()
+        least = min((r[self.order] for r in [*self.rows, *newest] if r[self.order] is not None), default=None)
+        known = sorted([*self.rows, *newest], key=lambda r: (r[self.order] is not None, least if r[self.order] is None else r[self.order]))
+        self.rows.clear()
+        self.rows.extend(known)
 
 
 def print_sink(length: int = 120, most: int = 20, out: Callable[[str], None] = print) -> Callable[[DataFrame, int], None]:
@@ -64,6 +76,88 @@ def print_sink(length: int = 120, most: int = 20, out: Callable[[str], None] = p
     return handle
 
 
+def bounded_source(spark: SparkSession, path: str, schema: str, file_format: str = "parquet", most_files: int | None = None, most_bytes: str | None = None) -> DataFrame:
+    """A stream of files that a batch takes only so many of, or so many bytes of: what waits stays in its folder."""
+    if (most_files is None) == (most_bytes is None):
+        raise ValueError("either a number of files or of bytes")
+    limit = ("maxFilesPerTrigger", most_files) if most_files is not None else ("maxBytesPerTrigger", most_bytes)
+    return spark.readStream.schema(schema).format(file_format).option(*limit).load(path)
+
+
+class Intake:
+    """A handler for fan_out() that gives another one `most` rows at a time at most, in turn, and measures what came.
+
+    `batches` has the rows of each batch, `largest` the most rows that were handed over at once. A batch is cut by the
+    places of its rows, each row in exactly one piece, without a shuffle and without bringing rows to the driver.
+    """
+
+    def __init__(self, handle: Callable[[DataFrame, int], None], most: int):
+        self.handle, self.most = handle, most
+        self.batches: dict[int, int] = {}
+        self.largest = 0
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        from veilstone import tables
+
+        held = tables.keep(batch.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - (F.col("_part").cast("long") * (1 << 33))), scope := f"intake-{number}")
+        sizes = sorted(held.groupBy("_part").count().collect())  # a row a partition of the batch
+        self.batches[number] = sum(r["count"] for r in sizes)
+        pieces: list[tuple[int, list[tuple[int, int, int]]]] = []
+        for r in sizes:
+            at = 0
+            while at < r["count"]:
+                if not pieces or pieces[-1][0] == self.most:
+                    pieces.append((0, []))
+                take = min(self.most - pieces[-1][0], r["count"] - at)
+                pieces[-1] = (pieces[-1][0] + take, [*pieces[-1][1], (r["_part"], at, at + take)])
+                at += take
+        try:
+            for n, parts in pieces:
+                own = reduce(or_, ((F.col("_part") == p) & (F.col("_at") >= a) & (F.col("_at") < b) for p, a, b in parts))
+                self.handle(held.filter(own).drop("_part", "_at"), number)
+                self.largest = max(self.largest, n)
+        finally:
+            tables.release(batch.sparkSession, scope)
+
+
+class ProgressGauges(StreamingQueryListener):
+    """Gauges of all streaming queries, from their progress: rows of a batch, rows a second in and out, seconds of a batch, rows
+    and bytes of state, rows dropped as late, and whatever backlog the sources tell. The newest `most` samples are held.
+
+        gauges = ProgressGauges(); spark.streams.addListener(gauges); ...; metrics.gauges(gauges.to_df(spark))
+    """
+
+    SCHEMA = "query string, name string, ts timestamp, batch long, value double"
+
+    def __init__(self, most: int = 10_000):
+        self.samples: deque = deque(maxlen=most)
+        self.active: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.active.add(str(event.id))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.active.discard(str(event.id))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        told = {"rows": p.numInputRows, "rows_in_per_second": p.inputRowsPerSecond, "rows_out_per_second": p.processedRowsPerSecond, "batch_seconds": p.durationMs.get("triggerExecution", 0) / 1000}
+        if p.stateOperators:
+            told |= {"state_rows": sum(s.numRowsTotal for s in p.stateOperators), "state_bytes": sum(s.memoryUsedBytes for s in p.stateOperators), "late_rows": sum(s.numRowsDroppedByWatermark for s in p.stateOperators)}
+        for source in p.sources:
+            for name, value in (source.metrics or {}).items():
+                with suppress(ValueError, TypeError):
+                    told[f"backlog_{name}"] = told.get(f"backlog_{name}", 0.0) + float(value)
+        at = datetime.fromisoformat(p.timestamp.replace("Z", "+00:00"))
+        self.samples.extend((p.name or str(p.id), name, at, p.batchId, float(value)) for name, value in told.items() if value is not None and value == value)
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.samples), self.SCHEMA)
+
+
 def rate_stream(events: DataFrame, ts: str, width: str, seconds: int, late: str, *by: str) -> DataFrame:
     """Events a second of each window, closed once the watermark has passed it."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("_w"), *by).agg((F.count("*") / seconds).alias("rate")).select(F.col("_w.start").alias("window_start"), *by, "rate")

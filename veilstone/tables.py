@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_MODE_DIR: list[str] = []
 _WRITTEN: dict[str, list[str]] = {}
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,47 +30,63 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_MODE_DIR[0]
 
 
+def working_folder(spark: SparkSession, scope: str = "query") -> str:
+    """A new folder in the shared one, deleted by release() or when the driver's process ends."""
+    path = f"{shared_dir(spark)}/veilstone/{scope}-{uuid.uuid4().hex}"
+    with _LOCK:
+        _WRITTEN.setdefault(scope, []).append(path)
+    at, system = _place(spark, path)
+    system.mkdirs(at)  # what does not exist is not marked
+    system.deleteOnExit(at)
+    return path
+
+
 def keep(df: DataFrame, scope: str = "query") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: the lineage ends in a replayable table, and Spark deletes
-    the shuffles that led to it as soon as it is written. Tables that nobody released go when the driver ends."""
+    the shuffles that led to it as soon as it is written. Tables that nobody released go when the driver's process ends,
+    whether the session was stopped before or not."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilstone/{scope}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_release_all, spark)
-    _WRITTEN.setdefault(scope, []).append(path)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    kept = spark.read.schema(df.schema).parquet(path)
+    path = working_folder(spark, scope)
+    _apart(df).write.parquet(f"{path}/table")
+    kept = spark.read.schema(df.schema).parquet(f"{path}/table")
     kept._kept_at = path
     return kept
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same plan in a session of its own, in which the switch is on: what else runs in the caller's session has its own."""
+    spark = df.sparkSession
+    session = spark._jsparkSession.cloneSession()
+    session.conf().set(_CLEANUP, "true")
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), SparkSession(spark.sparkContext, session))
+
+
 def release(spark: SparkSession, scope: str) -> None:
     """Delete the tables kept under `scope`; call it only once every result that reads them is written."""
-    for path in _WRITTEN.pop(scope, []):
-        _delete(spark, path)
+    with _LOCK:
+        paths = _WRITTEN.pop(scope, [])
+    for path in paths:
+        delete(spark, path)
 
 
 def discard(table: DataFrame) -> None:
     """Delete a table made by keep() that nothing reads any more."""
     path, spark = table._kept_at, table.sparkSession
-    for paths in _WRITTEN.values():
-        if path in paths:
-            paths.remove(path)
-    _delete(spark, path)
+    with _LOCK:
+        for paths in _WRITTEN.values():
+            if path in paths:
+                paths.remove(path)
+    delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    at, system = _place(spark, path)
+    system.delete(at, True)
+    system.cancelDeleteOnExit(at)
 
 
-def _release_all(spark: SparkSession) -> None:
-    """At the driver's end; a session that was stopped before has left its tables to the folder's owner."""
-    if spark.sparkContext._jsc is not None:
-        for scope in list(_WRITTEN):
-            release(spark, scope)
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
