@@ -268,7 +268,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, date: str
     row where all ids are null. Null urls have no Target-URI. Other columns are ignored; an empty table gives no archive.
     """
     spark = pages.sparkSession
-    folder = folder or f"{store.shared_dir(spark)}/veilstone/{scope}-warc-{uuid.uuid4().hex}"
+    folder = folder or store.working_folder(spark, scope)
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     told = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").select("page_id", "url", "html", F.sha1(body).alias("sha"), F.octet_length(body).cast("long").alias("payload_bytes"))
     first = firsts(told, least, scope)
