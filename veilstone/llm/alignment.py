@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,22 +66,36 @@ class Sides:
         self.a.no_truncation()
         self.a.no_padding()
         byte_of, plain = byte_level(), {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.a_bytes = [plain[i].encode() if i in plain else bytes(map(byte_of.__getitem__, self.a.id_to_token(i) or "")) for i in range(self.a.get_vocab_size(with_added_tokens=True))]
+        a_bytes = [plain[i].encode() if i in plain else bytes(map(byte_of.__getitem__, self.a.id_to_token(i) or "")) for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("side B has to begin pieces at blanks and spell line feeds as bytes")
         self.blank = self.b.piece_to_id("▁")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.spelled_a, self.spelled_b = Pool(a_bytes), Pool(b_bytes)
+        self.size_a, self.size_b = len(a_bytes), len(b_bytes)
+        # an id in writing, twice for each side: inside a group, and at its side's end of one
+        self.written = Pool([f"{i}{end}".encode() for ends in (",|", ",;") for i in range(max(self.size_a, self.size_b)) for end in ends])
         self.reset()
 
     def reset(self) -> None:
         """Entry 0 is a unit that one of the sides spells otherwise."""
         self.known: dict[str, int] = {}
-        self.n_a, self.n_b, self.links, self.groups, self.held = [0], [0], [np.zeros(0, np.int64)], [b""], 0
+        self.groups: list[bytes] = [b""]
+        self.n_a, self.n_b, self.n_links = ([np.zeros(1, np.int64)] for _ in range(3))
+        self.pairs: list[np.ndarray] = []
+        self.held = 0
 
     def full(self) -> bool:
-        return len(self.links) > REMEMBERED or self.held > REMEMBERED_BYTES
+        return len(self.groups) > REMEMBERED or self.held > REMEMBERED_BYTES
+
+    def told(self, name: str) -> np.ndarray:
+        """All of n_a, n_b, n_links (by entry) or pairs, as one array."""
+        parts = getattr(self, name)
+        if len(parts) > 1:
+            parts[:] = [np.concatenate(parts)]
+        return parts[0] if parts else np.zeros(0, np.int64)
 
     def entries(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """The entries of the units between the cuts."""
@@ -95,41 +110,54 @@ class Sides:
         return np.array(found, np.int64)[units.indices.to_numpy()]
 
     def learn(self, units: list[str]) -> None:
-        sides = self.a.encode_batch_fast(units, add_special_tokens=False), self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        for unit, left, right in zip(units, *sides, strict=True):
-            spelled, left = unit.encode(), left.ids
-            if unit[0] != " " and right[:1] == [self.blank]:  # side B puts a blank in front; a line feed stands alone behind it
-                right = right[1:]
-            if b"".join([self.a_bytes[i] for i in left]) != spelled or b"".join([self.b_bytes[i] for i in right]) != spelled:
-                self.known[unit] = 0
-                continue
-            pairs, text = self.align(left, right)
-            self.known[unit] = len(self.links)
-            self.n_a.append(len(left))
-            self.n_b.append(len(right))
-            self.links.append(np.array(pairs, np.int64))
-            self.groups.append(text.encode())
-            self.held += len(text) + 8 * len(pairs)
-
-    def align(self, left: list[int], right: list[int]) -> tuple[list[int], str]:
-        """Linked pairs, as numbers, and the groups in writing; both sides spell the same bytes."""
-        pairs, groups = [], []
-        size = len(self.a_bytes)
-        i = j = 0
-        while i < len(left):
-            first_a, first_b = i, j
-            at_a, at_b = len(self.a_bytes[left[i]]), len(self.b_bytes[right[j]])
-            while at_a != at_b:
-                if at_a < at_b:
-                    i += 1
-                    at_a += len(self.a_bytes[left[i]])
-                else:
-                    j += 1
-                    at_b += len(self.b_bytes[right[j]])
-            pairs.append(right[j] * size + left[i])
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, left[first_a:i])) + "|" + ",".join(map(str, right[first_b:j])))
-        return pairs, ";".join(groups)
+        left = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        right = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
+        # side B puts a blank in front; a line feed stands alone behind it
+        right = [ids[1:] if u[0] != " " and ids[:1] == [self.blank] else ids for u, ids in zip(units, right, strict=True)]
+        spelled = [u.encode() for u in units]
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (left, right))
+        whole = np.frombuffer(b"".join(spelled), np.uint8)
+        if not np.array_equal(self.spelled_a.joined(a), whole) or not np.array_equal(self.spelled_b.joined(b), whole):
+            same = lambda pool, ids, text: pool.joined(np.array(ids, np.int64)).tobytes() == text
+            good = [k for k, text in enumerate(spelled) if same(self.spelled_a, left[k], text) and same(self.spelled_b, right[k], text)]
+            self.known.update(dict.fromkeys(units, 0))
+            units, left, right = ([x[k] for k in good] for x in (units, left, right))
+            a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (left, right))
+        if units:
+            self.align(units, a, b, np.array(list(map(len, left)), np.int64), np.array(list(map(len, right)), np.int64))
+
+    def align(self, units: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """New entries of units that both sides spell alike: where tokens of both end at one byte, a group ends. Units end so
+        too, therefore all units are aligned at once."""
+        end_a, end_b = np.cumsum(self.spelled_a.sizes[a]), np.cumsum(self.spelled_b.sizes[b])
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        pairs = b[last_b] * self.size_a + a[last_a]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        upto_a, upto_b = (np.concatenate(([0], np.flatnonzero(x) + 1)) for x in (last_a, last_b))  # tokens in the groups before
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + upto_b[group_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + upto_a[group_b + 1]] = 2 * (max(self.size_a, self.size_b) + b) + last_b
+        text = self.written.joined(order).tobytes()
+        ends = np.cumsum(self.written.sizes[order])[np.cumsum(n_a + n_b) - 1].tolist()
+        first = len(self.groups)
+        self.known.update(zip(units, range(first, first + len(units)), strict=True))
+        self.groups += [text[x : y - 1] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        self.n_a.append(n_a)
+        self.n_b.append(n_b)
+        self.n_links.append(arrays.sums(last_a, np.concatenate(([0], np.cumsum(n_a)))))
+        self.pairs.append(pairs)
+        self.held += len(text) + 8 * len(pairs)
+
+
+class Pool:
+    """Byte strings side by side, to be joined by number."""
+
+    def __init__(self, values: list[bytes]):
+        self.sizes = np.array(list(map(len, values)), np.int64)
+        self.begin, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(values), np.uint8)
+
+    def joined(self, which: np.ndarray) -> np.ndarray:
+        return self.data[_expand(self.begin[which], self.sizes[which])]
 
 
 def blanked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +203,24 @@ def _written(docs: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterat
             yield batch.column(0).slice(a, b - a), known.entries(data, cuts), first, known
 
 
-_BLOCK_DDL = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_links array<long>, sha array<string>, doc_units binary, units binary, unit_links binary, links binary, pairs binary, counts binary"
-_BLOCK = pa.schema([("block", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("doc_id", "n_a", "n_b", "n_links")), ("sha", pa.list_(pa.string())), *((n, pa.binary()) for n in ("doc_units", "units", "unit_links", "links", "pairs", "counts"))])
+_BLOCK_DDL = "block long, size int, doc_id array<long>, n_a array<long>, n_b array<long>, n_links array<long>, sha array<string>, doc_units binary, units binary, unit_links binary, links binary, pairs binary, counts binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int32()), *((n, pa.list_(pa.int64())) for n in ("doc_id", "n_a", "n_b", "n_links")), ("sha", pa.list_(pa.string())), *((n, pa.binary()) for n in ("doc_units", "units", "unit_links", "links", "pairs", "counts"))])
 _SIDE_DDL = "stripe int, kind int, block long, at binary, pairs binary, counts binary, best binary"
 _SIDE = pa.schema([("stripe", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("pairs", pa.binary()), ("counts", pa.binary()), ("best", pa.binary())])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """An array for storing: bytes of one rank side by side, compressed. Frequent things have small numbers, so most are 0."""
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -198,27 +238,28 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         held, known = 0, None
 
         def block() -> pa.RecordBatch:
-            entry, unit = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-            often = np.bincount(unit, minlength=len(entry))
-            links = [known.links[e] for e in entry.tolist()]
-            sizes = np.array([len(x) for x in links], np.int64)
-            pairs, link = np.unique(np.concatenate([*links, np.zeros(0, np.int64)]), return_inverse=True)
+            entry, unit, often = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            entry, often, unit = entry[order], often[order], place[unit]
+            sizes, upto = known.told("n_links")[entry], np.cumsum(known.told("n_links"))
+            links = known.told("pairs")[_expand(upto[entry] - sizes, sizes)]
+            pairs, link = np.unique(links, return_inverse=True)
             counts = np.zeros(len(pairs), np.int64)
             np.add.at(counts, link, np.repeat(often, sizes))
             starts = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
             flat = [np.concatenate([p[k] for p in parts]).tolist() for k in (3, 4, 5)]
             ids = [i for p in parts for i in p[0].to_pylist()]
-            own = (starts, unit.astype(np.int32), np.concatenate(([0], np.cumsum(sizes))), link.astype(np.int32), pairs, counts)
-            return _rows(_BLOCK, [(number, ids, *flat, [s for p in parts for s in p[6]], *(x.tobytes() for x in own))])
+            own = (starts, unit, np.concatenate(([0], np.cumsum(sizes))), link.astype(np.int32), pairs, counts)
+            return _rows(_BLOCK, [(number, len(pairs), ids, *flat, [s for p in parts for s in p[6]], *map(_packed, own))])
 
         for ids, entries, first, known in _written(batches, a_path, b_path):
             broken = arrays.sums(entries == 0, first) > 0
             if broken.any():  # such a document has no units at all
                 entries = entries[~np.repeat(broken, np.diff(first))]
                 first = np.concatenate(([0], np.cumsum(np.where(broken, 0, np.diff(first)))))
-            some, where = np.unique(entries, return_inverse=True)
-            some = some.tolist()
-            n_a, n_b, n_links = (np.array([f(e) for e in some], np.int64)[where] for f in (known.n_a.__getitem__, known.n_b.__getitem__, lambda e: len(known.links[e])))
+            n_a, n_b, n_links = (known.told(n)[entries] for n in ("n_a", "n_b", "n_links"))
             order, texts = entries.tolist(), known.groups
             sha = ["" if x == y else hashlib.sha256(b";".join([texts[e] for e in order[x:y]])).hexdigest() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             parts.append((ids, entries, first, *(arrays.sums(n, first) for n in (n_a, n_b, n_links)), sha))
@@ -236,7 +277,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def _vocabulary(a_path: str, b_path: str) -> tuple[int, int]:
     known = sides(a_path, b_path)
-    return len(known.a_bytes), len(known.b_bytes)
+    return known.size_a, known.size_b
 
 
 def _requests(table: DataFrame, size_a: int) -> DataFrame:
@@ -245,7 +286,7 @@ def _requests(table: DataFrame, size_a: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, pairs, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pairs, counts = np.frombuffer(pairs, np.int64), np.frombuffer(counts, np.int64)
+                pairs, counts = _unpacked(pairs, np.int64), _unpacked(counts, np.int64)
                 stripe = pairs // size_a % STRIPES
                 order = np.argsort(stripe, kind="stable").astype(np.int32)
                 held, first = np.unique(stripe[order], return_index=True)
@@ -331,7 +372,7 @@ def _documents(table: DataFrame, scores: DataFrame) -> DataFrame:
         docs = counts = best = None
 
         def out() -> pa.RecordBatch:
-            doc_units, units, unit_links, links = (np.frombuffer(docs[n], t) for n, t in (("doc_units", np.int64), ("units", np.int32), ("unit_links", np.int64), ("links", np.int32)))
+            doc_units, units, unit_links, links = (_unpacked(docs[n], t) for n, t in (("doc_units", np.int64), ("units", np.int32), ("unit_links", np.int64), ("links", np.int32)))
             of_unit = [arrays.sums(x[links], unit_links) for x in (best, counts)]
             n_best, total = (arrays.sums(x[units], doc_units) for x in of_unit)
             return arrays.columns(_OUT, docs["doc_id"], docs["n_a"], docs["n_b"], docs["n_links"], docs["n_links"], n_best, total, docs["sha"])
@@ -342,8 +383,7 @@ def _documents(table: DataFrame, scores: DataFrame) -> DataFrame:
                     if docs is not None:
                         yield out()
                     docs = {n: batch.column(n)[k].as_py() for n in own}
-                    size = batch.column("size")[k].as_py()
-                    counts, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
+                    counts, best = np.zeros(docs["size"], np.int64), np.zeros(docs["size"], np.int64)
                 else:
                     at = np.frombuffer(batch.column("at")[k].as_py(), np.int32)
                     counts[at] = np.frombuffer(batch.column("counts")[k].as_py(), np.int64)
@@ -353,8 +393,8 @@ def _documents(table: DataFrame, scores: DataFrame) -> DataFrame:
 
     nothing = {n: F.lit(None).cast(dict(table.dtypes)[n]).alias(n) for n in own}
     asked = [F.lit(None).cast("binary").alias(n) for n in ("at", "counts", "best")]
-    left = table.select("block", F.lit(0).alias("kind"), F.expr("octet_length(pairs) div 8").cast("int").alias("size"), *own, *asked)
-    right = scores.select("block", "kind", F.lit(None).cast("int").alias("size"), *nothing.values(), "at", "counts", "best")
+    left = table.select("block", F.lit(0).alias("kind"), *own, *asked)
+    right = scores.select("block", "kind", *nothing.values(), "at", "counts", "best")
     return left.unionByName(right).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(fold, _OUT_DDL)
 
 
