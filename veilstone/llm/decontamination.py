@@ -3,7 +3,7 @@
 Documents are cut into passages of STEP words; words are hashed into cells and weighted by inverse passage frequency,
 counted over all documents. Two neighbouring passages are a window; windows whose cosine with an item reaches a
 threshold are candidates, and so are windows that hold most of an item's weight: how much else they hold, and how often
-the item was copied, does not matter then. The cosine is that of the whole rows and no projection is taken: a latent space that spans
+the item was copied, does not matter then. Of a short item that is the least weight that a match can have, so none is lost. The cosine is that of the whole rows and no projection is taken: a latent space that spans
 every item gives the same cosines, and one that does not loses items. Of each candidate the longest common subsequence
 with the item is taken over the words around the window, and the item's answer has to be there: its words of highest
 weight.
@@ -11,6 +11,7 @@ weight.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,9 @@ MAX_ITEM_WORDS = 256
 #: Cells of most items, whose products are taken by a matrix product; and how many products are held at a time.
 DENSE_CELLS, PRODUCTS = 256, 1 << 20
 COSINE, LCS, ANSWER = 0.25, 0.6, 0.5
-#: A window that holds this share of the squared weight of an item of WHOLE_WORDS words or more is a candidate at any cosine.
-WHOLE, WHOLE_WORDS = 0.6, 8
+#: A window that holds this share of an item's squared weight is a candidate at any cosine. An item of fewer than SHORT words
+#: is matched by few words, of which that share may not be left: for these the least weight of any match counts instead.
+WHOLE, SHORT = 0.6, 12
 
 _VALUES = arrays.byte_values(21, fold_case=True, zero=tuple(b for b in range(128) if not chr(b).isalnum()))
 
@@ -90,14 +92,16 @@ def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 class Index:
     """Items by the cells that they hold. `dense_of`: place of a cell among those of most items, or -1."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray):
+    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, least_lcs: float = LCS, answer: float = ANSWER):
         self.idf = idf.astype(np.float32)
         self.items = items
         own = np.repeat(np.arange(len(items)), [len(w) for _, w in items])
         pair, count = np.unique(np.concatenate([cells(w) for _, w in items] + [np.zeros(0, np.int64)]) * max(len(items), 1) + own, return_counts=True)
         cell, item = np.divmod(pair, max(len(items), 1))
         self.norm = np.sqrt(np.bincount(item, np.square(count * idf[cell]), len(items)))
-        self.whole = np.where([len(w) >= WHOLE_WORDS for _, w in items], WHOLE * np.square(self.norm), np.inf)
+        self.answers = [answer_words(w, idf) for _, w in items]
+        least = [least_weight(w, a, idf, least_lcs, answer) if len(w) < SHORT else np.inf for (_, w), a in zip(items, self.answers, strict=True)]
+        self.whole = np.minimum(WHOLE * np.square(self.norm), least)
         value = count * np.square(idf[cell])
         held = np.bincount(cell, minlength=CELLS)
         most = np.argsort(-held, kind="stable")[:DENSE_CELLS]
@@ -109,7 +113,6 @@ class Index:
         self.dense[self.dense_of[cell[in_dense]], item[in_dense]] = value[in_dense]
         self.item, self.value = item[~in_dense], value[~in_dense]
         self.start = np.searchsorted(cell[~in_dense], np.arange(CELLS + 1))
-        self.answers = [answer_words(w, idf) for _, w in items]
 
     def products(self, c: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
         """Scalar products of the TF-IDF rows of n passages with those of all items; cell c[k] is in passage[k]."""
@@ -160,6 +163,18 @@ def answer_words(hashes: np.ndarray, idf: np.ndarray) -> set[int]:
     return {int(w) for w in unique[order[: max(1, len(unique) // 4)]]}
 
 
+def least_weight(hashes: np.ndarray, answers: set[int], idf: np.ndarray, least_lcs: float, answer: float) -> float:
+    """The least scalar product of an item and a window that holds a match: the lightest answer words that it needs, and the
+    lightest other words up to the length that it needs."""
+    weight = np.square(idf[cells(hashes)])
+    _, first = np.unique(hashes, return_index=True)
+    told = np.isin(hashes[first], np.fromiter(answers, np.uint64, len(answers)))
+    needed = np.sort(weight[first[told]])[: max(0, math.ceil(answer * len(answers) - 1e-9))]
+    others = np.delete(np.sort(weight), np.searchsorted(np.sort(weight), needed))
+    rest = max(0, math.ceil(least_lcs * len(hashes) - 1e-9) - len(needed))
+    return float(needed.sum() + others[:rest].sum()) * (1 - 1e-4)  # products are of single precision
+
+
 def lcs(item: list[int], text: list[int]) -> int:
     """Length of the longest common subsequence, a machine word of the table's row at a time."""
     masks: dict[int, int] = {}
@@ -198,7 +213,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least
     blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
     out = None
     for k in range(blocks):
-        found = _search(spark, docs, Index(benchmark_items(benchmark, k, blocks), idf), cosine, least_lcs, answer)
+        found = _search(spark, docs, Index(benchmark_items(benchmark, k, blocks), idf, least_lcs, answer), cosine, least_lcs, answer)
         out = found if out is None else out.unionByName(found)
     return out
 
