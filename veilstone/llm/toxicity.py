@@ -196,7 +196,8 @@ _PAIRS = pa.schema([("word", pa.int64()), ("toxic", pa.int64()), ("clean", pa.in
 
 
 def learn_lexicon(rows: DataFrame, size: int = 400, support: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log odds of the words most typical of toxic rows (text, toxic), over all of them; counts are of documents."""
+    """Hashes and log odds of the words most typical of toxic rows (text, toxic), over all rows given: in train(), four fifths of
+    the sampled labelled rows. Counts are of documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,15 +222,16 @@ def learn_lexicon(rows: DataFrame, size: int = 400, support: int = 5) -> tuple[n
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, scope: str = "query") -> Model:
     """Fit on docs (doc_id, text) that have labels (doc_id, toxic), at most `sample` rows of labels, those of least id hash:
-    the lexicon on all of these, whole texts, the trees on four fifths, the calibration on the rest.
+    lexicon and trees on four fifths of these, whole texts, the calibration on the rest, whose words the lexicon has not seen.
 
-    Rows without a label are not learned from; repeated rows count once. The sampled labels are broadcast to the texts.
+    Which fifth a row is in follows from its id. Rows without a label are not learned from; repeated rows count once. The sampled labels are broadcast to the texts.
     """
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
     some = labels.filter(least_hashes(F.col("_h"), F.lit(max(labels.count(), 1)), sample)).distinct()
     picked = some.orderBy("_h", "doc_id", "toxic").limit(sample).select("doc_id", "toxic")
     rows = store.keep(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").distinct(), scope)
-    lexicon, weights = learn_lexicon(rows)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 4
+    lexicon, weights = learn_lexicon(rows.filter(~part))
     shared = rows.sparkSession.sparkContext.broadcast((lexicon, weights))  # `size` words at most
     names = [f"f{i}" for i in range(len(NAMES))]
 
@@ -237,17 +239,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, scope: str =
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(1)):
                 x = features(data, offsets, *shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(c) for c in x.T)], names=["doc_id", "toxic", *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 2, 3)), *(pa.array(c) for c in x.T)], names=["doc_id", "toxic", "part", *names])
 
-    table = rows.select("doc_id", "text", "toxic").mapInArrow(scan, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
+    table = rows.select("doc_id", "text", "toxic", part.alias("part")).mapInArrow(scan, "doc_id long, toxic int, part boolean, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
     store.discard(rows)
     y = (table["toxic"].to_numpy() == 1).astype(float)
     base = float(y.mean()) if len(y) else 0.0
     if len(y) < 20 or base in (0.0, 1.0):
         return Model(lexicon, weights, None, None, base)
-    x, part = table[names].to_numpy(), np.arange(len(y)) % 5 == 4
-    trees = Trees().fit(x[~part], y[~part])
-    return Model(lexicon, weights, trees, isotonic(trees.decide(x[part]), y[part]), base)
+    x, rest = table[names].to_numpy(), table["part"].to_numpy()
+    if len(set(y[rest])) < 2 or len(set(y[~rest])) < 2:  # too few rows to hold some back: what is left is in-sample
+        rest = np.arange(len(y)) % 5 == 4
+    trees = Trees().fit(x[~rest], y[~rest])
+    return Model(lexicon, weights, trees, isotonic(trees.decide(x[rest]), y[rest]), base)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
