@@ -468,7 +468,7 @@ def test_toxicity_on_held_out_rows(spark):
     model = toxicity.train(docs, labels.filter(~out))
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter(out).collect()
     hits = [r for r in rows if r.predicted]
-    assert sum(r.toxic for r in hits) >= 0.95 * len(hits) and sum(r.toxic for r in hits) >= 0.7 * sum(r.toxic for r in rows)
+    assert sum(r.toxic for r in hits) >= 0.95 * len(hits) and sum(r.toxic for r in hits) >= 0.85 * sum(r.toxic for r in rows)
     print("held-out", len(hits), sum(r.toxic for r in hits), sum(r.toxic for r in rows))
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)

@@ -19,9 +19,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.llm import arrays, store
@@ -158,15 +157,23 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: i
     return runs
 
 
-def cut(text: str, runs) -> tuple[str, int]:
-    """The text without the word-holding lines of `runs`, blank lines inside a run included; and the lines removed."""
-    lines = text.split("\n")
-    gone = np.zeros(len(lines) + 1, bool)
-    wordy = [i for i, line in enumerate(lines) if line.strip(" \t\n\r\x0b\x0c")]
-    for r in runs:
-        gone[wordy[r["from"]] : wordy[r["to"] - 1] + 1] = True
-    kept = [line for line, g in zip(lines, gone, strict=False) if not g]
-    return "\n".join(kept), len(lines) - len(kept)
+def cut(df: DataFrame, text: Column, runs: Column) -> DataFrame:
+    """Adds `_kept` and `_n`: the lines of a text without the word-holding lines of `runs`, blank lines inside a run included,
+    and how many lines that removes; both null where `runs` is. Overlapping runs, which ascend, are made one first."""
+
+    def join(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.struct(last["from"].alias("from"), F.greatest(last["to"], r["to"]).alias("to"))
+        return F.when(F.size(done) == 0, F.array(r)).when(r["from"] < last["to"], F.array_append(F.slice(done, 1, F.size(done) - 1), both)).otherwise(F.array_append(done, r))
+
+    merged = F.aggregate(runs, F.array().cast("array<struct<from:int,to:int>>"), join)
+    split = df.withColumns({"_lines": F.when(runs.isNotNull(), F.split(text, "\n", -1)), "_merged": merged})
+    wordy = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]"))
+    placed = split.withColumn("_wordy", F.when(F.col("_lines").isNotNull(), wordy))
+    places = F.transform("_merged", lambda r: F.struct(F.get("_wordy", r["from"]).alias("a"), F.get("_wordy", r["to"] - 1).alias("b")))
+    kept = F.filter("_lines", lambda line, i: ~F.exists("_places", lambda p: (p["a"] <= i) & (i <= p["b"])))
+    out = placed.withColumn("_places", places).withColumn("_kept", kept).withColumn("_n", F.size("_lines") - F.size("_kept"))
+    return out.drop("_lines", "_merged", "_wordy", "_places")
 
 
 def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, scope: str = "query") -> DataFrame:
@@ -182,12 +189,6 @@ def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WIN
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"))
     joined = held.join(runs.hint("merge"), ["doc", "th"], "left")  # runs grow with the input: no broadcast at any size
 
-    @F.pandas_udf("text string, n_removed int")
-    def apply(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if t is None or r is None else cut(t, r) for t, r in zip(text, found, strict=True)]
-        return pd.DataFrame(out, columns=["text", "n_removed"])
-
-    some = F.when(F.col("runs").isNotNull(), F.col("_row.text"))
-    done = joined.withColumn("_cut", apply(some, F.col("runs")))
-    new = F.when(F.col("runs").isNotNull(), F.col("_cut.text")).otherwise(F.col("_row.text"))
-    return done.select(F.col("_row").withField("text", new).alias("_row"), F.coalesce("_cut.n_removed", F.lit(0)).alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<from:int,to:int>>")).alias("runs"))
+    done = cut(joined, F.col("_row.text"), F.col("runs"))
+    new = F.coalesce(F.array_join("_kept", "\n"), F.col("_row.text"))
+    return done.select(F.col("_row").withField("text", new).alias("_row"), F.when(F.col("_kept").isNotNull(), F.col("_n")).otherwise(0).cast("int").alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<from:int,to:int>>")).alias("runs"))
