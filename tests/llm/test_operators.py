@@ -461,14 +461,15 @@ def test_lcs():
         assert decontamination.lcs(a, b) == table[-1][-1]
 
 
-def test_toxicity_on_held_out_rows(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.5), ("sf0.1", 0.85)])  # 33 and 305 toxic rows to learn from
+def test_toxicity_on_held_out_rows(spark, sf, recall):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "toxic")
     out = language_id.fold(F.col("doc_id"), 3) == 1
     model = toxicity.train(docs, labels.filter(~out))
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter(out).collect()
     hits = [r for r in rows if r.predicted]
-    assert sum(r.toxic for r in hits) >= 0.95 * len(hits) and sum(r.toxic for r in hits) >= 0.85 * sum(r.toxic for r in rows)
+    assert sum(r.toxic for r in hits) >= 0.95 * len(hits) and sum(r.toxic for r in hits) >= recall * sum(r.toxic for r in rows)
     print("held-out", len(hits), sum(r.toxic for r in hits), sum(r.toxic for r in rows))
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)

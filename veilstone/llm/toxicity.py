@@ -192,66 +192,82 @@ class Model:
         return np.clip(0.999 * fitted + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-_PAIRS = pa.schema([("word", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+_PAIRS = pa.schema([("word", pa.int64()), ("part", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
+#: Parts that the calibration is crossed over: each is scored by a model that has seen neither its rows nor its words.
+PARTS = 8
 
 
-def learn_lexicon(rows: DataFrame, size: int = 400, support: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log odds of the words most typical of toxic rows (text, toxic), over all rows given: in train(), four fifths of
-    the sampled labelled rows. Counts are of documents."""
+def learn_lexicons(rows: DataFrame, size: int = 400, support: int = 5, scope: str = "query") -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and log odds of the words most typical of toxic rows (text, toxic, part): without each part in turn, then over all
+    rows given, in train() the sampled labelled ones. Counts are of documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
+            label, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             for a, b, data, offsets in arrays.text_slices(batch.column(0)):
                 _, _, first, plain, _ = word_keys(data, offsets)
                 row = np.repeat(np.arange(b - a), np.diff(first))
                 _, kept = np.unique(arrays.mix(plain + arrays.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
                 words, inverse = np.unique(plain[kept], return_inverse=True)
-                toxic = np.bincount(inverse, label[a:b][row[kept]] == 1, len(words)).astype(np.int64)
-                yield arrays.columns(_PAIRS, words.view(np.int64), toxic, np.bincount(inverse, minlength=len(words)) - toxic)
-
-    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(scan, "word long, toxic long, clean long")
-    all_rows = rows.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("t"), F.count("*").alias("n")).first()
-    t, c = (all_rows.t or 0), all_rows.n - (all_rows.t or 0)
-    odds = F.log((F.col("toxic") + 0.5) / (t + 1.0)) - F.log((F.col("clean") + 0.5) / (c + 1.0))
-    best = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= support).withColumn("odds", odds).filter(F.col("odds") > 1.5).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(size).collect()
-    words = np.array([r.word for r in best], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], np.array([r.odds for r in best])[order]
+                cell, inverse = np.unique(inverse * PARTS + part[a:b][row[kept]], return_inverse=True)
+                toxic = np.bincount(inverse, label[a:b][row[kept]] == 1, len(cell)).astype(np.int64)
+                yield arrays.columns(_PAIRS, words.view(np.int64)[cell // PARTS], cell % PARTS, toxic, np.bincount(inverse, minlength=len(cell)) - toxic)
+
+    counted = rows.select("text", F.col("toxic").cast("int"), "part").mapInArrow(scan, "word long, part int, toxic long, clean long")
+    names = [f"{kind}{k}" for kind in ("toxic", "clean") for k in range(PARTS)]
+    by_part = [F.sum(F.when(F.col("part") == int(n[5:]), F.col(n[:5])).otherwise(0)).alias(n) for n in names]
+    held = store.keep(counted.groupBy("word").agg(*by_part).filter(sum((F.col(f"toxic{k}") for k in range(PARTS)), F.lit(0)) >= support), scope)
+    sizes = {r.part: (r.t, r.n - r.t) for r in rows.groupBy("part").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("t"), F.count("*").alias("n")).collect()}
+    out = []
+    for left in (*range(PARTS), None):
+        used = [k for k in range(PARTS) if k != left]
+        t, c = (sum(sizes.get(k, (0, 0))[j] for k in used) for j in (0, 1))
+        toxic, clean = (sum((F.col(f"{kind}{k}") for k in used), F.lit(0)) for kind in ("toxic", "clean"))
+        odds = F.log((toxic + 0.5) / (t + 1.0)) - F.log((clean + 0.5) / (c + 1.0))
+        best = held.select("word", toxic.alias("n"), odds.alias("odds")).filter((F.col("n") >= support) & (F.col("odds") > 1.5)).orderBy(F.desc(F.col("odds") * F.sqrt("n")), "word").limit(size).collect()
+        words = np.array([r.word for r in best], np.int64).view(np.uint64)
+        order = np.argsort(words)
+        out.append((words[order], np.array([r.odds for r in best])[order]))
+    store.discard(held)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, scope: str = "query") -> Model:
     """Fit on docs (doc_id, text) that have labels (doc_id, toxic), at most `sample` rows of labels, those of least id hash:
-    lexicon and trees on four fifths of these, whole texts, the calibration on the rest, whose words the lexicon has not seen.
+    lexicon and trees on all of these, whole texts. The calibration is crossed: each eighth of the rows, told by a hash of
+    the id, is scored by a lexicon and trees of the other seven.
 
-    Which fifth a row is in follows from its id. Rows without a label are not learned from; repeated rows count once. The sampled labels are broadcast to the texts.
+    Rows without a label are not learned from; repeated rows count once. The sampled labels are broadcast to the texts.
     """
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
     some = labels.filter(least_hashes(F.col("_h"), F.lit(max(labels.count(), 1)), sample)).distinct()
     picked = some.orderBy("_h", "doc_id", "toxic").limit(sample).select("doc_id", "toxic")
-    rows = store.keep(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").distinct(), scope)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 4
-    lexicon, weights = learn_lexicon(rows.filter(~part))
-    shared = rows.sparkSession.sparkContext.broadcast((lexicon, weights))  # `size` words at most
-    names = [f"f{i}" for i in range(len(NAMES))]
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
+    rows = store.keep(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").distinct().withColumn("part", part), scope)
+    lexicons = learn_lexicons(rows, scope=scope)
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons)  # PARTS + 1 times `size` words at most
+    names = [f"f{i}" for i in range(len(NAMES) * (PARTS + 1))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in arrays.text_slices(batch.column(1)):
-                x = features(data, offsets, *shared.value)
+                x = np.hstack([features(data, offsets, *one) for one in shared.value])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 2, 3)), *(pa.array(c) for c in x.T)], names=["doc_id", "toxic", "part", *names])
 
-    table = rows.select("doc_id", "text", "toxic", part.alias("part")).mapInArrow(scan, "doc_id long, toxic int, part boolean, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
+    table = rows.select("doc_id", "text", "toxic", "part").mapInArrow(scan, "doc_id long, toxic int, part int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values(["doc_id", *names])
     store.discard(rows)
     y = (table["toxic"].to_numpy() == 1).astype(float)
     base = float(y.mean()) if len(y) else 0.0
     if len(y) < 20 or base in (0.0, 1.0):
-        return Model(lexicon, weights, None, None, base)
-    x, rest = table[names].to_numpy(), table["part"].to_numpy()
-    if len(set(y[rest])) < 2 or len(set(y[~rest])) < 2:  # too few rows to hold some back: what is left is in-sample
-        rest = np.arange(len(y)) % 5 == 4
-    trees = Trees().fit(x[~rest], y[~rest])
-    return Model(lexicon, weights, trees, isotonic(trees.decide(x[rest]), y[rest]), base)
+        return Model(*lexicons[-1], None, None, base)
+    x, eighth = np.split(table[names].to_numpy(), PARTS + 1, axis=1), table["part"].to_numpy()
+    trees = Trees().fit(x[-1], y)
+    crossed = trees.decide(x[-1])  # stays where the other parts hold no rows of both kinds
+    for k in range(PARTS):
+        own = eighth == k
+        if len(set(y[~own])) == 2:
+            crossed[own] = Trees().fit(x[k][~own], y[~own]).decide(x[k][own])
+    return Model(*lexicons[-1], trees, isotonic(crossed, y), base)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
