@@ -13,10 +13,13 @@ first kD+1 runs is common to both. Sets too short for kD+1 runs, and those that
 shorter runs as well. No linked pair is lost, and a passage that many documents share hardly ever fills k places in a
 row in two of them.
 
-Parity bits of the sets rule out most candidates. The rest is verified in two rounds, as only components are asked for:
-first each set meets one partner, its least candidate or the leader of one of its runs (the member of fewest rare
-tokens, the centre of a group of near copies). Then only candidates, and members of one run's bucket, that are still in
-different components meet. So a set moves once or twice however many copies it has.
+Parity bits of the sets rule out most candidates. The rest is verified in rounds, as only components are asked for. First
+each set meets one partner: its least candidate, or the leader of one of its FEW least runs (the member of fewest rare
+tokens, the centre of a group of near copies). Then sets with runs are gathered in pieces, where a run is listed once for
+each component, with its leader and its members. A run of one component is done with. Of the others, the components'
+leaders meet, as long as that links any. At last only members of runs that are still of several components are listed one
+by one, and only candidates that are still in different components meet. So a group of near copies moves a few times,
+however many copies and runs it has, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ FREQUENT = 53
 PARITY = 8
 #: Consecutive tokens of a run, and the largest bucket of a single token.
 RUN, LIGHT = 3, 32
+#: Runs that a set looks for a first partner by; rounds in which leaders meet at most (what is left then is listed); and runs
+#: that are gathered to a piece.
+FEW, ROUNDS, PIECE = 6, 4, 1 << 20
 #: Stands for a null id inside; larger than any other.
 NO_ID = 2**63 - 1
 
@@ -261,17 +267,85 @@ def light_pairs(buckets: DataFrame, heads: DataFrame, num: int, den: int) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).select("a", "b").distinct()
 
 
-def run_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, num: int, den: int, scope: str) -> DataFrame:
-    """The pairs (a, b) of sets that share a run (key, node, n), may be linked and are in different components."""
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = store.keep(placed, scope)
-    # Of two components one at least is not the bucket's largest, so only members of the others look for partners.
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("largest"))
-    ends = store.keep(largest.filter("_parts > 1").select("key", "largest"), scope)
-    # Linked sets are in the same band of sizes or in neighbouring ones.
+_PIECES = "key long, component long, n_rare long, leader long, n long, nodes array<long>"
+
+
+def run_pieces(placed: DataFrame) -> DataFrame:
+    """Sets (node, n, n_rare, component, runs) by run and component: for each piece of the sets the member of fewest rare
+    tokens, its size, and all members."""
+
+    def told(keys: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(k) for k in keys])
+        node, n, n_rare, component = (np.repeat(c, sizes) for c in np.array(rows).T)
+        key = np.concatenate(keys)
+        order = np.lexsort((node, n_rare, component, key))
+        key, component = key[order], component[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (key[1:] != key[:-1]) | (component[1:] != component[:-1])
+        first = np.flatnonzero(head)
+        nodes = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(node[order]))
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key[first], component[first], n_rare[order[first]], node[order[first]], n[order[first]])), nodes], names=["key", "component", "n_rare", "leader", "n", "nodes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            own = np.array([batch.column(k).to_numpy() for k in range(4)]).T
+            for k, runs in enumerate(batch.column(4)):
+                keys.append(runs.values.to_numpy())
+                rows.append(own[k])
+                held += len(keys[-1])
+                if held >= PIECE:
+                    yield told(keys, rows)
+                    keys, rows, held = [], [], 0
+        if held:
+            yield told(keys, rows)
+        arrays.trim()
+
+    return placed.select("node", "n", "n_rare", "component", "runs").mapInArrow(gather, _PIECES)
+
+
+def run_links(sets: DataFrame, labels: DataFrame, heads: DataFrame, num: int, den: int, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between leaders of components that share a run; and pairs (a, b), still to be verified, of sets that share
+    a run, may be linked and are in different components even so."""
+    keep = lambda t: store.keep(t, scope)
+    sized = sets.filter(F.size("runs") > 0).select("node", F.size("shingles").cast("long").alias("n"), "n_rare", "runs")
+    pieces = keep(run_pieces(sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+    found = keep(sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    now = None  # of components that were joined since: component, label
+    bits = heads.select("node", *_BITS)
+    for _ in range(ROUNDS):
+        named = _named(pieces, now)
+        leader = F.struct("n_rare", "leader", "n")
+        by = named.groupBy("key", "component").agg(F.min(leader).alias("l"), F.sum(F.size("nodes")).alias("held"))
+        several = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component", "l")).alias("most")).filter("parts > 1")
+        open_runs = keep(several.select("key", F.col("most.component").alias("largest"), F.col("most.l").alias("head")))
+        met = by.join(open_runs.hint("merge"), "key").filter((F.col("component") != F.col("largest")) & close(F.col("l.n"), F.col("head.n"), num, den))
+        pairs = met.select(F.least("l.leader", "head.leader").alias("a"), F.greatest("l.leader", "head.leader").alias("b"), F.when(F.col("l.leader") < F.col("head.leader"), F.struct(F.col("component").alias("x"), F.col("largest").alias("y"), F.col("l.n").alias("m"), F.col("head.n").alias("n"))).otherwise(F.struct(F.col("largest").alias("x"), F.col("component").alias("y"), F.col("head.n").alias("m"), F.col("l.n").alias("n"))).alias("of")).distinct()
+        side = lambda name: bits.select(F.col("node").alias(name), *(F.col(p).alias(f"{name}_{p}") for p in _BITS)).hint("merge")
+        fits = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"a_n": F.col("of.m"), "b_n": F.col("of.n")}).filter(alike("a_", "b_", num, den))
+        asked = keep(fits.select("a", "b", "of.x", "of.y"))
+        new = keep(linked(asked.select("a", "b").distinct(), sets, num, den))
+        if new.isEmpty():
+            break
+        joined = asked.join(new.hint("merge"), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = components(joined, scope).select(F.col("node").alias("component"), F.col("component").alias("label"))
+        if now is not None:  # what was joined before goes along
+            later = merged.select(F.col("component").alias("_c"), F.col("label").alias("_l"))
+            moved = now.join(later, F.col("label") == F.col("_c"), "left").select("component", F.coalesce("_l", "label").alias("label"))
+            merged = moved.union(merged.join(now, "component", "left_anti"))
+        now, found = keep(merged), keep(found.union(new))
+    else:
+        by = _named(pieces, now).groupBy("key", "component").agg(F.sum(F.size("nodes")).alias("held"))
+        several = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most")).filter("parts > 1")
+        open_runs = keep(several.select("key", F.col("most.component").alias("largest")))
+    # Of two components one at least is not the run's largest, so only members of the others look for partners. Linked sets
+    # are in the same band of sizes or in neighbouring ones.
+    listed = _named(pieces, now).join(open_runs.select("key", "largest").hint("merge"), "key").select("key", "largest", "component", F.explode("nodes").alias("node"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(den / num), 1e-9) * 1.000001))
-    rest = store.keep(placed.join(ends.hint("merge"), "key").join(heads.select("node", *_BITS), "node").withColumn("band", band), scope)
+    rest = keep(listed.join(heads.select("node", "n", *_BITS), "node").withColumn("band", band))
+    store.discard(pieces)
     names = ["node", "n", "component", *_BITS]
     x = rest.select("key", "band", *(F.col(c).alias(f"x_{c}") for c in names))
     others = rest.filter(F.col("component") != F.col("largest"))
@@ -279,7 +353,14 @@ def run_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, num: int,
     apart = F.col("x_component") != F.col("y_component")
     fits = close(F.col("x_n"), F.col("y_n"), num, den) & alike("x_", "y_", num, den)
     pairs = x.join(y.hint("merge"), ["key", "band"]).filter(apart & fits)
-    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return found, pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def _named(pieces: DataFrame, now: DataFrame | None) -> DataFrame:
+    """The pieces under the labels that their components have now."""
+    if now is None:
+        return pieces
+    return pieces.join(now, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
@@ -320,28 +401,30 @@ def placed_rows(docs: DataFrame, n: int, percent: int, scope: str) -> DataFrame:
 
     asked = light.select(F.col("a").alias("node"), F.lit(False).alias("heavy")).union(light.select("b", F.lit(False))).union(heavy.select("node", F.lit(True)))
     sets = keep(sets_of(docs, asked.groupBy("node").agg(F.max("heavy").alias("heavy")), n, num, den, shared))
-    members = sets.filter(F.size("runs") > 0).select(F.explode("runs").alias("key"), "node", F.size("shingles").cast("long").alias("n"), "n_rare")
 
     # First round: one partner for each set.
-    leaders = keep(members.groupBy("key").agg(F.min(F.struct("n_rare", "node", "n")).alias("leader")))  # a table, so that a hot key's join is split
-    led = members.join(leaders.hint("merge"), "key").filter((F.col("node") != F.col("leader.node")) & close(F.col("n"), F.col("leader.n"), num, den))
+    least = F.explode(F.slice(F.array_sort("runs"), 1, FEW)).alias("key")
+    few = keep(sets.filter(F.size("runs") > 0).select("node", F.size("shingles").cast("long").alias("n"), "n_rare", least))
+    leaders = keep(few.groupBy("key").agg(F.min(F.struct("n_rare", "node", "n")).alias("leader")))  # a table, so that a hot key's join is split
+    led = few.join(leaders.hint("merge"), "key").filter((F.col("node") != F.col("leader.node")) & close(F.col("n"), F.col("leader.n"), num, den))
     led = led.groupBy("node").agg(F.min("leader").alias("leader")).select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
     stars = keep(light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(led).distinct())
     labels = components(keep(linked(stars, sets, num, den)), scope)
 
-    # Second round: what different components are left.
+    # The other rounds: what different components are left.
     own = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     across = light.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    across = across.union(run_pairs(members.select("key", "node", "n"), labels, heads, num, den, scope)).distinct()
-    late = keep(linked(keep(across.join(stars, ["a", "b"], "left_anti")), sets, num, den))
+    found, asked = run_links(sets, labels, heads, num, den, scope)
+    across = across.union(asked).distinct()
+    late = keep(linked(keep(across.join(stars, ["a", "b"], "left_anti")), sets, num, den).union(found))
     store.discard(sets)
     up = late.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     upper = components(up, scope).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
 
-    found = rows.join(groups.select(*same, "node"), same, "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = found.join(upper, F.col("component") == F.col("_n"), "left")
+    told = rows.join(groups.select(*same, "node"), same, "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = told.join(upper, F.col("component") == F.col("_n"), "left")
     null_id = lambda c: F.nullif(c, F.lit(NO_ID))
-    return found.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("_c", "component", "doc_id")).alias("component_id"), "th", "f1", "f2")
+    return told.select(null_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null_id(F.coalesce("_c", "component", "doc_id")).alias("component_id"), "th", "f1", "f2")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
