@@ -7,7 +7,10 @@ texts that pass a cheap necessary test.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,13 +36,34 @@ def regex_spans(text: Column, regex: str | Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def guard(text: Column, lower: Column, d: Detector) -> Column:
-    """What has to hold where the detector can match."""
-    hinted = F.lit(len(d.hints) == 0)
-    for h in d.hints:
-        hinted = hinted | F.contains(lower, F.lit(h))
-    needed = text.rlike(d.need) if d.need else F.lit(True)
-    return hinted & needed & text.rlike(d.regex)
+def written(value: str | int | float) -> str:
+    """A literal in SQL."""
+    if not isinstance(value, str):
+        return f"{value}D" if isinstance(value, float) else str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def listed(values: Iterable) -> Column:
+    """A constant array, parsed at once: a call for each element would cost more than the whole plan."""
+    return F.expr(f"array({', '.join(map(written, values))})")
+
+
+def guard(text: str, lower: str, d: Detector) -> str:
+    """What has to hold where the detector can match, in SQL over the names of the text and its lower case."""
+    tests = [f"rlike({text}, {written(d.regex)})"]
+    if d.need:
+        tests.insert(0, f"rlike({text}, {written(d.need)})")
+    if d.hints:
+        tests.insert(0, "(" + " OR ".join(f"contains({lower}, {written(h)})" for h in d.hints) + ")")
+    return " AND ".join(tests)
+
+
+def guard_column(text: Column, lower: Column, d: Detector) -> Column:
+    """The same of a column that has no name, such as a nested value."""
+    tests = text.rlike(d.regex)
+    if d.need:
+        tests = text.rlike(d.need) & tests
+    return reduce(or_, (F.contains(lower, F.lit(h)) for h in d.hints)) & tests if d.hints else tests
 
 
 @dataclass(frozen=True)
@@ -72,15 +96,11 @@ class Context:
         return F.when(held, F.least(F.lit(1.0), F.greatest(F.lit(self.floor), score + self.boost))).otherwise(score)
 
 
-def _words(registry: Registry) -> Column:
-    return F.array(*(F.array(*map(F.lit, d.context)).cast("array<string>") for d in registry.detectors))
-
-
 def spans_of(text: Column, lower: Column, registry: Registry, found: Column, context: Context | None = None) -> Column:
     """Array of SPAN, of an array of (start, end, ord): `ord` is a detector's place in the registry."""
-    of = lambda cast, values: F.array(*(F.lit(cast(v)) for v in values))
-    fields = {"neg": of(lambda d: -d.priority, registry.detectors), "label": of(lambda d: d.label, registry.detectors), "category": of(lambda d: d.category, registry.detectors), "score": of(lambda d: float(d.score), registry.detectors)}
-    words = _words(registry) if context else None
+    held = registry.detectors
+    fields = {"neg": listed(-d.priority for d in held), "label": listed(d.label for d in held), "category": listed(d.category for d in held), "score": listed(float(d.score) for d in held)}
+    words = F.expr("array(" + ", ".join(f"cast(array({', '.join(map(written, d.context))}) as array<string>)" for d in held) + ")") if context else None
 
     def span(s: Column) -> Column:
         told = {n: F.get(v, s["ord"]) for n, v in fields.items()}
@@ -91,25 +111,31 @@ def spans_of(text: Column, lower: Column, registry: Registry, found: Column, con
     return F.transform(found, span)
 
 
-def candidates(text: Column, registry: Registry, lower: Column | None = None, context: Context | None = None) -> Column:
-    """Array of SPAN of all enabled detectors but those that scan in Python, in order of (start, priority, registry). A null
-    text has none.
+def candidates(text: str | Column, registry: Registry, lower: str | None = None, context: Context | None = None) -> Column:
+    """Array of SPAN of all enabled detectors but those that scan in Python, of the column `text`, by name or, as
+    for nested values, as it is (`lower` names its lower case, if there is such a column), in order of (start, priority, registry). A null text has none.
 
     Cheap tests tell which rules match a text at all; only these are then listed, by one expression that takes the rule's
     pattern from a constant array. So a plan holds a test for each rule, but one copy of what lists and describes spans.
     """
-    lower = F.lower(text) if lower is None else lower
+    quoted = lambda name: f"`{name.replace('`', '``')}`"
+    body = F.col(quoted(text)) if isinstance(text, str) else text
+    low = F.col(quoted(lower)) if lower else F.lower(body)
     empty = F.array().cast(f"array<{SPAN}>")
     rules = [(k, d) for k, d in enumerate(registry.detectors) if d.enabled and not d.find and not d.scan]
     own = [(k, d) for k, d in enumerate(registry.detectors) if d.enabled and d.find]
-    with_ord = lambda found, k: F.transform(found, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lit(k).cast("int").alias("ord") if isinstance(k, int) else k.alias("ord")))
+    with_ord = lambda found, k: F.transform(found, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), k.cast("int").alias("ord")))
     parts = []
     if rules:
-        worth = F.array_compact(F.array(*(F.when(guard(text, lower, d), F.lit(n)) for n, (_, d) in enumerate(rules))))
-        patterns, places = F.array(*(F.lit(d.regex) for _, d in rules)), F.array(*(F.lit(k) for k, _ in rules))
-        parts.append(F.flatten(F.transform(worth, lambda n: with_ord(regex_spans(text, F.get(patterns, n)), F.get(places, n)))))
-    parts += [F.coalesce(with_ord(d.find(text), k), F.array().cast("array<struct<start:int,end:int,ord:int>>")) for k, d in own]
+        if isinstance(text, str):
+            tests = ", ".join(f"CASE WHEN {guard(quoted(text), quoted(lower) if lower else f'lower({quoted(text)})', d)} THEN {n} END" for n, (_, d) in enumerate(rules))
+            worth = F.expr(f"array_compact(array({tests}))")
+        else:
+            worth = F.array_compact(F.array(*(F.when(guard_column(body, low, d), F.lit(n)) for n, (_, d) in enumerate(rules))))
+        patterns, places = listed(d.regex for _, d in rules), listed(k for k, _ in rules)
+        parts.append(F.flatten(F.transform(worth, lambda n: with_ord(regex_spans(body, F.get(patterns, n)), F.get(places, n)))))
+    parts += [F.coalesce(with_ord(d.find(body), F.lit(k)), F.array().cast("array<struct<start:int,end:int,ord:int>>")) for k, d in own]
     if not parts:
         return empty
     found = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return F.coalesce(F.array_sort(spans_of(text, lower, registry, found, context)), empty)
+    return F.coalesce(F.array_sort(spans_of(body, low, registry, found, context)), empty)

@@ -76,7 +76,7 @@ def detect(df: DataFrame, text: str = "text", options: Options | None = None, ou
         stages.append(spans_of(text_col, F.col("_low"), registry, F.col("_scan.found"), options.nearness()))
         errors = F.concat(errors, F.transform("_scan.failures", lambda f: f["detector"]))
         failures = F.concat(failures, F.col("_scan.failures"))
-    found = found.withColumn("_found", candidates(text_col, registry, F.col("_low"), options.nearness()))
+    found = found.withColumn("_found", candidates(text, registry, "_low", options.nearness()))
     if options.recogniser:
         found = found.withColumn("_named", _recognised(options.recogniser, options.skip_failing)(text_col))
         values = F.transform("_named.entities", lambda e: F.struct(e["name"].alias("name"), e["start"].alias("start"), e["end"].alias("end"), F.substring(text_col, e["start"] + 1, e["end"] - e["start"]).alias("value")))

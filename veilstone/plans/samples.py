@@ -23,7 +23,7 @@ def redact_samples(samples: DataFrame, options: Options | None = None) -> DataFr
     rows = samples.withColumn("_response", F.when(F.col("response") != "", F.col("response")))
     rows = rows.withColumns({"_lp": F.lower(prompt), "_lr": F.lower(response)})
     registry = options.detectors()
-    rows = rows.withColumns({"_fp": candidates(prompt, registry, F.col("_lp"), options.nearness()), "_fr": candidates(response, registry, F.col("_lr"), options.nearness())})
+    rows = rows.withColumns({"_fp": candidates("prompt", registry, "_lp", options.nearness()), "_fr": candidates("_response", registry, "_lr", options.nearness())})
     rows = rows.withColumns({"_sp": resolved(prompt, F.col("_fp"), options), "_sr": resolved(response, F.col("_fr"), options)})
     if options.profile == "scored":
         rows = rows.withColumns({"prompt_entities": tokens.numbered(F.col("_sp"), options.consistent, True), "response_entities": tokens.numbered(F.col("_sr"), options.consistent, True)})
@@ -60,7 +60,7 @@ def chain(df: DataFrame, text: str = "text", stages: list[Registry] | None = Non
     stages = stages or [rule_registry(), chained_registry()]
     out, counts = df.withColumn("redacted_text", F.col(text)), []
     for k, registry in enumerate([*stages, *([fallback] if fallback else [])]):
-        held = _untokenized(F.col("redacted_text"), candidates(F.col("redacted_text"), registry))
+        held = _untokenized(F.col("redacted_text"), candidates("redacted_text", registry))
         if fallback and k == len(stages):
             earlier = sum((F.col(c) for c in counts), F.lit(0))
             held = F.when(earlier == 0, held).otherwise(F.slice(held, 1, 0))

@@ -32,10 +32,13 @@ EXISTS = {
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt over the cores where it is one small file."""
+    """A table, dealt over the cores where it is so small that a core's share would not fill a split; larger ones are read as
+    they lie."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    wanted = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted)
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(table._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return table if size >= cores * split else table.repartition(cores)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +138,14 @@ def _labelled(label: str):
 
 
 def docs_with_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = candidates(F.col("text"), rule_registry().only(EXISTS))
+    found = candidates("text", rule_registry().only(EXISTS))
     flags = [F.exists("f", _labelled(k)).alias(f"has_{k.lower()}") for k in EXISTS]
     return _documents(spark, sf_dir).select("doc_id", found.alias("f")).select("doc_id", *flags)
 
 
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches before overlaps are resolved, by rule."""
-    found = candidates(F.col("text"), rule_registry().only(SAFE))
+    found = candidates("text", rule_registry().only(SAFE))
     spans = resolve.exploded(_documents(spark, sf_dir).withColumn("f", found), "f", "doc_id")
     return spans.groupBy("label").agg(F.count("*").alias("n"))
 
@@ -258,7 +261,7 @@ def _hits_by_category(spark: SparkSession, found: DataFrame, registry: Registry)
 
 def registry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the rules before overlaps are resolved, and the registry itself, by category."""
-    found = _with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS).select(F.inline_outer(candidates(F.col("text"), rule_registry()))).filter("label is not null")
+    found = _with_fixtures(spark, sf_dir, fixtures.RULE_TEXTS).select(F.inline_outer(candidates("text", rule_registry()))).filter("label is not null")
     return _hits_by_category(spark, found, rule_registry())
 
 
@@ -331,7 +334,7 @@ _INNER, _OUTER = ("DOMAIN", "PERSON_FULL", "PHONE"), ("EMAIL", "URL_WITH_CREDENT
 
 
 def _rows_of(docs: DataFrame, labels) -> DataFrame:
-    return docs.select("doc_id", F.inline_outer(candidates(F.col("text"), rule_registry().only(labels)))).filter("label is not null").select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "label")
+    return docs.select("doc_id", F.inline_outer(candidates("text", rule_registry().only(labels)))).filter("label is not null").select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "label")
 
 
 def spans_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
