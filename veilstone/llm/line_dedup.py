@@ -171,9 +171,10 @@ def cut(df: DataFrame, text: Column, runs: Column) -> DataFrame:
     wordy = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]"))
     placed = split.withColumn("_wordy", F.when(F.col("_lines").isNotNull(), wordy))
     places = F.transform("_merged", lambda r: F.struct(F.get("_wordy", r["from"]).alias("a"), F.get("_wordy", r["to"] - 1).alias("b")))
-    kept = F.filter("_lines", lambda line, i: ~F.exists("_places", lambda p: (p["a"] <= i) & (i <= p["b"])))
-    out = placed.withColumn("_places", places).withColumn("_kept", kept).withColumn("_n", F.size("_lines") - F.size("_kept"))
-    return out.drop("_lines", "_merged", "_wordy", "_places")
+    # A generator's output is evaluated once: else the places are written into the filter, and told anew for every line.
+    placed = placed.select(*df.columns, "_lines", F.explode_outer(F.array(F.struct(places.alias("p")))).alias("_places"))
+    kept = F.filter("_lines", lambda line, i: ~F.exists(F.col("_places.p"), lambda p: (p["a"] <= i) & (i <= p["b"])))
+    return placed.withColumn("_kept", kept).withColumn("_n", F.size("_lines") - F.size("_kept")).drop("_lines", "_places")
 
 
 def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, scope: str = "query") -> DataFrame:
@@ -191,4 +192,7 @@ def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WIN
 
     done = cut(joined, F.col("_row.text"), F.col("runs"))
     new = F.coalesce(F.array_join("_kept", "\n"), F.col("_row.text"))
-    return done.select(F.col("_row").withField("text", new).alias("_row"), F.when(F.col("_kept").isNotNull(), F.col("_n")).otherwise(0).cast("int").alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<from:int,to:int>>")).alias("runs"))
+    told = F.struct(new.alias("text"), F.when(F.col("_kept").isNotNull(), F.col("_n")).otherwise(0).cast("int").alias("n"))
+    # As a generator's output it is evaluated once: else a filter on it is pushed below, with all of it written out again.
+    done = done.select("_row", "runs", F.explode_outer(F.array(told)).alias("_cut"))
+    return done.select(F.col("_row").withField("text", F.col("_cut.text")).alias("_row"), F.col("_cut.n").alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<from:int,to:int>>")).alias("runs"))
