@@ -164,3 +164,32 @@ def test_line_dedup_cuts_long_texts(spark):
     texts = ["\n".join(lines), "head\n" + "\n".join(lines[2000:4000]) + "\n\ntail of it"]
     got = {r._row.doc_id: (r._row.text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame([doc(k, t) for k, t in enumerate(texts)], SCHEMA)).collect()}
     assert got[0] == (texts[0], 0) and got[1] == ("head\n\ntail of it", 2000)
+
+
+@pytest.mark.parametrize(("seed", "rounds", "piece"), [(81, 4, 1 << 20), (82, 1, 50), (83, 2, 7)])
+def test_ngram_join_of_chains_and_groups(spark, monkeypatch, seed, rounds, piece):
+    """Chains of edits, groups around a centre, and passages that many share: components equal those of all pairs."""
+    from tests.llm.test_operators import brute_components
+    from veilstone.llm import ngram_join
+
+    for name, value in (("LIGHT", 1), ("ROUNDS", rounds), ("PIECE", piece), ("FEW", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(300)}"
+    texts = [None, "", "one two"]
+    for size in (30, 80, 150):
+        base = [word() for _ in range(size)]
+        for _ in range(9):  # around a centre
+            near = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                near[rng.randrange(size)] = word()
+            texts.append(" ".join(near))
+        for _ in range(8):  # a chain, each from the one before
+            base = list(base)
+            base[rng.randrange(size)] = word()
+            texts.append(" ".join(base))
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([word() for _ in range(rng.randrange(2, 40))] + passage + [word() for _ in range(rng.randrange(2, 40))]) for _ in range(12)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, texts).repartition(3), 3, 80).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 80)
