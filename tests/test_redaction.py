@@ -243,3 +243,18 @@ def test_recogniser_joins_the_rules(spark):
 def test_batches_are_validated(spark):
     rows = spark.createDataFrame([(["a"],), ([],), (None,), (["a"] * 501,), (["a", ""],), (["a", None],), (["a"] * 500,)], "texts array<string>")
     assert [r.status for r in views.validated_batches(rows.coalesce(1)).collect()] == [200, 422, 422, 422, 422, 422, 200]
+
+
+def test_rules_of_whole_words_share_a_pass():
+    import re
+
+    from veilstone.functions import spans
+
+    shared = [d for d in rule_registry().detectors if spans.by_words(d)]
+    assert {d.label for d in shared} == {"MEDICAL_CONDITION", "MEDICATION", "RACE_ETHNICITY", "RELIGION", "SEXUAL_ORIENTATION"}
+    hints = [h for d in shared for h in d.hints]
+    gate = re.compile("(?<![a-z])" + spans.any_of(hints))
+    assert all(gate.search(f"x {h}") and gate.search(f"-{h}s") and not gate.search(f"q{h[0]}") for h in hints)
+    assert [m[0] for m in re.finditer(spans.any_of(["ab", "abc", "b.d", "x"]), "abc bad b.d ax")] == ["ab", "b.d", "x"]
+    sql = spans.tests(rule_registry().detectors, "text", "low")
+    assert sql.count("contains(low") == sum(len(d.hints) for d in rule_registry().detectors) and sql.count("ELSE cast(array()") == 1

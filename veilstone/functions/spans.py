@@ -7,6 +7,7 @@ texts that pass a cheap necessary test.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -58,6 +59,37 @@ def guard(text: str, lower: str, d: Detector) -> str:
     return " AND ".join(tests)
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A regex for any of the words, shared beginnings written once, so that a text is read by one branch at most a place."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[:1], []).append(w[1:])
+    done = "" in by  # what is behind a whole word does not matter
+    if done:
+        return ""
+    parts = [re.escape(c) + any_of(rest) for c, rest in by.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def by_words(d: Detector) -> bool:
+    """Whether the rule is a list of words: a regex of whole words, with many hints of letters. A match then holds one of the
+    hints with no letter in front."""
+    return len(d.hints) >= 7 and d.regex.removeprefix("(?i)").startswith(r"\b(") and all(re.fullmatch("[a-z]+", h) for h in d.hints)
+
+
+def tests(rules: list[Detector], text: str, lower: str) -> str:
+    """SQL of the numbers of the rules whose tests hold. Rules of whole words share one pass over the text: only where it finds
+    any of all their hints at the beginning of a word, each is tested on its own."""
+    case = lambda n: f"CASE WHEN {guard(text, lower, rules[n])} THEN {n} END"
+    shared = [n for n, d in enumerate(rules) if by_words(d)]
+    alone = [n for n in range(len(rules)) if n not in shared] if len(shared) > 1 else list(range(len(rules)))
+    out = f"array({', '.join(map(case, alone))})"
+    if len(shared) > 1:
+        gate = written("(?<![a-z])" + any_of(h for n in shared for h in rules[n].hints))
+        out = f"concat(cast({out} as array<int>), CASE WHEN rlike({lower}, {gate}) THEN array({', '.join(map(case, shared))}) ELSE cast(array() as array<int>) END)"
+    return f"array_compact({out})"
+
+
 def guard_column(text: Column, lower: Column, d: Detector) -> Column:
     """The same of a column that has no name, such as a nested value."""
     tests = text.rlike(d.regex)
@@ -128,8 +160,7 @@ def candidates(text: str | Column, registry: Registry, lower: str | None = None,
     parts = []
     if rules:
         if isinstance(text, str):
-            tests = ", ".join(f"CASE WHEN {guard(quoted(text), quoted(lower) if lower else f'lower({quoted(text)})', d)} THEN {n} END" for n, (_, d) in enumerate(rules))
-            worth = F.expr(f"array_compact(array({tests}))")
+            worth = F.expr(tests([d for _, d in rules], quoted(text), quoted(lower) if lower else f"lower({quoted(text)})"))
         else:
             worth = F.array_compact(F.array(*(F.when(guard_column(body, low, d), F.lit(n)) for n, (_, d) in enumerate(rules))))
         patterns, places = listed(d.regex for _, d in rules), listed(k for k, _ in rules)
