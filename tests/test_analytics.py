@@ -165,9 +165,12 @@ def test_counters_gauges_and_targets(spark):
     assert not metrics.service_level(served.withColumn("ok", F.rand(1) > 0.5), 2.0).first().met
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("few", [1 << 18, 10])
+def test_quantiles_are_exact(spark, monkeypatch, few):
     import random
 
+    monkeypatch.setattr(metrics, "FEW_VALUES", few)
+
     rng = random.Random(3)
     rows = [(rng.choice("ab"), rng.choice([1.0, 2.0, rng.random(), None])) for _ in range(400)] + [("c", None), ("d", 7.0)]
     table = spark.createDataFrame(rows, "k string, v double")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from veilstone.operators.tokens import ranged_number
 
+#: Different values, over all groups, up to which quantiles are taken by one aggregate.
+FEW_VALUES = 1 << 18
+
 
 def entity_counts(entities: DataFrame) -> DataFrame:
     """label, category, n of exploded entities."""
@@ -55,10 +58,15 @@ def ratio(events: DataFrame, ts: str, width: str, condition: Column) -> DataFram
 
 def quantiles(events: DataFrame, value: str, qs: tuple[float, ...], *by: str) -> DataFrame:
     """Exact quantiles p50, p95, ... by group, interpolated between neighbours; nulls don't count, a group without values has
-    null quantiles. Equal values are counted first, then summed up range by range, so no group meets in one task."""
+    null quantiles. Equal values are counted first. Up to FEW_VALUES of them, over all groups, are summed up group by group;
+    more are summed up range by range, so no group meets in one task."""
     groups = events.groupBy(*by).agg(F.count(value).alias("_total")).withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0)))
     held = events.filter(F.col(value).isNotNull()).select((F.struct(*by) if by else F.struct(F.lit(0))).alias("_g"), F.col(value).alias("_v"))
-    upto = ranged_number(held.groupBy("_g", "_v").agg(F.count("*").alias("_c")), "_g", "_v", "_c")
+    counted = held.groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    if counted.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        upto = counted.withColumn("number", F.sum("_c").over(Window.partitionBy("_g").orderBy("_v")))
+    else:
+        upto = ranged_number(counted, "_g", "_v", "_c")
     placed = upto.join(groups.select("_g", "_total"), "_g")
     found = []
     for k, q in enumerate(qs):
