@@ -48,7 +48,7 @@ PARITY = 8
 RUN, LIGHT = 3, 32
 #: Runs that a set looks for a first partner by; rounds in which leaders meet at most (what is left then is listed); and runs
 #: that are gathered to a piece.
-FEW, ROUNDS, PIECE = 6, 4, 1 << 20
+FEW, ROUNDS, PIECE = 6, 2, 1 << 18
 #: Stands for a null id inside; larger than any other.
 NO_ID = 2**63 - 1
 
@@ -182,8 +182,8 @@ def parity_bits(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """PARITY words for each set."""
     n = len(at) - 1
     out = np.empty((n, PARITY), np.int64)
-    for i in range(0, n, 4096):
-        cut = at[i : i + 4097]
+    for i in range(0, n, 1024):
+        cut = at[i : i + 1025]
         bit = (hashes[cut[0] : cut[-1]] >> np.uint64(8) & np.uint64(64 * PARITY - 1)).astype(np.int64)
         rows = len(cut) - 1
         flips = np.bincount(np.repeat(np.arange(rows), np.diff(cut)) * 64 * PARITY + bit, minlength=rows * 64 * PARITY) & 1
@@ -306,14 +306,13 @@ def run_pieces(placed: DataFrame) -> DataFrame:
     return placed.select("node", "n", "n_rare", "component", "runs").mapInArrow(gather, _PIECES)
 
 
-def run_links(sets: DataFrame, labels: DataFrame, heads: DataFrame, num: int, den: int, scope: str) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between leaders of components that share a run; and pairs (a, b), still to be verified, of sets that share
+def run_links(sets: DataFrame, labels: DataFrame, heads: DataFrame, num: int, den: int, scope: str) -> tuple[DataFrame | None, DataFrame]:
+    """Links (a, b), if any, between leaders of components that share a run; and pairs (a, b), still to be verified, of sets that share
     a run, may be linked and are in different components even so."""
     keep = lambda t: store.keep(t, scope)
     sized = sets.filter(F.size("runs") > 0).select("node", F.size("shingles").cast("long").alias("n"), "n_rare", "runs")
     pieces = keep(run_pieces(sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))))
-    found = keep(sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    now = None  # of components that were joined since: component, label
+    found = now = None  # links so far; of components that were joined since: component, label
     bits = heads.select("node", *_BITS)
     for _ in range(ROUNDS):
         named = _named(pieces, now)
@@ -335,7 +334,7 @@ def run_links(sets: DataFrame, labels: DataFrame, heads: DataFrame, num: int, de
             later = merged.select(F.col("component").alias("_c"), F.col("label").alias("_l"))
             moved = now.join(later, F.col("label") == F.col("_c"), "left").select("component", F.coalesce("_l", "label").alias("label"))
             merged = moved.union(merged.join(now, "component", "left_anti"))
-        now, found = keep(merged), keep(found.union(new))
+        now, found = keep(merged), new if found is None else keep(found.union(new))
     else:
         by = _named(pieces, now).groupBy("key", "component").agg(F.sum(F.size("nodes")).alias("held"))
         several = by.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most")).filter("parts > 1")
@@ -416,7 +415,8 @@ def placed_rows(docs: DataFrame, n: int, percent: int, scope: str) -> DataFrame:
     across = light.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
     found, asked = run_links(sets, labels, heads, num, den, scope)
     across = across.union(asked).distinct()
-    late = keep(linked(keep(across.join(stars, ["a", "b"], "left_anti")), sets, num, den).union(found))
+    late = linked(keep(across.join(stars, ["a", "b"], "left_anti")), sets, num, den)
+    late = keep(late if found is None else late.union(found))
     store.discard(sets)
     up = late.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     upper = components(up, scope).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
