@@ -33,11 +33,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     equal scores the first language by name is taken. Without labelled rows nothing is determined and nothing stays."""
     _begin(spark, "language")
     model = language_id.train(docs.select("doc_id", "text", "lang").filter(language_id.fold(F.col("doc_id"), 5) != 0))
-    kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    known = language_id.predict(docs, model, keep_text=True, keep=kept)
+    names = {c: c if c in ("doc_id", "text") else f"_c{k}" for k, c in enumerate(docs.columns)}  # clash with nothing
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    known = language_id.predict(renamed, model, keep_text=True, keep=tuple(n for c, n in names.items() if n != c))
     chance = 1 / max(len(model.langs), 1)
     least = chance + LEAST_OVER_CHANCE * (1 - chance) if chance < 1 else 0.0
-    return known.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least)).select(docs.columns)
+    return known.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least)).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scope = _begin(spark, "lines")
     done = line_dedup.dedup(docs, scope=scope)
     left = (F.col("n_removed") == 0) | F.col("_row.text").rlike(r"[^\x20\x09-\x0D]")
-    cut = done.filter(left).select("_row.*", "n_removed")
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    gone = "_" * (1 + max(map(len, docs.columns)))  # clashes with nothing
+    cut = done.filter(left).select("_row.*", F.col("n_removed").alias(gone))
+    return cut.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
