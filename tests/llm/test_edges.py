@@ -158,3 +158,80 @@ def test_texts_over_a_slice(spark):
     assert all(measured[k] == brute_quality(t) for k, t in enumerate(texts))
     spans = {r.doc_id: [(s.kind, s.start) for s in r.found] for r in secrets.scan(table).collect()}
     assert spans[3] == [("assign", near.index("password"))] and spans[1] == []
+
+
+@pytest.fixture(scope="module")
+def over_a_slice():
+    rng = random.Random(23)
+    words = ["".join(rng.choice("aeiourstlnm") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(420_000))
+    assert len(long) > arrays.SLICE_BYTES
+    return rng, words, long
+
+
+def test_long_texts_are_decontaminated(spark, over_a_slice):
+    rng, words, long = over_a_slice
+    items = [" ".join(rng.choice(words) + "q" for _ in range(n)) for n in (3, 20, 40)]
+    cut = len(long) // 2
+    texts = ["short " + items[1], long[:cut] + " " + items[0] + " " + long[cut:] + " " + items[2], long, "end"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame([doc(k, t) for k, t in enumerate(texts)], SCHEMA).coalesce(1)
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(table, benchmark).collect()} == {(0, 1), (1, 0), (1, 2)}
+
+
+def test_equal_matches_give_the_least_item(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    benchmark = spark.createDataFrame([(7, text), (3, text.upper()), (9, text), (5, "other words that nobody has")], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame([doc(1, "x " + text + " y"), doc(2, "none of it")], SCHEMA), benchmark).collect()
+    assert [(r.doc_id, r.n_items, r.item_id, r.lcs) for r in got] == [(1, 3, 3, 1.0)]
+
+
+def test_long_texts_are_scored(spark, over_a_slice):
+    rng, _, long = over_a_slice
+    train = [(k, ("you stupid fool " if k % 2 else "a fine day in town ") * (1 + k % 7)) for k in range(80)]
+    docs = spark.createDataFrame(train, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int"))
+    texts = ["you stupid fool", "you stupid fool " * 140_000, "a fine day in town " * 120_000]
+    assert min(map(len, texts[1:])) > arrays.SLICE_BYTES
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).collect()}
+    assert got == {0: 1, 1: 1, 2: 0}
+    rows = [doc(k, "the cat and the dog " * 3 if k % 2 else "der hund und die katze " * 3, "en" if k % 2 else "de") for k in range(40)]
+    languages = language_id.train(spark.createDataFrame(rows, SCHEMA))
+    texts = ["the dog", "der hund und die katze " * 100_000, "the cat and the dog " * 110_000, "1" * 3_000_000]
+    told = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame([doc(k, t) for k, t in enumerate(texts)], SCHEMA).coalesce(1), languages).collect()}
+    assert told == {0: "en", 1: "de", 2: "en", 3: "und"}
+
+
+def stages(spark, docs, sf_dir):
+    import corpus_pipeline
+    from veilstone.llm import store
+
+    seen = []
+    for nth, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        if nth < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            docs = store.keep(out, "edge-output")
+            seen.append(docs.collect())
+        else:
+            seen.append(out.collect())
+    store.release(spark, "edge-output")
+    return seen
+
+
+def test_pipeline_of_odd_rows(spark, tables):
+    rng = random.Random(24)
+    words = [f"word{k}" for k in range(300)]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, near = draw(30), draw(80)
+    rows = [doc(k, draw(60) + " the cat and the dog", "en") for k in range(30)] + [doc(100, near), doc(101, near + " more"), doc(102, draw(20) + " " + item + " " + draw(20))]
+    rows += [doc(None, draw(50)), doc(None, None), doc(103, ""), doc(103, "12 34"), doc(5, rows[5][1]), doc(104, "a\n" * 3 + draw(40))]
+    at = tables(documents=rows, benchmark=[(1, item), (2, None)])
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("score", "lang_pred", "n_removed", "runs", "key", "node", "item_id", "part", "_row")})
+    language, lines, near_ones, clean, packed = stages(spark, docs, at)
+    assert {r.doc_id for r in language} >= {*range(30), 100, 101, 102, 104, None} and not any(r.doc_id == 103 for r in language)
+    assert sum(r.doc_id == 5 for r in language) == 2 and sum(r.doc_id == 5 for r in near_ones) == 1 and 102 in {r.doc_id for r in near_ones}
+    assert {r.doc_id for r in lines} <= {r.doc_id for r in language} and len({r.doc_id for r in near_ones} & {100, 101}) == 1
+    assert {r.doc_id for r in clean} == {r.doc_id for r in near_ones} - {102} and {r.doc_id for r in packed} == {r.doc_id for r in clean}
+    empty = stages(spark, docs.limit(0), at)
+    assert all(not rows for rows in empty)
