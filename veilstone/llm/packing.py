@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -218,17 +217,16 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                 total += int(ends[-1])
 
     table = store.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenize, "part long, local long, doc_id long, ids binary"), scope)
-    totals = table.groupBy("part").agg(F.sum(F.expr("octet_length(ids) div 2")).alias("n")).collect()  # a row a partition
-    ends = accumulate(r.n for r in sorted(totals))
-    base = {r.part: end - r.n for r, end in zip(sorted(totals), ends, strict=True)}
-    shared = spark.sparkContext.broadcast(base)
+    totals = table.groupBy("part").agg(F.sum(F.expr("octet_length(ids) div 2")).alias("n")).toArrow().sort_by("part")
+    numbers, sums = (totals.column(n).to_numpy().astype(np.int64) for n in ("part", "n"))  # 16 bytes a partition
+    shared = spark.sparkContext.broadcast((numbers, np.cumsum(sums) - sums))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, local, doc, ids = (batch.column(i) for i in range(4))
             sizes = np.diff(np.frombuffer(ids.cast(pa.large_binary()).buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]) // 2
-            held_parts, which = np.unique(part.to_numpy(), return_inverse=True)
-            at = np.array([shared.value[p] for p in held_parts.tolist()], np.int64)[which] + local.to_numpy()
+            numbers, base = shared.value
+            at = base[np.searchsorted(numbers, part.to_numpy())] + local.to_numpy()
             per = (at + sizes - 1) // window - at // window + 1
             row = np.repeat(np.arange(len(per)), per)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
