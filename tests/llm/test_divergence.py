@@ -4,13 +4,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import doc
 from tests.llm.test_operators import ODD, SCHEMA
-from veilstone.llm import divergence, queries
+from veilstone.llm import divergence, oracles, queries
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -117,3 +118,23 @@ def test_shares_are_exact():
 def test_query_op11_covers_all_documents(spark, tables):
     rows = some_rows(46, 120)
     assert collected(queries.QUERIES["op11_source_divergence"](spark, tables(documents=rows))) == brute(rows)
+
+
+def many_terms():
+    n = 140 * divergence.ROW_LEAVES
+    terms = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(n)]
+    return n, [doc(k, " ".join(terms[k % 2 :: 1 + k % 2]), "en", f"s{k % 3}") for k in range(20)]
+
+
+def test_a_partition_writes_all_its_rows(spark):
+    """Rows go out in blocks of 64; none may be lost between two blocks."""
+    n, rows = many_terms()
+    assert divergence.count(spark.createDataFrame(rows[:2], SCHEMA).coalesce(1)).agg(F.sum("leaves")).first()[0] == n
+
+
+def test_query_op11_equals_its_sql_on_many_terms(spark, tables):
+    at = tables(documents=many_terms()[1])
+    with duckdb.connect() as con:
+        con.sql(f"create view documents as from read_parquet('{at}/documents.parquet/*.parquet')")
+        want = con.sql(oracles.DIVERGENCE).fetchall()
+    assert collected(queries.QUERIES["op11_source_divergence"](spark, at)) == sorted(want)

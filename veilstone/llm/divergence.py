@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ def count(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, trie in tries.items():
                 rows = trie.rows(lang)
-                while some := [r for r, _ in zip(rows, range(64), strict=False)]:
+                while some := list(islice(rows, 64)):
                     yield _batch(some)
 
         for batch in batches:
