@@ -6,12 +6,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import doc
 from tests.llm.test_operators import ODD, SCHEMA
-from veilstone.llm import divergence, oracles, queries
+from veilstone.llm import divergence, oracles, queries, store
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -138,3 +139,22 @@ def test_query_op11_equals_its_sql_on_many_terms(spark, tables):
         con.sql(f"create view documents as from read_parquet('{at}/documents.parquet/*.parquet')")
         want = con.sql(oracles.DIVERGENCE).fetchall()
     assert collected(queries.QUERIES["op11_source_divergence"](spark, at)) == sorted(want)
+
+
+def test_memory_of_tries_and_batches_is_bounded(spark):
+    trie = divergence.Trie()
+    leaf = trie.leaves([b"a"])
+    for _ in range(40):
+        trie.add(leaf, np.ones(1, np.int64), np.repeat(leaf, 1 << 15), ["s"], np.zeros(1 << 15, np.int64), np.ones(1 << 15, np.int64))
+        assert sum(len(k) for k, _ in trie.waiting) <= (1 << 19) + 1  # what is added up is one counter
+    assert trie.counters()[1].tolist() == [40 << 15]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"])
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = store.keep(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), "batches", 8)
+    assert sorted(r.n for r in kept.collect()) == [4] + [8] * 12
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
+    store.release(spark, "batches")

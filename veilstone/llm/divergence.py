@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from veilstone.llm import arrays, store
 
 SCALE = 1_000_000_000
-#: Different terms that a partition's tries hold before they are written; counters before they are added up.
-MOST_TERMS, MOST_COUNTERS = 1 << 19, 1 << 21
+#: Different terms that a partition's tries hold before they are written; counters that a trie holds before they are added up.
+MOST_TERMS, MOST_COUNTERS = 1 << 18, 1 << 19
 #: Leaves to a row; leaves of all partitions to a prefix range; rows drawn for each range's end; bytes of a cut.
-ROW_LEAVES, RANGE_LEAVES, DRAWN, CUT_BYTES = 1024, 1 << 19, 16, 24
+ROW_LEAVES, RANGE_LEAVES, DRAWN, CUT_BYTES = 1024, 1 << 18, 16, 24
 #: Cells of a matrix of sources by terms that are computed at a time.
 MOST_CELLS = 1 << 20
+#: Rows that a task is handed at a time: of documents, of tries.
+BATCH_DOCS, BATCH_ROWS = 1024, 64
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -47,7 +49,7 @@ class Trie:
         self.leaf: dict[bytes, int] = {}
         self.sources: dict[str, int] = {}
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        self.docs, self.n_waiting = np.zeros(64, np.int64), 0
+        self.docs, self.n_waiting, self.n_added = np.zeros(64, np.int64), 0, 0
 
     def leaves(self, terms: list[bytes]) -> np.ndarray:
         """The leaves of the terms, put in where they are new."""
@@ -63,9 +65,9 @@ class Trie:
         own = np.array([self.sources.setdefault(s, len(self.sources)) for s in source], np.int64)
         self.waiting.append((counted << 24 | own[which], counts))
         self.n_waiting += len(counts)
-        if self.n_waiting > MOST_COUNTERS:
+        if self.n_waiting > max(MOST_COUNTERS, self.n_added):  # by then as many are new as added up, so sorting stays in proportion
             self.waiting = [self.counters()]
-            self.n_waiting = len(self.waiting[0][0]) // 2
+            self.n_waiting, self.n_added = 0, len(self.waiting[0][0])
 
     def counters(self) -> tuple[np.ndarray, np.ndarray]:
         """Leaf and source as one number, ascending, and the count."""
@@ -132,10 +134,13 @@ def count(docs: DataFrame) -> DataFrame:
         tries: dict[str, Trie] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, trie in tries.items():
+            while tries:
+                lang, trie = tries.popitem()
                 rows = trie.rows(lang)
                 while some := list(islice(rows, 64)):
                     yield _batch(some)
+                del trie, rows
+            arrays.trim()
 
         for batch in batches:
             langs, sources = (batch.column(k).fill_null("") for k in (1, 2))
@@ -161,7 +166,6 @@ def count(docs: DataFrame) -> DataFrame:
                     trie.add(leaf, np.bincount(once, minlength=len(some)), leaf[pair // len(names)], names, pair % len(names), counts)
                 if sum(len(t.leaf) for t in tries.values()) > MOST_TERMS:
                     yield from out()
-                    tries = {}
         yield from out()
 
     return docs.select("text", "lang", "source").mapInArrow(scan, TRIE_DDL)
@@ -206,7 +210,7 @@ def merge(tries: DataFrame, least: int) -> DataFrame:
                             own = slice(begin[x], begin[y])
                             out.append((lang, terms[x], y - x, one.tobytes(), two.tobytes(), labels, docs[x:y].tobytes(), held[x:y].tobytes(), source[own].tobytes(), counts[own].tobytes(), row["sources"], at))
                         x, at = y, at + 1
-                if len(out) >= 256:
+                if len(out) >= BATCH_ROWS:
                     yield _batch(out, schema)
                     out = []
             if out:
@@ -221,9 +225,12 @@ def merge(tries: DataFrame, least: int) -> DataFrame:
                     for row in trie.rows(now[1], least) if now else ():
                         yield _batch([row])
                     now, trie = key, Trie()
+                    arrays.trim()
                 trie.merge({n: batch.column(n)[k].as_py() for n in names})
         for row in trie.rows(now[1], least) if now else ():
             yield _batch([row])
+        del trie
+        arrays.trim()
 
     pieces = tries.mapInArrow(cut, TRIE_DDL + ", range int")
     return pieces.repartition("range").sortWithinPartitions("range", "lang").mapInArrow(fold, TRIE_DDL)
@@ -315,8 +322,8 @@ def audit(docs: DataFrame, least: int = 10, ranks: int = 10, scope: str = "query
     What is broadcast has an entry for each group; the result has one for each pair of them.
     """
     docs = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    tries = store.keep(count(docs), scope)
-    merged = store.keep(merge(tries, least), scope)
+    tries = store.keep(count(docs), scope, BATCH_DOCS)
+    merged = store.keep(merge(tries, least), scope, BATCH_ROWS)
     store.discard(tries)
     occurring = store.keep(docs.select("lang", "source").distinct(), scope)
     told = {(r.lang, r.source): r.n for r in _totals(merged).collect()}
@@ -324,7 +331,7 @@ def audit(docs: DataFrame, least: int = 10, ranks: int = 10, scope: str = "query
     for r in occurring.collect():
         names.setdefault(r.lang, []).append(r.source)
     groups = {lang: (sorted(own), [told.get((lang, s), 0) for s in sorted(own)], told.get((lang, None), 0)) for lang, own in names.items()}
-    found = _traverse(merged, groups, ranks)
+    found = store.keep(_traverse(merged, groups, ranks), scope, BATCH_ROWS)
     sums = found.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     other = occurring.select(F.col("lang").alias("_lang"), F.col("source").alias("item"))
     pairs = occurring.join(other, (F.col("lang") == F.col("_lang")) & (F.col("source") != F.col("item"))).drop("_lang").join(sums, ["lang", "source", "item"], "left")

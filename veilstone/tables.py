@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own switch: the shuffles of a query are deleted when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL_MODE_DIR: list[str] = []
 _WRITTEN: dict[str, list[str]] = {}
 _LOCK = threading.Lock()
@@ -41,23 +42,26 @@ def working_folder(spark: SparkSession, scope: str = "query") -> str:
     return path
 
 
-def keep(df: DataFrame, scope: str = "query") -> DataFrame:
+def keep(df: DataFrame, scope: str = "query", batch_rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: the lineage ends in a replayable table, and Spark deletes
     the shuffles that led to it as soon as it is written. Tables that nobody released go when the driver's process ends,
-    whether the session was stopped before or not."""
+    whether the session was stopped before or not. `batch_rows`: rows to an Arrow batch, for functions on rows that are large.
+    """
     spark = df.sparkSession
     path = working_folder(spark, scope)
-    _apart(df).write.parquet(f"{path}/table")
+    _apart(df, batch_rows).write.parquet(f"{path}/table")
     kept = spark.read.schema(df.schema).parquet(f"{path}/table")
     kept._kept_at = path
     return kept
 
 
-def _apart(df: DataFrame) -> DataFrame:
+def _apart(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """The same plan in a session of its own, in which the switch is on: what else runs in the caller's session has its own."""
     spark = df.sparkSession
     session = spark._jsparkSession.cloneSession()
     session.conf().set(_CLEANUP, "true")
+    if batch_rows:
+        session.conf().set(_BATCH_ROWS, str(batch_rows))
     plan = df._jdf.queryExecution().analyzed()
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), SparkSession(spark.sparkContext, session))
 
