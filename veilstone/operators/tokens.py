@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,23 @@ def numbered(spans: Column, consistent: bool = True, value_only: bool = False) -
         return F.transform(spans, lambda s, i: _entity(s, token(s["label"], F.size(F.filter(F.slice(spans, 1, i + 1), lambda o: o["label"] == s["label"])))))
     if not value_only:
         return F.transform(spans, lambda s: _entity(s, token(s["label"], F.array_position(F.array_distinct(F.transform(F.filter(spans, lambda o: o["label"] == s["label"]), lambda o: o["value"])), s["value"]))))
-    firsts = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, 1, i), lambda o: o["value"] == s["value"]))
+    # Each step is an element of an array, so that the next one reads it and does not evaluate it again for every span.
+    values = F.transform(spans, lambda s: s["value"])
+    firsts = _with(values, lambda v: F.transform(F.array_distinct(v), lambda x: F.element_at(spans, F.array_position(v, x).cast("int"))))
+    return _with(firsts, lambda f: _with(_first_tokens(f), lambda named: F.transform(spans, lambda s: _entity(s, F.element_at(named["token"], F.array_position(named["value"], s["value"]).cast("int"))))))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def of_value(s: Column) -> Column:
-        first = F.element_at(F.filter(firsts, lambda f: f["value"] == s["value"]), 1)
-        place = F.array_position(F.transform(F.filter(firsts, lambda f: f["label"] == first["label"]), lambda f: f["value"]), s["value"])
-        return _entity(s, token(first["label"], place))
 
-    return F.transform(spans, of_value)
+def _first_tokens(firsts: Column) -> Column:
+    """Struct of the values and the tokens of the first spans of each value: a label's values are numbered in their order."""
+    labels = F.array_distinct(F.transform(firsts, lambda f: f["label"]))
+    held = F.transform(labels, lambda x: F.struct(x.alias("label"), F.transform(F.filter(firsts, lambda f: f["label"] == x), lambda f: f["value"]).alias("values")))
+    named = F.flatten(F.transform(held, lambda h: F.transform(h["values"], lambda v, i: F.struct(v.alias("value"), token(h["label"], i + 1).alias("token")))))
+    return _with(named, lambda n: F.struct(F.transform(n, lambda x: x["value"]).alias("value"), F.transform(n, lambda x: x["token"]).alias("token")))
 
 
 def token(label: Column, number: Column) -> Column:
