@@ -141,6 +141,21 @@ def test_query_op11_equals_its_sql_on_many_terms(spark, tables):
     assert collected(queries.QUERIES["op11_source_divergence"](spark, at)) == sorted(want)
 
 
+def test_query_op11_equals_its_sql_on_large_vocabularies(spark, tables):
+    """Two languages, each with more terms in a partition than a block of rows holds; some terms are in too few documents."""
+    rng, rows = random.Random(47), []
+    for lang in ("en", None):
+        terms = ["".join(rng.choice("abcdéßж日😀") for _ in range(6)) + "xy"[k % 2] for k in range(70 * divergence.ROW_LEAVES)]
+        for k in range(12):
+            some = terms[: len(terms) * (12 - k % 4) // 12] + rng.choices(terms, k=20_000)
+            rows.append(doc(k, rng.choice(" 1_\n").join(some), lang, ["s1", "é", None][k % 3]))
+    at = tables(documents=rows)
+    with duckdb.connect() as con:
+        con.sql(f"create view documents as from read_parquet('{at}/documents.parquet/*.parquet')")
+        want = con.sql(oracles.DIVERGENCE).fetchall()
+    assert collected(queries.QUERIES["op11_source_divergence"](spark, at)) == sorted(want)
+
+
 def test_memory_of_tries_and_batches_is_bounded(spark):
     trie = divergence.Trie()
     leaf = trie.leaves([b"a"])
